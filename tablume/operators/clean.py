@@ -33,7 +33,7 @@ OUTLIER_METHODS = ("zscore",)
 
 
 def impute_numeric(
-    df: DataFrame, strategy: str = "mean", columns: Names = None, relative_error: float = 1e-4
+    df: DataFrame, strategy: str = "mean", columns: Names = None, relative_error: float = 1e-3
 ) -> DataFrame:
     """Fill numeric nulls and NaNs in place with the column's mean, median or mode.
 

@@ -125,7 +125,8 @@ def _bucket(x: Column, low: float, high: float, count: int) -> Column:
         F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(count)), F.lit(count - 1).cast("bigint")
     )
     return (
-        F.when(x < _edge(guess, low, high, count), guess - 1)
+        F.when(x.isNull(), None)
+        .when(x < _edge(guess, low, high, count), guess - 1)
         .when((x >= _edge(guess + 1, low, high, count)) & (guess < count - 1), guess + 1)
         .otherwise(guess)
     )

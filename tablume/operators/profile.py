@@ -132,8 +132,7 @@ def _distinct_keys(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     return union_all(
         [
             long_values(df, keys)
-            .groupBy("column", "value")
-            .agg()
+            .distinct()
             .groupBy("column")
             .agg(
                 F.count("value").alias("distinct_count"),
@@ -168,9 +167,8 @@ def distinct_counts(
             },
         )
     else:
-        counts = _distinct_keys(df, usable).select(
-            "column", F.col("distinct_with_null" if with_null else "distinct_count").alias("n")
-        ).withColumnRenamed("n", "distinct_count")
+        wanted = "distinct_with_null" if with_null else "distinct_count"
+        counts = _distinct_keys(df, usable).select("column", F.col(wanted).alias("distinct_count"))
     names = small_table(
         df.sparkSession,
         [(f.name, is_countable(f.dataType)) for f in fields],
