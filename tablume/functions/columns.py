@@ -108,6 +108,13 @@ def require_numeric(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return fields
 
 
+def require_plain_names(names: Iterable[str]) -> None:
+    """Model stages address columns by bare name, so dots and backticks cannot be used there."""
+    odd = [n for n in names if "." in n or "`" in n]
+    if odd:
+        raise ValueError("rename column(s) before modelling: " + ", ".join(repr(n) for n in odd))
+
+
 def is_null(field: T.StructField) -> Column:
     c = col(field.name)
     return (c.isNull() | F.isnan(c)) if is_floating(field.dataType) else c.isNull()

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from tablume.functions.columns import col
 
-#: Columns aggregated together. Wider tables are aggregated in several groups of columns, each
-#: group reading only its own columns, so generated code stays small and no byte is read twice.
-COLUMNS_PER_AGGREGATE = 40
+#: Aggregate expressions computed together. Wider tables are aggregated in several groups of
+#: columns, each group reading only its own columns: no byte is read twice, and the generated code
+#: of each group stays small enough to be compiled (beyond about fifty it runs several times slower).
+AGGREGATES_TOGETHER = 48
 
 FieldStat = Callable[[T.StructField], Column]
 
@@ -37,7 +38,7 @@ def per_column(
     row to the final merge however large the table is.
     """
     parts = []
-    for group in chunks(fields, COLUMNS_PER_AGGREGATE):
+    for group in chunks(fields, max(1, AGGREGATES_TOGETHER // len(stats))):
         wide = df.agg(
             *[
                 stat(field).alias(f"{name}_{i}")

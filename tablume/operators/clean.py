@@ -42,13 +42,21 @@ def impute_numeric(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unsupported strategy: {strategy!r}; use one of {', '.join(STRATEGIES)}")
-    names = numeric_columns(df, columns)
-    if not names:
+    fields = fields_of(df, numeric_columns(df, columns))
+    if not fields:
         return df
+    inputs = [f"v{i}" for i in range(len(fields))]
+    values = df.select(*[col(f.name).alias(v) for v, f in zip(inputs, fields)])
     imputer = Imputer(
-        inputCols=names, outputCols=names, strategy=strategy, relativeError=relative_error
+        inputCols=inputs, outputCols=inputs, strategy=strategy, relativeError=relative_error
+    )
+    fill = imputer.fit(values).surrogateDF.first()
+    return df.withColumns(
+        {
+            f.name: F.when(is_null(f), F.lit(float(fill[v])).cast(f.dataType)).otherwise(col(f.name))
+            for v, f in zip(inputs, fields)
+        }
     )
-    return imputer.fit(df).transform(df)
 
 
 def impute_categorical(df: DataFrame, columns: Names = None) -> DataFrame:

@@ -29,6 +29,7 @@ from tablume.functions.columns import (
     kind_of,
     quoted,
     require_columns,
+    require_plain_names,
 )
 from tablume.operators.clean import drop_null_labels
 from tablume.operators.profile import value_counts
@@ -50,6 +51,7 @@ def assemble(
 ) -> DataFrame:
     """Collect numeric columns into one vector column; ``skip`` drops rows with an absent value."""
     require_columns(df, columns)
+    require_plain_names(columns)
     names = list(dict.fromkeys(columns))
     if not names:
         raise ValueError("no feature columns to assemble")
@@ -256,6 +258,7 @@ def prepare(
     if not features:
         raise ValueError("no feature columns selected")
     require_columns(df, [*features, *([target] if target else []), *keep])
+    require_plain_names(features)
     for f in fields_of(df, [*features, *([target] if target else [])]):
         if kind_of(f.dataType) not in ("numeric", "categorical"):
             raise ValueError(

@@ -36,8 +36,9 @@ from tablume.functions.tables import chunks, long_values, per_column, small_tabl
 
 Names = Sequence[str] | None
 
-#: Columns on each side of one correlation aggregate.
-_TILE = 8
+#: Column pairs correlated in one aggregate, so that its generated code stays compilable.
+_WHOLE_PAIRS = 24
+_SHARED_PAIRS = 8
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -301,34 +302,66 @@ def sample_values(
 def correlation_matrix(df: DataFrame, columns: Names = None) -> DataFrame:
     """``(x, y, r)`` for every ordered pair of numeric columns, over rows where both are present.
 
-    Pairs are computed in square tiles of columns: one aggregate per tile, each pair once. A
-    column that does not vary has NULL correlations. Fewer than two numeric columns is an error.
+    A first pass finds each column's mean, range and whether values are absent. Pairs without
+    absent values then need one sum of products of deviations each; the others take their
+    spreads over the rows they share. A column that does not vary has NULL correlations. Fewer
+    than two numeric columns is an error.
     """
     fields = require_numeric(df, numeric_columns(df) if columns is None else columns)
     if len(fields) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
-    groups = chunks(fields, _TILE)
-    parts = []
-    for i, left in enumerate(groups):
-        for right in groups[i:]:
-            pairs = [
-                (a, b)
-                for ai, a in enumerate(left)
-                for bi, b in enumerate(right)
-                if left is not right or ai <= bi
-            ]
-            wide = df.agg(
-                *[pearson(as_double(a), as_double(b)).alias(f"r{n}") for n, (a, b) in enumerate(pairs)]
+    looks = {
+        r["column"]: r
+        for r in per_column(
+            df,
+            fields,
+            {
+                "absent": lambda f: F.count_if(is_null(f)),
+                "mean": lambda f: F.avg(as_double(f)),
+                "varies": lambda f: F.coalesce(F.min(as_double(f)) < F.max(as_double(f)), F.lit(False)),
+            },
+        ).collect()
+    }
+    deviations = df.select(
+        *[
+            (as_double(f) - F.lit(looks[f.name]["mean"]).cast("double")).alias(f"d{i}")
+            for i, f in enumerate(fields)
+        ]
+    )
+    settled = [(f.name, f.name, 1.0 if looks[f.name]["varies"] else None) for f in fields]
+    whole, shared = [], []
+    for i, a in enumerate(fields):
+        for j, b in enumerate(fields[:i]):
+            if not (looks[a.name]["varies"] and looks[b.name]["varies"]):
+                settled += [(a.name, b.name, None), (b.name, a.name, None)]
+            elif looks[a.name]["absent"] or looks[b.name]["absent"]:
+                shared.append((i, j))
+            else:
+                whole.append((i, j))
+    parts = [small_table(df.sparkSession, settled, "x string, y string, r double")]
+    for pairs, formula, size in ((whole, _whole_r, _WHOLE_PAIRS), (shared, pearson, _SHARED_PAIRS)):
+        for group in chunks(pairs, size):
+            wide = deviations.agg(
+                *[formula(F.col(f"d{i}"), F.col(f"d{j}")).alias(f"r{n}") for n, (i, j) in enumerate(group)]
             )
             rows = [
-                F.struct(F.lit(x.name).alias("x"), F.lit(y.name).alias("y"), F.col(f"r{n}").alias("r"))
-                for n, (a, b) in enumerate(pairs)
-                for x, y in ([(a, b), (b, a)] if a is not b else [(a, b)])
+                F.struct(
+                    F.lit(fields[x].name).alias("x"),
+                    F.lit(fields[y].name).alias("y"),
+                    F.col(f"r{n}").alias("r"),
+                )
+                for n, (i, j) in enumerate(group)
+                for x, y in ((i, j), (j, i))
             ]
             parts.append(wide.select(F.inline(F.array(*rows))))
     return union_all(parts)
 
 
+def _whole_r(x: Column, y: Column) -> Column:
+    """Correlation of two columns of deviations without absent values."""
+    return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+
+
 def profile(df: DataFrame, columns: Names = None, approx_distinct: bool = False) -> DataFrame:
     """The whole column profile, one row per column in schema order.
 

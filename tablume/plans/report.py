@@ -15,7 +15,7 @@ from tablume.functions.columns import (
     require_numeric,
 )
 from tablume.functions.tables import per_column, small_table
-from tablume.operators.features import prepare
+from tablume.operators.features import Prepared, prepare
 from tablume.operators.models import Trained, train_classifier, train_clusters, train_regressor
 from tablume.operators.profile import table_shape
 from tablume.plans.advise import classification_target, regression_target
@@ -89,12 +89,25 @@ def transformation_notes(df: DataFrame, exclude: Sequence[str] = ()) -> DataFram
     return small_table(df.sparkSession, notes, "task string, transformation string")
 
 
-def _attempt(run: Callable[[], Trained]) -> tuple[Trained | None, str]:
+class _NothingLeft(Exception):
+    """No row has a target and every numeric feature."""
+
+
+def _usable(prepared: Prepared) -> Prepared:
+    if prepared.counts["used"] == 0:
+        raise _NothingLeft
+    return prepared
+
+
+def _attempt(run: Callable[[], Trained]) -> tuple[Trained | None, str, str]:
     """One failing model run is reported and does not stop the others."""
     try:
-        return run(), ""
+        return run(), "ok", ""
+    except _NothingLeft:
+        return None, "skipped", "Skipped: Cleaned data is empty."
     except Exception as error:
-        return None, str(error).splitlines()[0] if str(error) else type(error).__name__
+        reason = str(error).splitlines()[0] if str(error) else type(error).__name__
+        return None, "failed", f"Failed: {reason}"
 
 
 def build_report(
@@ -115,9 +128,9 @@ def build_report(
 
     def record(task, title, target, features, run, describe):
         shown = ", ".join(features)
-        trained, problem = _attempt(run)
+        trained, status, problem = _attempt(run)
         if trained is None:
-            rows.append((task, target, shown, "failed", None, None, f"Failed: {problem}"))
+            rows.append((task, target, shown, status, None, None, problem))
             return
         metric, value, result, finding = describe(trained)
         report.models[task.lower()] = trained
@@ -137,7 +150,7 @@ def build_report(
     else:
         record(
             "Regression", "Regression (Linear Regression)", target, features,
-            lambda: train_regressor(prepare(df, features, target, keep), **(regression_options or {})),
+            lambda: train_regressor(_usable(prepare(df, features, target, keep)), **(regression_options or {})),
             lambda t: ("rmse", t.metrics["rmse"], _text("RMSE: ", t.metrics["rmse"]),
                        _text("Regression RMSE: ", t.metrics["rmse"])),
         )
@@ -151,7 +164,7 @@ def build_report(
     else:
         record(
             "Classification", "Classification (Random Forest)", label, inputs,
-            lambda: train_classifier(prepare(df, inputs, label, keep), **(classification_options or {})),
+            lambda: train_classifier(_usable(prepare(df, inputs, label, keep)), **(classification_options or {})),
             lambda t: ("accuracy", t.metrics["accuracy"], _share("Accuracy: ", t.metrics["accuracy"]),
                        _share("Classification Accuracy: ", t.metrics["accuracy"])),
         )
@@ -161,7 +174,7 @@ def build_report(
     else:
         record(
             "Clustering", f"Clustering (KMeans, k={clusters})", None, numeric,
-            lambda: train_clusters(prepare(df, numeric, keep=keep), clusters),
+            lambda: train_clusters(_usable(prepare(df, numeric, keep=keep)), clusters),
             lambda t: ("clusters", float(clusters), f"Cluster Sizes: {_sizes(t)}",
                        f"Cluster sizes: {_sizes(t)}"),
         )
