@@ -18,12 +18,15 @@ from tablume.functions.tables import chunks, union_all
 
 #: Up to this many values a sketch holds every one of them, so its answers are exact.
 SKETCH_SIZE = 4096
-#: Rank error (as a share of the values) a merged sketch of that size stays well within.
-SKETCH_ERROR = 0.002
 _BUCKETS = 64
 _COLUMNS_PER_AGGREGATE = 12
 
 
+def rank_slack(size: int) -> float:
+    """Share of the values by which a rank read from a sketch of that size hardly ever errs."""
+    return 3.5 / size**0.9
+
+
 def sketch_row(
     df: DataFrame,
     sketches: Mapping[str, Column],

@@ -140,6 +140,7 @@ def ranked_values(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     for row in sizes:
         starts.append((row["part"], total))
         total += row["n"]
+    # One row per partition of the sort, so the broadcast does not grow with the values.
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, start bigint"))
     numbered = placed.join(offsets, "part").select(
         "value", (F.col("start") + F.col("place")).alias("index")

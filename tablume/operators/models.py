@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tablume.functions.columns import col, require_columns
 from tablume.functions.tables import small_table
 from tablume.operators.features import FEATURES, LABEL, PREDICTION, Prepared, fit_features
+from tablume.sources.scratch import shared_folder
 from tablume.sources.typed import cast_to_schema, input_fields, valid_rows
 
 SEED = 42
@@ -118,7 +119,13 @@ def _estimator(catalogue: Mapping, algorithm: str, params: Mapping):
 
 
 def _fit(prepared: Prepared, estimator, holdout: float, evaluate):
-    """Fit the features, then the estimator on cached vectors; evaluate on the same cache."""
+    """Fit the features, then the estimator on cached vectors; evaluate on the same cache.
+
+    With the shared folder set as checkpoint folder, boosting cuts its lineage as it goes.
+    """
+    if prepared.counts["used"] == 0:
+        raise ValueError("no row has a target and every numeric feature")
+    shared_folder(prepared.df.sparkSession)
     steps, transformed = fit_features(prepared)
     kept = [FEATURES, LABEL] if prepared.target else [FEATURES]
     vectors = spread(transformed.select(*kept)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -206,22 +213,27 @@ def _require_binary(prepared: Prepared) -> None:
         raise ValueError("gbt_classifier handles two classes only, labelled 0 and 1")
 
 
-def train_clusters(prepared: Prepared, k: int = DEFAULT_CLUSTERS, seed: int = SEED) -> Trained:
+def train_clusters(
+    prepared: Prepared, k: int = DEFAULT_CLUSTERS, seed: int = SEED, with_silhouette: bool = False
+) -> Trained:
     """Fit k-means; ``tables`` holds cluster sizes and centres.
 
     The partitioning of the rows influences the starting centres, so the same seed can give
-    other clusters on another cluster layout.
+    other clusters on another cluster layout. ``with_silhouette`` adds that metric for two more
+    passes over the cached vectors.
     """
     estimator = KMeans(featuresCol=FEATURES, predictionCol=PREDICTION, k=k, seed=seed)
-    model, sizes = _fit(prepared, estimator, 0.0, lambda fitted, _: list(fitted.summary.clusterSizes))
+
+    def evaluate(fitted, predictions):
+        return list(fitted.summary.clusterSizes), (
+            silhouette(predictions) if with_silhouette else None
+        )
+
+    model, (sizes, score_) = _fit(prepared, estimator, 0.0, evaluate)
     spark = prepared.df.sparkSession
+    metrics = {"k": k, "total": sum(sizes), "silhouette": score_, **prepared.counts}
     trained = Trained(
-        "clustering",
-        "kmeans",
-        model,
-        prepared,
-        {"k": k, "total": sum(sizes), **prepared.counts},
-        "Model trained successfully.",
+        "clustering", "kmeans", model, prepared, metrics, "Model trained successfully."
     )
     trained.tables["sizes"] = small_table(
         spark, list(enumerate(sizes)), "cluster int, size bigint"

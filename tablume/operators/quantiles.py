@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablume.functions.columns import as_double, require_numeric
-from tablume.functions.sketches import SKETCH_ERROR, SKETCH_SIZE, read_sketches, sketch_row
+from tablume.functions.sketches import SKETCH_SIZE, rank_slack, read_sketches, sketch_row
 from tablume.functions.tables import chunks, small_table
 
 #: Columns or brackets followed in one aggregate; more are followed in further aggregates.
@@ -104,12 +104,10 @@ def _interpolate(found: dict, v: str, n: int, p: float) -> float | None:
     return low if low == high else low + (high - low) * part
 
 
-def _around(low: int, high: int, n: int) -> list[float]:
+def _around(low: int, high: int, n: int, size: int) -> list[float]:
     """Sketch ranks safely below the row of rank ``low`` and above the row of rank ``high``."""
-    return [
-        max((low + 0.5) / n - SKETCH_ERROR, 0.0),
-        min((high + 0.5) / n + SKETCH_ERROR, 1.0),
-    ]
+    slack = rank_slack(size)
+    return [max((low + 0.5) / n - slack, 0.0), min((high + 0.5) / n + slack, 1.0)]
 
 
 def _first_look(values, columns, probabilities, size) -> tuple[dict[str, int], list[_Target]]:
@@ -128,7 +126,7 @@ def _first_look(values, columns, probabilities, size) -> tuple[dict[str, int], l
         filled = [v for v in group if sizes[v]]
         pairs = {v: dict.fromkeys(_position(sizes[v], p)[:2] for p in probabilities) for v in filled}
         reads = [
-            (row[v], [e for low, high in pairs[v] for e in _around(low, high, sizes[v])])
+            (row[v], [e for low, high in pairs[v] for e in _around(low, high, sizes[v], size)])
             for v in filled
         ]
         for v, ends in zip(filled, read_sketches(spark, reads)):
@@ -175,7 +173,7 @@ def _look_around(values: DataFrame, brackets, targets: list[_Target], size: int)
         elif place >= inside:
             t.value = t.high
         else:
-            ranks = [(place + 0.5) / inside] if inside <= size else _around(place, place, inside)
+            ranks = [(place + 0.5) / inside] if inside <= size else _around(place, place, inside, size)
             unsettled.append((t, t.bracket, ranks))
     if unsettled:
         _read_inside(values, unsettled, size)

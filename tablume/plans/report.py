@@ -18,7 +18,7 @@ from tablume.functions.tables import per_column, small_table
 from tablume.operators.features import Prepared, prepare
 from tablume.operators.models import Trained, train_classifier, train_clusters, train_regressor
 from tablume.operators.profile import table_shape
-from tablume.plans.advise import classification_target, regression_target
+from tablume.plans.advise import can_cluster, classification_target, regression_target
 from tablume.sources.readers import write_dataset
 
 CLUSTERS = 3
@@ -169,7 +169,7 @@ def build_report(
                        _share("Classification Accuracy: ", t.metrics["accuracy"])),
         )
 
-    if len(numeric) < 2:
+    if not can_cluster(df, exclude):
         skipped("Clustering", "Not enough numeric columns for clustering.")
     else:
         record(

@@ -122,7 +122,8 @@ def test_clusters(spark):
     df = spark.range(300).selectExpr(
         "id", "CAST(100 * (id % 3) AS DOUBLE) + id % 7 AS x", "CAST(id % 3 AS DOUBLE) AS y"
     )
-    trained = t.train_clusters(t.prepare(df, ["x", "y"], keep=["id"]), 3)
+    trained = t.train_clusters(t.prepare(df, ["x", "y"], keep=["id"]), 3, with_silhouette=True)
+    assert 0.9 < trained.metrics["silhouette"] <= 1.0
     sizes = by_column(trained.tables["sizes"], "cluster")
     assert sorted(s["size"] for s in sizes.values()) == [100, 100, 100]
     predictions = trained.predictions()
@@ -165,6 +166,12 @@ def test_importance_needs_trees(students):
         t.feature_importance(trained)
 
 
+def test_no_complete_rows(spark):
+    df = spark.createDataFrame([(1.0, None)], "y double, x double")
+    with pytest.raises(ValueError, match="every numeric feature"):
+        t.train_regressor(t.prepare(df, ["x"], "y"))
+
+
 def test_metrics_of_nothing(spark):
     nothing = spark.createDataFrame([], "label double, prediction double")
     assert t.accuracy(nothing, "label").first().asDict() == {

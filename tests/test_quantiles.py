@@ -33,7 +33,7 @@ def shapes():
     }
 
 
-@pytest.mark.parametrize("size", [4096, 16])
+@pytest.mark.parametrize("size", [4096, 128])
 @pytest.mark.parametrize("name", list(shapes()))
 def test_matches_numpy(spark, name, size):
     values = shapes()[name]
@@ -58,10 +58,10 @@ def test_many_columns(spark):
     assert found == {f"c{i}": [499.5 * (i + 1)] for i in range(30)}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=120))
 def test_small_integers(spark, values):
-    found = exact_quantiles(frame(spark, values, 3), ["x"], [0.25, 0.5, 0.9], size=8)["x"]
+    found = exact_quantiles(frame(spark, values, 3), ["x"], [0.25, 0.5, 0.9], size=32)["x"]
     assert np.allclose(found, np.quantile(values, [0.25, 0.5, 0.9]))
 
 
