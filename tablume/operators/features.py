@@ -90,11 +90,6 @@ def label_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {f.name: row[i] for i, f in enumerate(fields)}
 
 
-def _as_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    booleans = [f.name for f in fields_of(df, columns) if isinstance(f.dataType, T.BooleanType)]
-    return df.withColumns({n: col(n).cast("string") for n in booleans}) if booleans else df
-
-
 def string_index(
     df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS
 ) -> DataFrame:
@@ -103,7 +98,10 @@ def string_index(
     Up to ``max_labels`` values the dictionary is a fitted indexer. Beyond that it no longer
     belongs on the driver: values are ranked by a distributed sort and joined back.
     """
-    estimates = label_estimates(df, columns)
+    return _index(df, label_estimates(df, columns), max_labels)
+
+
+def _index(df: DataFrame, estimates: dict[str, int], max_labels: int) -> DataFrame:
     local = [c for c in estimates if estimates[c] <= max_labels]
     out = df
     if local:
@@ -177,16 +175,17 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS)
 
     A null has no slot and encodes as all zeros.
     """
-    _check_labels(df, columns, max_labels)
-    indexed = string_index(df, columns, max_labels)
+    estimates = label_estimates(df, columns)
+    _check_labels(estimates, max_labels)
+    indexed = _index(df, estimates, max_labels)
     encoder = OneHotEncoder(
         inputCols=[f"{c}_indexed" for c in columns], outputCols=[f"{c}_encoded" for c in columns]
     )
     return encoder.fit(indexed).transform(indexed)
 
 
-def _check_labels(df: DataFrame, columns: Sequence[str], max_labels: int) -> None:
-    wide = {c: n for c, n in label_estimates(df, columns).items() if n > max_labels}
+def _check_labels(estimates: dict[str, int], max_labels: int) -> None:
+    wide = {c: n for c, n in estimates.items() if n > max_labels}
     if wide:
         raise ValueError(
             "too many labels for a dictionary kept in a model (about "
@@ -274,7 +273,8 @@ def prepare(
         {"name": n, "original_type": df.schema[n].dataType.simpleString(), "is_target": n == target}
         for n in [*features, *([target] if target else [])]
     ]
-    categorical = [n for n in features if is_categorical(df.schema[n].dataType)]
+    modelled = [*features, *([target] if target else [])]
+    categorical = [n for n in modelled if is_categorical(df.schema[n].dataType)]
     wanted = list(dict.fromkeys([*features, *([target] if target else []), *keep]))
     narrow = df.select(*[col(n) for n in wanted])
 
@@ -299,12 +299,7 @@ def _count_rows(df, features, target, categorical, max_labels) -> dict[str, int]
             for i, n in enumerate(categorical)
         ],
     ).first()
-    wide = [n for i, n in enumerate(categorical) if row[f"d{i}"] > max_labels]
-    if wide:
-        raise ValueError(
-            f"more than {max_labels} labels in: " + ", ".join(wide)
-            + "; a model keeps its labels in memory, leave the column out or raise max_labels"
-        )
+    _check_labels({n: row[f"d{i}"] for i, n in enumerate(categorical)}, max_labels)
     return {"rows": row["rows"], "labelled": row["labelled"], "used": row["used"]}
 
 

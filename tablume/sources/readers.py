@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablume.functions.columns import col, quoted
+from tablume.functions.columns import clean, col, is_floating
 from tablume.functions.tables import union_all
 
 FILE_FORMATS = ("csv", "json", "parquet")
@@ -73,19 +73,21 @@ def dataset_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
+def read_dataset(
+    spark: SparkSession, root: str, name: str, fmt: str = "parquet", **options
+) -> DataFrame:
     """Read a named dataset. ``fmt`` may be any source the session knows, connectors included."""
-    return spark.read.format(fmt).load(dataset_path(root, name))
+    return spark.read.format(fmt).options(**options).load(dataset_path(root, name))
 
 
 def write_dataset(
-    df: DataFrame, root: str, name: str, mode: str = "append", fmt: str = "parquet"
+    df: DataFrame, root: str, name: str, mode: str = "append", fmt: str = "parquet", **options
 ) -> str:
     """Append to, or with ``mode='overwrite'`` replace, a named dataset; types are kept."""
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unsupported write mode: {mode!r}; use append or overwrite")
     path = dataset_path(root, name)
-    df.write.format(fmt).mode(mode).save(path)
+    df.write.format(fmt).mode(mode).options(**options).save(path)
     return path
 
 
@@ -94,7 +96,17 @@ def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
+def _json_value(field: T.StructField) -> Column:
+    value = clean(field)
+    if is_floating(field.dataType):
+        value = F.when(F.abs(value) != F.lit(float("inf")), value)
+    return value
+
+
 def to_json_rows(df: DataFrame, column: str = "json") -> DataFrame:
-    """Every row as one JSON record string; nulls are written, so records keep all keys."""
-    everything = F.struct(*[F.col(quoted(n)) for n in df.columns])
+    """Every row as one JSON record string.
+
+    Nulls are written, so records keep all keys; NaN and infinities, which JSON lacks, are null.
+    """
+    everything = F.struct(*[_json_value(f).alias(f.name) for f in df.schema.fields])
     return df.select(F.to_json(everything, {"ignoreNullFields": "false"}).alias(column))

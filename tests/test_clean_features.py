@@ -101,6 +101,9 @@ def test_one_hot_refuses_unbounded_dictionaries(spark):
     df = spark.range(100).selectExpr("CAST(id AS STRING) AS v")
     with pytest.raises(ValueError, match="labels"):
         t.one_hot(df, ["v"], max_labels=10)
+    for features, target in ((["v"], "n"), (["n"], "v")):
+        with pytest.raises(ValueError, match="labels"):
+            t.prepare(df.withColumn("n", F.lit(1)), features, target, max_labels=10)
 
 
 def test_pca(people):

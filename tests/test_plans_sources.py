@@ -161,6 +161,18 @@ def test_json_rows_keep_nulls_and_nesting(spark):
     assert json.loads(t.to_json_rows(df).first()["json"]) == {"a": 1, "b": None, "c": [1, 2]}
 
 
+def test_json_rows_have_no_nan(spark):
+    df = spark.sql("SELECT CAST('NaN' AS DOUBLE) AS a, CAST('Infinity' AS FLOAT) AS b, 1.5D AS c")
+    assert json.loads(t.to_json_rows(df).first()["json"]) == {"a": None, "b": None, "c": 1.5}
+
+
+def test_datasets_in_other_formats(spark, staff):
+    root = scratch_path(spark, "datasets")
+    t.write_dataset(staff, root, "staff", fmt="csv", header=True)
+    back = t.read_dataset(spark, root, "staff", "csv", header=True, inferSchema=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, staff.collect()))
+
+
 def test_typed_rows(spark):
     schema = [
         {"name": "n", "original_type": "int"},
