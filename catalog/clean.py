@@ -103,7 +103,7 @@ _IMPUTED = ["o_custkey", "o_totalprice"]
 
 def _imputed(spark, folder, strategy):
     orders = with_gaps(spark, folder, "orders").select("o_orderkey", *_IMPUTED)
-    filled = clean.impute_numeric(orders, strategy, _IMPUTED, relative_error=1e-5)
+    filled = clean.impute_numeric(orders, strategy, _IMPUTED)
     return rounded(filled, 4, "o_totalprice")
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from tablume.functions.columns import (
 from tablume.functions.stats import percent, zscore
 from tablume.functions.tables import per_column, small_table
 from tablume.operators.profile import column_modes
+from tablume.operators.quantiles import exact_quantiles
 
 Names = Sequence[str] | None
 STRATEGIES = ("mean", "median", "mode")
@@ -33,32 +33,40 @@ OUTLIER_METHODS = ("zscore",)
 
 
 def impute_numeric(
-    df: DataFrame, strategy: str = "mean", columns: Names = None, relative_error: float = 1e-3
+    df: DataFrame, strategy: str = "mean", columns: Names = None
 ) -> DataFrame:
     """Fill numeric nulls and NaNs in place with the column's mean, median or mode.
 
     Columns keep their type, so a mean filled into a whole-number column is truncated. The
-    median is an actual value with rank error at most ``relative_error``.
+    median is an actual value (the lower of the two in the middle).
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unsupported strategy: {strategy!r}; use one of {', '.join(STRATEGIES)}")
     fields = fields_of(df, numeric_columns(df, columns))
     if not fields:
         return df
-    inputs = [f"v{i}" for i in range(len(fields))]
-    values = df.select(*[col(f.name).alias(v) for v, f in zip(inputs, fields)])
-    imputer = Imputer(
-        inputCols=inputs, outputCols=inputs, strategy=strategy, relativeError=relative_error
-    )
-    fill = imputer.fit(values).surrogateDF.first()
+    fill = _fill_values(df, [f.name for f in fields], strategy)
+    empty = [name for name, value in fill.items() if value is None]
+    if empty:
+        raise ValueError("no values to impute from in: " + ", ".join(empty))
     return df.withColumns(
         {
-            f.name: F.when(is_null(f), F.lit(float(fill[v])).cast(f.dataType)).otherwise(col(f.name))
-            for v, f in zip(inputs, fields)
+            f.name: F.when(is_null(f), F.lit(fill[f.name]).cast(f.dataType)).otherwise(col(f.name))
+            for f in fields
         }
     )
 
 
+def _fill_values(df: DataFrame, names: Sequence[str], strategy: str) -> dict:
+    """Value per column, ``None`` where there is none; modes as text, so long integers stay exact."""
+    if strategy == "median":
+        return {n: v[0] for n, v in exact_quantiles(df, names, [0.5], interpolate=False).items()}
+    if strategy == "mean":
+        return {n: mean for n, (mean, _) in _moments(df, names).items()}
+    found = {r["column"]: r["mode"] for r in column_modes(df, names).collect()}
+    return {n: found.get(n) for n in names}
+
+
 def impute_categorical(df: DataFrame, columns: Names = None) -> DataFrame:
     """Fill nulls of non-numeric columns with the column's most frequent value.
 

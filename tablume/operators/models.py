@@ -49,6 +49,8 @@ CLASSIFIERS = {
     "gbt_classifier": (GBTClassifier, {"maxIter": 50, "maxDepth": 5, "seed": SEED}),
 }
 DEFAULT_CLUSTERS = 5
+TRAINED = "Model trained successfully."
+NOTHING_TO_EVALUATE = "Warning: no rows to evaluate."
 
 
 @dataclass
@@ -182,7 +184,7 @@ def train_regressor(
     estimator = _estimator(REGRESSORS, algorithm, params)
     model, row = _fit(prepared, estimator, holdout, lambda _, p: rmse(p).first())
     metrics = {"rmse": row["rmse"], "total": row["total"], **prepared.counts}
-    message = "Model trained successfully." if row["total"] else "Warning: no rows to evaluate."
+    message = TRAINED if row["total"] else NOTHING_TO_EVALUATE
     return Trained("regression", algorithm, model, prepared, metrics, message)
 
 
@@ -200,7 +202,7 @@ def train_classifier(
         "total": row["total"],
         **prepared.counts,
     }
-    message = "Model trained successfully." if row["total"] else "Warning: no rows to evaluate."
+    message = TRAINED if row["total"] else NOTHING_TO_EVALUATE
     return Trained("classification", algorithm, model, prepared, metrics, message)
 
 
@@ -233,7 +235,7 @@ def train_clusters(
     spark = prepared.df.sparkSession
     metrics = {"k": k, "total": sum(sizes), "silhouette": score_, **prepared.counts}
     trained = Trained(
-        "clustering", "kmeans", model, prepared, metrics, "Model trained successfully."
+        "clustering", "kmeans", model, prepared, metrics, TRAINED
     )
     trained.tables["sizes"] = small_table(
         spark, list(enumerate(sizes)), "cluster int, size bigint"

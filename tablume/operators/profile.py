@@ -33,6 +33,7 @@ from tablume.functions.columns import (
 from tablume.functions.sketches import SKETCH_SIZE, quantile_sketches
 from tablume.functions.stats import pearson, percent
 from tablume.functions.tables import chunks, long_values, per_column, small_table, union_all
+from tablume.operators.quantiles import exact_quantiles
 
 Names = Sequence[str] | None
 
@@ -92,12 +93,12 @@ def numeric_profile(df: DataFrame, columns: Names = None) -> DataFrame:
 
 
 def numeric_summary(
-    df: DataFrame, columns: Names = None, sketch_size: int = SKETCH_SIZE
+    df: DataFrame, columns: Names = None, approx: bool = False, sketch_size: int = SKETCH_SIZE
 ) -> DataFrame:
-    """``summary()`` in long form: count, mean, stddev, min, approximate quartiles, max.
+    """``summary()`` in long form: count, mean, stddev, min, quartiles, max.
 
-    The quartiles are actual values; a sketch of 4096 values puts their ranks within 0.2 % of the
-    rows, and a column of no more values than the sketch holds gets its exact ones.
+    The quartiles are actual values, not interpolated. ``approx`` reads them off one sketch, whose
+    4096 values put their ranks within 0.2 % of the rows, and saves the passes that settle them.
     """
     fields = require_numeric(df, numeric_columns(df) if columns is None else columns)
     moments = per_column(
@@ -111,9 +112,18 @@ def numeric_summary(
             "max": lambda f: F.max(as_double(f)),
         },
     )
-    quartiles = quantile_sketches(
-        df, fields, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, size=sketch_size
-    )
+    ranks = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    if approx:
+        quartiles = quantile_sketches(df, fields, ranks, size=sketch_size)
+    else:
+        found = exact_quantiles(
+            df, [f.name for f in fields], list(ranks.values()), interpolate=False
+        )
+        quartiles = small_table(
+            df.sparkSession,
+            [(name, *values) for name, values in found.items()],
+            "column string, p25 double, p50 double, p75 double",
+        )
     return moments.join(quartiles, "column").select(
         "column", "count", "mean", "stddev", "min", "p25", "p50", "p75", "max"
     )

@@ -49,31 +49,50 @@ class _Target:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], size: int = SKETCH_SIZE
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    interpolate: bool = True,
+    size: int = SKETCH_SIZE,
 ) -> dict[str, list[float | None]]:
-    """Per column, the value at each probability; ``None`` where the column has no values."""
-    return sized_quantiles(df, columns, probabilities, size)[0]
+    """Per column, the value at each probability; ``None`` where the column has no values.
+
+    Without ``interpolate`` it is an actual value: the first whose share of values up to and
+    including it reaches the probability.
+    """
+    return sized_quantiles(df, columns, probabilities, interpolate, size)[0]
 
 
 def sized_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], size: int = SKETCH_SIZE
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    interpolate: bool = True,
+    size: int = SKETCH_SIZE,
 ) -> tuple[dict[str, list[float | None]], dict[str, int]]:
     """:func:`exact_quantiles` together with each column's number of values."""
     fields = require_numeric(df, columns)
-    probabilities = list(probabilities)
+    places = _between_ranks if interpolate else _at_rank
     values = df.select(*[as_double(f).alias(f"v{i}") for i, f in enumerate(fields)])
     names = {f.name: f"v{i}" for i, f in enumerate(fields)}
-    sizes, targets = _first_look(values, list(names.values()), probabilities, size)
+    sizes, targets = _first_look(
+        values, list(names.values()), lambda n: [places(n, p)[:2] for p in probabilities], size
+    )
     pending = targets
     while pending:
         for brackets in chunks(list(dict.fromkeys(t.bracket for t in pending)), _PER_PASS):
             _look_around(values, brackets, [t for t in pending if t.bracket in brackets], size)
         pending = [t for t in pending if t.value is None]
     found = {(t.column, t.rank): t.value for t in targets}
-    answers = {
-        name: [_interpolate(found, v, sizes[v], p) for p in probabilities]
-        for name, v in names.items()
-    }
+
+    def answer(v: str, p: float) -> float | None:
+        if sizes[v] == 0:
+            return None
+        below, above, part = places(sizes[v], p)
+        low, high = found[v, below], found[v, above]
+        return low if low == high else low + (high - low) * part
+
+    answers = {name: [answer(v, p) for p in probabilities] for name, v in names.items()}
     return answers, {name: sizes[v] for name, v in names.items()}
 
 
@@ -90,18 +109,16 @@ def quantile_table(
     return small_table(df.sparkSession, rows, "column string, probability double, value double")
 
 
-def _position(n: int, p: float) -> tuple[int, int, float]:
+def _between_ranks(n: int, p: float) -> tuple[int, int, float]:
+    """The two 0-based ranks around a probability and how far it lies between them."""
     at = p * (n - 1)
     below = math.floor(at)
     return below, min(math.ceil(at), n - 1), at - below
 
 
-def _interpolate(found: dict, v: str, n: int, p: float) -> float | None:
-    if n == 0:
-        return None
-    below, above, part = _position(n, p)
-    low, high = found[v, below], found[v, above]
-    return low if low == high else low + (high - low) * part
+def _at_rank(n: int, p: float) -> tuple[int, int, float]:
+    rank = max(math.ceil(p * n) - 1, 0)
+    return rank, rank, 0.0
 
 
 def _around(low: int, high: int, n: int, size: int) -> list[float]:
@@ -110,7 +127,7 @@ def _around(low: int, high: int, n: int, size: int) -> list[float]:
     return [max((low + 0.5) / n - slack, 0.0), min((high + 0.5) / n + slack, 1.0)]
 
 
-def _first_look(values, columns, probabilities, size) -> tuple[dict[str, int], list[_Target]]:
+def _first_look(values, columns, places, size) -> tuple[dict[str, int], list[_Target]]:
     """Size, range and first brackets of every column, in one pass."""
     spark, sizes, targets = values.sparkSession, {}, []
     for group in chunks(columns, _PER_PASS):
@@ -124,7 +141,7 @@ def _first_look(values, columns, probabilities, size) -> tuple[dict[str, int], l
         for v in group:
             sizes[v] = row[f"{v}_n"]
         filled = [v for v in group if sizes[v]]
-        pairs = {v: dict.fromkeys(_position(sizes[v], p)[:2] for p in probabilities) for v in filled}
+        pairs = {v: dict.fromkeys(places(sizes[v])) for v in filled}
         reads = [
             (row[v], [e for low, high in pairs[v] for e in _around(low, high, sizes[v], size)])
             for v in filled

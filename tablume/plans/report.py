@@ -23,7 +23,10 @@ from tablume.sources.readers import write_dataset
 
 CLUSTERS = 3
 
-# The transformation notes and the closing sentences.
+# Titles, transformation notes, reasons for skipping and closing sentences.
+REGRESSION_TITLE = "Regression (Linear Regression)"
+CLASSIFICATION_TITLE = "Classification (Random Forest)"
+CLUSTERING_TITLE = "Clustering (KMeans, k={k})"
 NUMERIC_NOTE = (
     "Numeric Feature Handling",
     "Casting to DoubleType, Vector Assembly, Standardization",
@@ -32,6 +35,12 @@ CATEGORICAL_NOTE = ("Categorical Feature Handling", "String Indexing")
 MISSING_NOTE = ("Missing Value Handling", "Rows with null labels are dropped")
 TRAINED = "Models were successfully trained and evaluated. See above for details."
 NOT_TRAINED = "No models could be successfully trained on this dataset."
+NO_REGRESSION_TARGET = "Skipped: No suitable numeric target for regression."
+NO_REGRESSION_FEATURES = "Skipped: Not enough features for regression."
+NO_CLASSIFICATION_TARGET = "Skipped: No suitable target for classification."
+NO_CLASSIFICATION_FEATURES = "Skipped: Not enough features for classification."
+NO_CLUSTERING_FEATURES = "Skipped: Not enough numeric columns for clustering."
+NO_ROWS = "Skipped: Cleaned data is empty."
 
 _SUMMARY = (
     "task string, target string, features string, status string, metric string, "
@@ -104,7 +113,7 @@ def _attempt(run: Callable[[], Trained]) -> tuple[Trained | None, str, str]:
     try:
         return run(), "ok", ""
     except _NothingLeft:
-        return None, "skipped", "Skipped: Cleaned data is empty."
+        return None, "skipped", NO_ROWS
     except Exception as error:
         reason = str(error).splitlines()[0] if str(error) else type(error).__name__
         return None, "failed", f"Failed: {reason}"
@@ -139,17 +148,17 @@ def build_report(
         report.tables[f"sample_{task.lower()}"] = trained.sample(order_by)
 
     def skipped(task, why):
-        rows.append((task, None, None, "skipped", None, None, f"Skipped: {why}"))
+        rows.append((task, None, None, "skipped", None, None, why))
 
     target = regression_target(df, exclude)
     features = [c for c in everything if c != target]
     if not target:
-        skipped("Regression", "No suitable numeric target for regression.")
+        skipped("Regression", NO_REGRESSION_TARGET)
     elif not features:
-        skipped("Regression", "Not enough features for regression.")
+        skipped("Regression", NO_REGRESSION_FEATURES)
     else:
         record(
-            "Regression", "Regression (Linear Regression)", target, features,
+            "Regression", REGRESSION_TITLE, target, features,
             lambda: train_regressor(_usable(prepare(df, features, target, keep)), **(regression_options or {})),
             lambda t: ("rmse", t.metrics["rmse"], _text("RMSE: ", t.metrics["rmse"]),
                        _text("Regression RMSE: ", t.metrics["rmse"])),
@@ -158,22 +167,22 @@ def build_report(
     label = classification_target(df, exclude)
     inputs = [c for c in everything if c != label]
     if not label:
-        skipped("Classification", "No suitable target for classification.")
+        skipped("Classification", NO_CLASSIFICATION_TARGET)
     elif not inputs:
-        skipped("Classification", "Not enough features for classification.")
+        skipped("Classification", NO_CLASSIFICATION_FEATURES)
     else:
         record(
-            "Classification", "Classification (Random Forest)", label, inputs,
+            "Classification", CLASSIFICATION_TITLE, label, inputs,
             lambda: train_classifier(_usable(prepare(df, inputs, label, keep)), **(classification_options or {})),
             lambda t: ("accuracy", t.metrics["accuracy"], _share("Accuracy: ", t.metrics["accuracy"]),
                        _share("Classification Accuracy: ", t.metrics["accuracy"])),
         )
 
     if not can_cluster(df, exclude):
-        skipped("Clustering", "Not enough numeric columns for clustering.")
+        skipped("Clustering", NO_CLUSTERING_FEATURES)
     else:
         record(
-            "Clustering", f"Clustering (KMeans, k={clusters})", None, numeric,
+            "Clustering", CLUSTERING_TITLE.format(k=clusters), None, numeric,
             lambda: train_clusters(_usable(prepare(df, numeric, keep=keep)), clusters),
             lambda t: ("clusters", float(clusters), f"Cluster Sizes: {_sizes(t)}",
                        f"Cluster sizes: {_sizes(t)}"),

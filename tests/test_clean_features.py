@@ -35,6 +35,21 @@ def test_strategies(people, strategy, age):
     assert t.impute_numeric(people, strategy).filter("id = 2").first()["age"] == age
 
 
+def test_modes_of_long_integers_and_floats_are_exact(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (9007199254740993L, CAST(0.1 AS FLOAT), 1.50BD), (NULL, NULL, NULL) AS v(l, f, d)"
+    )
+    rows = t.impute_numeric(df, "mode").distinct().collect()
+    assert len(rows) == 1 and rows[0]["l"] == 9007199254740993
+
+
+def test_nothing_to_impute_from(spark):
+    df = spark.sql("SELECT CAST(NULL AS INT) AS x")
+    for strategy in ("mean", "median", "mode"):
+        with pytest.raises(ValueError, match="no values to impute from in: x"):
+            t.impute_numeric(df, strategy)
+
+
 def test_unknown_strategy(people):
     with pytest.raises(ValueError, match="strategy"):
         t.impute_numeric(people, "guess")

@@ -95,6 +95,16 @@ def test_few_distinct_is_exact_beyond_the_first_rows(spark):
     assert found == {"id": None, "late": None, "few": 3, "gap": 2}
 
 
+def test_summary_quartiles_are_values(spark):
+    df = spark.range(10001).selectExpr("id AS x")
+    exact = t.numeric_summary(df).first()
+    assert (exact["p25"], exact["p50"], exact["p75"], exact["count"]) == (2500, 5000, 7500, 10001)
+    near = t.numeric_summary(df, approx=True).first()
+    assert abs(near["p50"] - 5000) < 40 and near["p25"] == int(near["p25"])
+    small = t.numeric_summary(spark.range(4).selectExpr("id AS x"), approx=True).first()
+    assert (small["p25"], small["p50"], small["p75"]) == (0, 1, 2)
+
+
 def test_sample_values_follow_the_row_order(spark):
     df = spark.createDataFrame([(3, "c"), (1, None), (2, "b"), (9, "z")], "k int, v string")
     rows = t.sample_values(df, ["k"], ["v"], k=2).orderBy("position").collect()
