@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablume.llm import chat, exact_dedup, sharding
+import public_tokenizers
+
+from tablume.llm import chat, exact_dedup, licenses, packing, sharding, training_order
 from tablume.llm.common import table
+from tablume.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +89,42 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "text",
     )
     return chat.digests(chat.read_back(chat.render(chat.fold_events(events))))
+
+
+def tokenizer_path() -> str:
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_training_order")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "training-order")
+    docs = table(spark, folder, "documents")
+    made = training_order.materialise(docs, path, tokenizer_path(), key=20)
+    back = training_order.stored(spark, path).select(
+        "slot",
+        F.col("length").alias("stored_length"),
+        F.col("ids_crc32").alias("stored_crc32"),
+    )
+    return made.join(back, "slot", "left").select(
+        F.col("id").alias("doc_id"),
+        "piece",
+        "length",
+        "ids_crc32",
+        "slot",
+        "shard",
+        "place",
+        "stored_length",
+        "stored_crc32",
+    )
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.token_pieces(table(spark, folder, "documents"), tokenizer_path())
+    return packing.pack(cut).withColumnRenamed("id", "doc_id")
