@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tablume.llm import chat, exact_dedup, licenses, packing, sharding, training_order
+from tablume.llm import chat, decontamination, exact_dedup, licenses, packing, sharding, training_order
 from tablume.llm.common import table
 from tablume.sources.scratch import scratch_path
 
@@ -128,3 +128,50 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.token_pieces(table(spark, folder, "documents"), tokenizer_path())
     return packing.pack(cut).withColumnRenamed("id", "doc_id")
+
+
+WORDS_SQL = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op6_decontamination",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+    b AS (SELECT item_id, w, least(13, len(w)) AS n
+          FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+           FROM b, unnest(range(1, len(w) - n + 2)) AS t(i)),
+    sizes AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+           FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+    m AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, s)),
+    h AS (SELECT r, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + n)) AS t(p) GROUP BY r),
+    k AS (SELECT r, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT CAST(item_id AS VARCHAR), ','
+                            ORDER BY CAST(item_id AS VARCHAR)) AS ids
+          FROM m GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return contaminated(found).withColumnRenamed("id", "doc_id").drop("hits", "items")
+
+
+def contaminated(found: DataFrame) -> DataFrame:
+    """Counts of hits and items, and whether hits are a twentieth of the words or more."""
+    n_hit = F.size("hits").cast("bigint")
+    return found.withColumns(
+        {
+            "n_hit": n_hit,
+            "n_items": F.size("items").cast("bigint"),
+            "items_sha256": F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256),
+            "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words")),
+        }
+    )
