@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tablume.llm import chat, decontamination, exact_dedup, licenses, packing, sharding, training_order
+from tablume.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    licenses,
+    ngram_join,
+    packing,
+    sharding,
+    training_order,
+)
 from tablume.llm.common import table
 from tablume.sources.scratch import scratch_path
 
@@ -27,6 +36,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_ngram_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        "links",
+    )
+
+
 @query(
     "op3_exact_dedup",
     r"""
