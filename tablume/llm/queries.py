@@ -16,6 +16,7 @@ from tablume.llm import (
     licenses,
     ngram_join,
     packing,
+    quality,
     sharding,
     training_order,
 )
@@ -194,3 +195,15 @@ def contaminated(found: DataFrame) -> DataFrame:
             "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words")),
         }
     )
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
