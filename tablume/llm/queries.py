@@ -13,6 +13,7 @@ from tablume.llm import (
     chat,
     decontamination,
     exact_dedup,
+    html_text,
     licenses,
     ngram_join,
     packing,
@@ -207,3 +208,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages")).withColumn(
+        "n_chars", F.length("text").cast("bigint")
+    )
