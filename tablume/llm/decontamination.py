@@ -17,13 +17,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablume.llm.common import NON_ALNUM, Words, hashes_at, slices, windows
+from tablume.llm.common import NON_ALNUM, Words, durable, fresh, hashes_at, slices, windows
 
 WINDOW = 13
 SHINGLE = 5
 #: Windows that tasks hold at once (about 150 bytes each); more of them are matched block by block.
 BLOCK_WINDOWS = 200_000
 _READ_ITEMS = 1_000
+#: Contaminated rows that tasks may hold to leave them out (16 bytes each); beyond, rows are joined.
+IDS_HELD = 1_000_000
 
 MATCHES = "id long, key long, n_words long, hits array<int>, items array<string>"
 
@@ -235,7 +237,7 @@ def contamination(
     spark = documents.sparkSession
     texts = documents.select(
         F.col(id_column).cast("long").alias("id"),
-        F.xxhash64(text_column, F.length(text_column)).alias("key"),
+        _key(text_column).alias("key"),
         F.col(text_column).alias("text"),
     )
     found = []
@@ -259,10 +261,43 @@ def contamination(
         same = out["id"].eqNullSafe(more["id"]) & (out["key"] == more["key"])
         out = out.join(more, same, "left").select(
             out["id"],
+            out["key"],
             "n_words",
             F.array_union("hits", F.coalesce("more_hits", F.array().cast("array<int>"))).alias("hits"),
             F.array_sort(
                 F.array_union("items", F.coalesce("more_items", F.array().cast("array<string>")))
             ).alias("items"),
         )
-    return out.select("id", "n_words", "hits", "items")
+    return out.select("id", "key", "n_words", "hits", "items")
+
+
+def contaminated(found: DataFrame) -> DataFrame:
+    """``found`` with counts of hits and items, and whether hits are a twentieth of the words or
+    more."""
+    n_hit = F.size("hits").cast("bigint")
+    return found.withColumns(
+        {
+            "n_hit": n_hit,
+            "n_items": F.size("items").cast("bigint"),
+            "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words")),
+        }
+    )
+
+
+def decontaminate(
+    documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``documents`` that are not contaminated, with all their columns."""
+    found = contaminated(contamination(documents, benchmark, id_column, text_column))
+    row, key = fresh(documents, "row"), fresh(documents, "key")
+    dirty = durable(
+        found.where("contaminated").select(F.col("id").alias(row), F.col("key").alias(key)),
+        "contaminated",
+    )
+    few = dirty.count() <= IDS_HELD
+    same = F.col(id_column).eqNullSafe(F.col(row)) & (_key(text_column) == F.col(key))
+    return documents.join(F.broadcast(dirty) if few else dirty, same, "left_anti")
+
+
+def _key(text_column: str):
+    return F.xxhash64(text_column, F.length(text_column))

@@ -182,19 +182,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
-    return contaminated(found).withColumnRenamed("id", "doc_id").drop("hits", "items")
-
-
-def contaminated(found: DataFrame) -> DataFrame:
-    """Counts of hits and items, and whether hits are a twentieth of the words or more."""
-    n_hit = F.size("hits").cast("bigint")
-    return found.withColumns(
-        {
-            "n_hit": n_hit,
-            "n_items": F.size("items").cast("bigint"),
-            "items_sha256": F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256),
-            "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words")),
-        }
+    return decontamination.contaminated(found).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        "contaminated",
     )
 
 
