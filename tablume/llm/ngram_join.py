@@ -228,8 +228,8 @@ def _signed(signature: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
 
 
 def shared(signed: DataFrame, parts: int) -> DataFrame:
-    """``a, b, common``: pairs of digests that share a rare signature, and, where ``common``,
-    entry and signature of common ones.
+    """``a, b, times, common``: pairs of digests and how many rare signatures they share (in all
+    rows of a pair), and, where ``common``, entry and signature of common ones.
 
     Rows come sorted by signature; a task holds one batch and at most RARE rows more.
     """
@@ -264,7 +264,7 @@ def shared(signed: DataFrame, parts: int) -> DataFrame:
     return (
         signed.repartition(parts, "signature")
         .sortWithinPartitions("signature", "entry")
-        .mapInArrow(group, "a long, b long, common boolean")
+        .mapInArrow(group, "a long, b long, times long, common boolean")
     )
 
 
@@ -295,45 +295,81 @@ def _grouped(signature, entry, common, pairs: list[np.ndarray]) -> Iterator[pa.R
 
 def _emit(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     if pairs:
-        unique = np.unique(np.concatenate(pairs), axis=0)
+        every = np.concatenate(pairs)
         pairs.clear()
-        yield _found(unique[:, 0], unique[:, 1], False)
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(axis=1)
+        begin = np.flatnonzero(new)
+        times = np.diff(np.append(begin, len(every)))
+        yield _found(every[begin, 0], every[begin, 1], False, times)
 
 
-def _found(a: np.ndarray, b: np.ndarray, common: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a), pa.array(b), pa.array(np.full(len(a), common))], names=["a", "b", "common"]
+def _found(a: np.ndarray, b: np.ndarray, common: bool, times: np.ndarray | None = None) -> pa.RecordBatch:
+    times = np.ones(len(a), np.int64) if times is None else times
+    columns = [pa.array(a), pa.array(b), pa.array(times), pa.array(np.full(len(a), common))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "times", "common"])
+
+
+def entries(profiled: DataFrame, chosen: dict[int, int], common: DataFrame) -> DataFrame:
+    """``entry, digest, n, capacity, weight, times`` of each set in its own band and, where it has
+    signatures there, in the next: what its segments absorb, how much of that one signature
+    stands for at most, and how many of its signatures are common."""
+    kinds = F.create_map(*[F.lit(x) for kv in (chosen or {-1: TOKEN}).items() for x in kv])
+    each = profiled.where("n > 0").dropDuplicates(["digest"])
+    parts = []
+    for low, exact, deletion in ((0, "exact", "deletion"), (1, "low_exact", "low_deletion")):
+        kind = F.try_element_at(kinds, F.col("band") + low)
+        some = each.where(kind.isNotNull())
+        if low:
+            some = some.where(5 * F.col("n") >= 4 * F.expr("shiftleft(2L, band)"))
+        capacity = F.when(kind == EXACT, F.col(exact)).when(kind == DELETION, F.col(deletion))
+        parts.append(
+            some.select(
+                (2 * F.col("digest") + low).alias("entry"),
+                "digest",
+                "n",
+                F.coalesce(capacity, "n").alias("capacity"),
+                F.when(kind == DELETION, 2).otherwise(1).alias("weight"),
+            )
+        )
+    counts = common.groupBy("entry").agg(F.count("*").alias("times"))
+    both = parts[0].unionByName(parts[1])
+    return both.join(counts, "entry", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+
+
+def candidates(pairs: DataFrame, entry: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that share as many signatures as sets that link must.
+
+    If they link they differ in (a + b) / 9 shingles at most; the segments of the larger set that
+    these leave alone are shared signatures, rare ones, counted here, or common ones.
+    """
+    own = entry.where("entry % 2 = 0")
+    side = lambda c: own.select(
+        F.col("digest").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "capacity", "weight", "times"))
+    )
+    larger = lambda x: F.when(F.col("a_n") >= F.col("b_n"), F.col(f"a_{x}")).otherwise(F.col(f"b_{x}"))
+    left_alone = larger("capacity") - F.floor((F.col("a_n") + F.col("b_n")) / 9)
+    return (
+        pairs.groupBy("a", "b")
+        .agg(F.sum("times").alias("shared"))
+        .join(side("a"), "a")
+        .join(side("b"), "b")
+        .where(5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
+        .where((F.col("shared") + larger("times")) * larger("weight") >= left_alone)
+        .select("a", "b")
     )
 
 
-def pivots(common: DataFrame, profiled: DataFrame, chosen: dict[int, int]) -> DataFrame:
+def pivots(common: DataFrame, entry: DataFrame) -> DataFrame:
     """``a, b``: a pivot's digest, and that of each set that must be compared with it.
 
     ``common`` has ``entry, signature``. An entry whose other signatures absorb all differences is
     found by those; pairs of the remaining entries share a common signature, whose pivot is the
     entry with most of them.
     """
-    kinds = F.create_map(*[F.lit(x) for kv in (chosen or {-1: TOKEN}).items() for x in kv])
-    own_kind, low_kind = F.try_element_at(kinds, "band"), F.try_element_at(kinds, F.col("band") + 1)
-    spare = lambda kind, exact, deletion: (
-        F.when(kind == EXACT, F.col(exact)).when(kind == DELETION, F.col(deletion)).otherwise(F.col("n"))
-    )
-    each = profiled.where("n > 0").dropDuplicates(["digest"])
-    entries = each.select(
-        (2 * F.col("digest")).alias("entry"),
-        (spare(own_kind, "exact", "deletion") - F.floor(2 * F.col("n") / 9)).alias("spare"),
-        F.when(own_kind == DELETION, 2).otherwise(1).alias("weight"),
-    ).unionByName(
-        each.where(5 * F.col("n") >= 4 * F.expr("shiftleft(2L, band)"))
-        .where(low_kind.isNotNull())
-        .select(
-            (2 * F.col("digest") + 1).alias("entry"),
-            (spare(low_kind, "low_exact", "low_deletion") - F.floor(F.col("n") / 4)).alias("spare"),
-            F.when(low_kind == DELETION, 2).otherwise(1).alias("weight"),
-        )
-    )
-    counts = common.groupBy("entry").agg(F.count("*").alias("times"))
-    needy = counts.join(entries, "entry").where(F.col("spare") - F.col("times") * F.col("weight") < 1)
+    need = F.when(F.col("entry") % 2 == 0, F.floor(2 * F.col("n") / 9)).otherwise(F.floor(F.col("n") / 4))
+    needy = entry.where((F.col("times") > 0) & (F.col("capacity") - F.col("times") * F.col("weight") <= need))
     rows = durable(common.join(needy.select("entry", "times"), "entry"), "common-signatures")
     centre = rows.groupBy("signature").agg(
         F.max(F.struct("times", "entry")).alias("centre"), F.count("*").alias("sets")
@@ -515,10 +551,10 @@ def similar(
     chosen, total = allocation(profiled)
     parts = max(1, -(-total // SIGNATURES_PER_PART))
     found = durable(shared(signatures(texts, chosen), parts), "shared-signatures")
-    pairs = found.where("NOT common").select("a", "b").distinct()
-    pairs = durable(pairs, "pairs")
     common = found.where("common").select(F.col("a").alias("entry"), F.col("b").alias("signature"))
-    around = durable(pivots(common, profiled, chosen), "around-pivots")
+    entry = durable(entries(profiled, chosen, common), "entries")
+    pairs = durable(candidates(found.where("NOT common"), entry), "pairs")
+    around = durable(pivots(common, entry), "around-pivots")
     both = pairs.unionByName(around)
     nodes = both.select(F.col("a").alias("digest")).union(both.select("b")).distinct()
     wanted = classes.join(nodes, "digest", "left_semi").select("id").distinct()
