@@ -37,7 +37,7 @@ EXACT, DELETION, TOKEN = 0, 1, 2
 
 PROFILE = (
     "id long, n long, digest long, check long, band int, exact long, deletion long, "
-    "deletion_cost long, low_exact long, low_deletion long"
+    "deletion_cost long, low_exact long, low_deletion long, key long"
 )
 
 
@@ -149,7 +149,11 @@ def profiles(texts: DataFrame) -> DataFrame:
                 for fill, deletions in ((EXACT_FILL, False), (DELETION_FILL, True)):
                     columns.append(Segments(sets, low, band + 1, fill).capacity(deletions))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), *map(pa.array, columns)],
+                    [
+                        batch.column(0).slice(at, to - at),
+                        *map(pa.array, columns),
+                        batch.column(2).slice(at, to - at),
+                    ],
                     schema=pa.schema(
                         [(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in PROFILE.split(", ")]
                     ),
@@ -366,7 +370,7 @@ def pivots(common: DataFrame, entry: DataFrame) -> DataFrame:
 
     ``common`` has ``entry, signature``. An entry whose other signatures absorb all differences is
     found by those; pairs of the remaining entries share a common signature, whose pivot is the
-    entry with most of them.
+    entry with most of them. All entries of a signature are compared with one pivot.
     """
     need = F.when(F.col("entry") % 2 == 0, F.floor(2 * F.col("n") / 9)).otherwise(F.floor(F.col("n") / 4))
     needy = entry.where((F.col("times") > 0) & (F.col("capacity") - F.col("times") * F.col("weight") <= need))
@@ -374,9 +378,21 @@ def pivots(common: DataFrame, entry: DataFrame) -> DataFrame:
     centre = rows.groupBy("signature").agg(
         F.max(F.struct("times", "entry")).alias("centre"), F.count("*").alias("sets")
     )
+    around = rows.join(centre.where("sets > 1"), "signature")
+    # an entry's hub is the foremost of its signatures' pivots; a signature whose entries all have
+    # one hub needs no pivot of its own
+    hubs = around.groupBy("entry").agg(F.max("centre").alias("hub"))
+    hubbed = durable(
+        around.join(hubs, "entry").select(
+            "signature", "entry", F.col("centre.entry").alias("centre"), F.col("hub.entry").alias("hub")
+        ),
+        "hubs",
+    )
+    of_one = hubbed.groupBy("signature").agg((F.min("hub") == F.max("hub")).alias("one"))
     return (
-        rows.join(centre.where("sets > 1"), "signature")
-        .select(F.expr("centre.entry div 2").alias("a"), F.expr("entry div 2").alias("b"))
+        hubbed.join(of_one, "signature")
+        .select(F.when(F.col("one"), F.col("hub")).otherwise(F.col("centre")).alias("pivot"), "entry")
+        .select(F.expr("pivot div 2").alias("a"), F.expr("entry div 2").alias("b"))
         .where("a != b")
         .distinct()
     )
@@ -466,9 +482,11 @@ _STAR = pa.schema(
 )
 
 
-def beside_pivots(star: DataFrame) -> DataFrame:
+def beside_pivots(star: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of sets of one pivot, one of them not linked with it, that may link with each other.
 
+    Sets that links found so far hold together already (one component in ``labels``) are left out.
+
     With D the shingles in which a set differs from the pivot, sets u and s differ in
     |D(u)| + |D(s)| - 2 |D(u) & D(s)| shingles, which is (u + s) / 9 at most if they link. For an
     unlinked u this asks for more than half of D(s) (up to the difference of the sizes), so a
@@ -488,15 +506,18 @@ def beside_pivots(star: DataFrame) -> DataFrame:
                             pa.array(np.full(n, row["a"])), pa.array(d[:n]),
                             pa.array(np.full(n, row["b"])), pa.array(np.full(n, row["b_size"])),
                             pa.array(np.full(n, len(d))), pa.array(np.arange(n)),
-                            pa.array(np.full(n, probe)),
+                            pa.array(np.full(n, probe)), pa.array(np.full(n, row["label"])),
                         ],
-                        names=["pivot", "shingle", "node", "size", "differing", "place", "probe"],
+                        names=["pivot", "shingle", "node", "size", "differing", "place", "probe", "label"],
                     )
 
+    known = labels.select(F.col("node").alias("b"), F.col("component").alias("label"))
+    labelled = star.join(known, "b", "left").withColumn("label", F.coalesce("label", "b"))
     tokens = durable(
-        star.mapInArrow(
+        labelled.mapInArrow(
             spread,
-            "pivot long, shingle long, node long, size long, differing long, place long, probe boolean",
+            "pivot long, shingle long, node long, size long, differing long, place long, "
+            "probe boolean, label long",
         ),
         "differences",
     )
@@ -504,7 +525,7 @@ def beside_pivots(star: DataFrame) -> DataFrame:
     s = tokens.where("NOT probe").alias("s")
     left = F.least(F.expr("u.differing - u.place"), F.expr("s.differing - s.place"))
     may = (
-        F.expr("u.pivot = s.pivot AND u.shingle = s.shingle AND u.node != s.node")
+        F.expr("u.pivot = s.pivot AND u.shingle = s.shingle AND u.label != s.label")
         & (18 * left >= F.expr("9 * (u.differing + s.differing) - u.size - s.size"))
         & F.expr("5 * least(u.size, s.size) >= 4 * greatest(u.size, s.size)")
     )
@@ -521,7 +542,7 @@ def beside_pivots(star: DataFrame) -> DataFrame:
 def similar(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ids_held: int = IDS_HELD
 ) -> DataFrame:
-    """``id, n, component, links`` for every row of ``df``.
+    """``id, n, component, links, node, key`` for every row of ``df``.
 
     ``n`` is the size of the row's set of 5-word shingles (A-Z in lower case; words between ASCII
     white space; a text of fewer words is one shingle). ``component`` is the smallest id that
@@ -534,7 +555,11 @@ def similar(
     Every text is read three times, by tasks that shuffle signatures (8 byte numbers), never texts
     or all sets; sets are gathered only for the candidates.
     """
-    texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = df.select(
+        F.col(id_column).cast("long").alias("id"),
+        F.col(text_column).alias("text"),
+        _key(text_column).alias("key"),
+    )
     profiled = durable(profiles(texts), "profiles")
     classes = durable(
         profiled.where("n > 0")
@@ -561,15 +586,15 @@ def similar(
     sets = durable(sets_of(texts, wanted, ids_held), "sets")
     star = durable(stars(around, sets), "stars")
     links = durable(
-        compared(pairs, sets)
-        .unionByName(star.where("linked").select("a", "b"))
-        .unionByName(compared(beside_pivots(star), sets)),
-        "links",
+        compared(pairs, sets).unionByName(star.where("linked").select("a", "b")), "links"
     )
-    labels = components(links)
+    first = durable(components(links), "first-components")
+    beside = durable(compared(beside_pivots(star, first), sets), "links-beside-pivots")
+    labels = _joined(first, beside)
+    links = links.unionByName(beside)
     members = classes.join(labels.withColumnRenamed("node", "digest"), "digest")
     least = members.groupBy("component").agg(F.min("id").alias("least"))
-    linked = members.join(least, "component").select("digest", "least")
+    linked = members.join(least, "component").select("digest", "component", "least")
     ends = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest")))
     degree = ends.groupBy("digest").agg(F.count("*").alias("links"))
     of_set = (
@@ -577,36 +602,74 @@ def similar(
         .join(degree, "digest", "left")
         .select(
             "digest",
-            F.coalesce("least", "id").alias("component"),
+            F.coalesce("component", "digest").alias("node"),
+            F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"),
             F.coalesce("links", F.lit(0)).alias("links"),
         )
     )
     own = F.col("n") > 0
     return (
-        profiled.select("id", "n", F.when(own, F.col("digest")).alias("digest"))
+        profiled.select("id", "n", "key", F.when(own, F.col("digest")).alias("digest"))
         .join(of_set, "digest", "left")
         .select(
             "id",
             "n",
-            F.when(own, F.col("component")).otherwise(F.col("id")).alias("component"),
+            F.when(own, F.col("least")).otherwise(F.col("id")).alias("component"),
             F.coalesce("links", F.lit(0)).alias("links"),
+            "node",
+            "key",
         )
     )
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` when ``links`` are added to the graph that ``labels`` describes."""
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    alone = nodes.distinct().join(labels, "node", "left_anti")
+    every = durable(
+        labels.unionByName(alone.select("node", F.col("node").alias("component"))), "labels"
+    )
+    label = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    between = (
+        links.join(label("a"), "a")
+        .join(label("b"), "b")
+        .select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    )
+    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return every.join(moved, "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")
+    )
+
+
+def _key(text_column: str):
+    return F.xxhash64(text_column, F.length(text_column))
+
+
 def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, one of each component: that with the smallest id.
+    """The rows of ``df`` that stay, one of each component: that with the smallest id (nulls last,
+    then by a hash of the text).
 
-    Rows without shingles all stay. Different texts with one id are told apart only by their
-    component; of rows with the same id and text one stays.
+    Rows without shingles all stay. Of rows with the same id and text one stays.
     """
-    key, gone = fresh(df, "key"), fresh(df, "gone")
-    found = durable(similar(df, id_column, text_column), "similar")
-    dropped = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(gone))
+    row, key, gone = fresh(df, "row"), fresh(df, "key"), fresh(df, "gone")
+    found = durable(similar(df, id_column, text_column).select("id", "key", "node"), "similar")
+    first = (
+        found.where("node IS NOT NULL")
+        .groupBy("node")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    )
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    marked = durable(found.join(first, "node").select("id", "key", stays.alias("stays")), "marked")
+    dropped = marked.where("NOT stays").select(F.col("id").alias(row), F.col("key").alias(gone))
     few = dropped.count() <= IDS_HELD
-    ids = found.agg(F.count("id"), F.count_distinct("id")).first()
-    kept = df.join(F.broadcast(dropped) if few else dropped, F.col(id_column) == F.col(gone), "left_anti")
-    if ids[0] == ids[1]:
+    same = F.col(id_column).eqNullSafe(F.col(row)) & (_key(text_column) == F.col(gone))
+    kept = df.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
+    staying = marked.where("stays")
+    if staying.count() == first.count():
         return kept
-    keyed = kept.withColumn(key, F.sha2(F.encode(text_column, "UTF-8"), 256))
-    return keyed.dropDuplicates([id_column, key]).drop(key)
+    # rows without shingles are told apart by a number, the others by id and text
+    twin = F.when(F.length(F.regexp_replace(text_column, "[\\x20\\x09-\\x0D]+", "")) > 0, F.lit(0))
+    keyed = kept.withColumn(key, _key(text_column)).withColumn(
+        row, F.coalesce(twin, F.monotonically_increasing_id() + 1)
+    )
+    return keyed.dropDuplicates([id_column, key, row]).drop(key, row)
