@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import gaps_sql, query, rounded, table, union_sql, with_gaps
 from tablume.operators import clean
 from tablume.operators.features import LABEL, prepare
+from tablume.operators.profile import column_modes
 
 
 @query(
@@ -129,6 +130,35 @@ def impute_median(spark, folder):
     return _imputed(spark, folder, "median")
 
 
+_LONG = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 2 + 9007199254740993 END AS big, "
+    "9007199254740992 - o_custkey % 3 AS few FROM {orders}"
+)
+
+
+@query(
+    "impute_median_bigint",
+    f"WITH t AS ({_LONG.format(orders='orders')}) "
+    "SELECT o_orderkey, coalesce(big, (SELECT quantile_disc(big, 0.5) FROM t)) AS big FROM t",
+)
+def impute_median_bigint(spark, folder):
+    """Long whole numbers stay exact where doubles would not."""
+    rows = spark.sql(_LONG.format(orders="{orders}"), orders=table(spark, folder, "orders"))
+    return clean.impute_numeric(rows, "median", ["big"]).select("o_orderkey", "big")
+
+
+@query(
+    "column_mode_bigint",
+    f"WITH t AS ({_LONG.format(orders='orders')}), n AS (SELECT 'few' AS c, few AS v, count(*) AS k "
+    "FROM t GROUP BY few UNION ALL SELECT 'big', big, count(*) FROM t WHERE big IS NOT NULL GROUP BY big) "
+    "SELECT c AS \"column\", CAST(v AS VARCHAR) AS mode, k AS \"count\" FROM n "
+    "QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC, v) = 1",
+)
+def column_mode_bigint(spark, folder):
+    rows = spark.sql(_LONG.format(orders="{orders}"), orders=table(spark, folder, "orders"))
+    return column_modes(rows, ["big", "few"])
+
+
 def _mode(column: str) -> str:
     return (
         f"(SELECT {column} FROM t WHERE {column} IS NOT NULL GROUP BY {column} "

@@ -8,6 +8,7 @@ depend on random choices and are registered without SQL.
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
@@ -80,7 +81,52 @@ def score_saved_model(spark, folder):
         "l_quantity", F.col("l_quantity").cast("string")
     )
     scored = ops.score(raw, path, keep=["l_orderkey", "l_linenumber"])
-    return rounded(scored, 4, "prediction")
+    return rounded(scored, 4, "prediction").drop("_errors")
+
+
+@query(
+    "score_bad_rows",
+    _LINE
+    + f" SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 11 = 0 OR l_orderkey % 7 = 0 "
+    f"THEN NULL ELSE round({_PREDICTED}, 4) END AS prediction, CASE WHEN l_orderkey % 11 = 0 "
+    "THEN 'missing required feature: l_quantity' WHEN l_orderkey % 7 = 0 "
+    "THEN 'invalid value for feature l_quantity: expected double' ELSE '' END AS errors "
+    "FROM lineitem, f",
+)
+def score_bad_rows(spark, folder):
+    path = _line(spark, folder).save(scratch_path(spark, "models"))
+    raw = table(spark, folder, "lineitem").withColumn(
+        "l_quantity",
+        F.when(F.col("l_orderkey") % 11 == 0, None)
+        .when(F.col("l_orderkey") % 7 == 0, "many")
+        .otherwise(F.col("l_quantity").cast("string")),
+    )
+    scored = ops.score(raw, path, keep=["l_orderkey", "l_linenumber"])
+    return rounded(scored, 4, "prediction").select(
+        "l_orderkey", "l_linenumber", "prediction", F.array_join("_errors", ",").alias("errors")
+    )
+
+
+@query(
+    "score_null_categories",
+    "SELECT count(*) AS predicted, 0 AS wrong FROM lineitem",
+)
+def score_null_categories(spark, folder):
+    """Absent categories train and score alike: same rows, same predictions."""
+    lines = table(spark, folder, "lineitem").withColumn(
+        "l_returnflag", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_returnflag"))
+    )
+    trained = ops.train_regressor(prepare(lines, ["l_quantity", "l_returnflag"], "l_extendedprice"))
+    path = trained.save(scratch_path(spark, "models"))
+
+    def by_input(df):
+        return df.groupBy("l_quantity", "l_returnflag").agg(
+            F.count("prediction").alias("n"), F.round(F.avg("prediction"), 6).alias("prediction")
+        )
+
+    scored, known = by_input(ops.score(lines, path)), by_input(trained.predictions())
+    wrong = scored.exceptAll(known).count()
+    return scored.agg(F.sum("n").alias("predicted"), F.lit(wrong).alias("wrong"))
 
 
 @query(
@@ -145,7 +191,8 @@ _MANY = (["l_quantity", "l_extendedprice", "l_discount", "l_linestatus"], "l_ret
 
 def _trained(spark, folder, train, columns, algorithm):
     features, target = columns
-    return train(prepare(table(spark, folder, "lineitem"), features, target), algorithm)
+    prepared = prepare(table(spark, folder, "lineitem"), features, target)
+    return train(prepared, algorithm, partitions=spark.sparkContext.defaultParallelism)
 
 
 @query("train_rf_regressor")
@@ -181,10 +228,15 @@ def train_gbt_classifier(spark, folder):
 def _clusters(spark, folder, features=("l_quantity", "l_extendedprice", "l_discount"), k=5):
     lines = table(spark, folder, "lineitem")
     keep = ("l_orderkey", "l_linenumber")
-    return ops.train_clusters(prepare(lines, list(features), keep=keep), k)
+    parts = spark.sparkContext.defaultParallelism
+    return ops.train_clusters(prepare(lines, list(features), keep=keep), k, partitions=parts)
 
 
-@query("train_kmeans")
+@query(
+    "train_kmeans",
+    "SELECT 'k' AS metric, 5.0::DOUBLE AS value UNION ALL SELECT m, count(*)::DOUBLE FROM lineitem, "
+    "(VALUES ('total'), ('rows'), ('used')) AS v(m) GROUP BY m",
+)
 def train_kmeans(spark, folder):
     trained = _clusters(spark, folder)
     return _metrics(spark, trained, ["k", "total", "rows", "used"])
@@ -206,6 +258,93 @@ def feature_importance(spark, folder):
     return ops.feature_importance(trained)
 
 
+# A target that is a threshold of one feature with few values has one best answer.
+_THRESHOLD = "CASE WHEN l_linenumber > 4 THEN 'late' ELSE 'early' END"
+_FEATURES = ["l_linenumber", "l_noise"]
+
+
+def _threshold_rows(spark, folder):
+    # the second feature tells nothing: it is the same for all lines of an order of seven or more
+    return table(spark, folder, "lineitem").selectExpr(
+        "l_linenumber", "l_orderkey % 3 AS l_noise", f"{_THRESHOLD} AS target",
+        "CASE WHEN l_linenumber > 4 THEN 10.0D ELSE 2.0D END AS step",
+    )
+
+
+_ALL_RIGHT = "SELECT '{name}' AS algorithm, 1.0::DOUBLE AS accuracy, count(*) AS correct, count(*) AS total FROM lineitem"
+
+
+@query(
+    "classify_threshold",
+    " UNION ALL ".join(_ALL_RIGHT.format(name=n) for n in ("random_forest", "logistic_regression", "gbt_classifier")),
+)
+def classify_threshold(spark, folder):
+    """Every classifier finds a class that is a threshold of one feature."""
+    params = {
+        "random_forest": {"numTrees": 5, "maxDepth": 3, "featureSubsetStrategy": "all"},
+        "logistic_regression": {"regParam": 0.0},
+        "gbt_classifier": {"maxIter": 3},
+    }
+    rows = []
+    for name, chosen in params.items():
+        prepared = prepare(_threshold_rows(spark, folder), _FEATURES, "target")
+        m = ops.train_classifier(prepared, name, **chosen).metrics
+        rows.append((name, float(m["accuracy"]), m["correct"], m["total"]))
+    return spark.createDataFrame(
+        rows, "algorithm string, accuracy double, correct bigint, total bigint"
+    )
+
+
+@query(
+    "regress_step",
+    "SELECT n AS algorithm, 0.0::DOUBLE AS rmse, count(*) AS total FROM lineitem, "
+    "(VALUES ('random_forest_regressor'), ('gbt_regressor')) AS v(n) GROUP BY n",
+)
+def regress_step(spark, folder):
+    """Tree regressors find a step of one feature."""
+    params = {
+        "random_forest_regressor": {"numTrees": 3, "maxDepth": 3, "featureSubsetStrategy": "all"},
+        "gbt_regressor": {"maxIter": 3},
+    }
+    rows = []
+    for name, chosen in params.items():
+        m = ops.train_regressor(prepare(_threshold_rows(spark, folder), _FEATURES, "step"), name, **chosen).metrics
+        rows.append((name, round(abs(float(m["rmse"])), 6), m["total"]))
+    return spark.createDataFrame(rows, "algorithm string, rmse double, total bigint")
+
+
+@query(
+    "importance_of_step",
+    "SELECT 'l_noise' AS feature, 0.0::DOUBLE AS importance UNION ALL SELECT 'l_linenumber', "
+    "CASE WHEN count(DISTINCT l_linenumber) > 1 THEN 1.0 ELSE 0.0 END::DOUBLE FROM lineitem",
+)
+def importance_of_step(spark, folder):
+    prepared = prepare(_threshold_rows(spark, folder), _FEATURES, "step")
+    trained = ops.train_regressor(prepared, "gbt_regressor", maxIter=3)
+    return rounded(ops.feature_importance(trained), 4, "importance")
+
+
+_FAR = "SELECT l_linenumber % 2 * 1000 + l_discount AS x, l_linenumber % 2 * 1000 + l_tax AS y FROM {lineitem}"
+
+
+@query(
+    "cluster_far_groups",
+    f"SELECT row_number() OVER (ORDER BY avg(x)) AS place, count(*) AS size, round(avg(x), 6) AS x, "
+    f"round(avg(y), 6) AS y FROM ({_FAR.format(lineitem='lineitem')}) GROUP BY x > 500",
+)
+def cluster_far_groups(spark, folder):
+    """Groups far apart are found whatever the start: their sizes and means."""
+    rows = spark.sql(_FAR.format(lineitem="{lineitem}"), lineitem=table(spark, folder, "lineitem"))
+    trained = ops.train_clusters(prepare(rows, ["x", "y"]), 2)
+    centers = trained.tables["centers"].groupBy("cluster").agg(
+        *[F.round(F.max(F.when(F.col("feature") == c, F.col("original_value"))), 6).alias(c) for c in "xy"]
+    )
+    place = F.row_number().over(Window.orderBy("x"))
+    return centers.join(trained.tables["sizes"], "cluster").select(
+        place.cast("bigint").alias("place"), "size", "x", "y"
+    )
+
+
 @query("report_summary")
 def report_summary(spark, folder):
     customers = table(spark, folder, "customer")

@@ -98,12 +98,10 @@ def pairplot_points(spark, folder):
 @query(
     "actual_vs_predicted",
     _LINE
-    + f" SELECT l_extendedprice AS actual, round({_PREDICTED}, 4) AS predicted FROM lineitem, f "
-    + _SORTED,
+    + f" SELECT l_extendedprice AS actual, round({_PREDICTED}, 4) AS predicted FROM lineitem, f",
 )
 def actual_vs_predicted(spark, folder):
-    trained = _line(spark, folder, keep=_ORDER)
-    return rounded(plotdata.actual_vs_predicted(trained, _ORDER), 4, "predicted")
+    return rounded(plotdata.actual_vs_predicted(_line(spark, folder)), 4, "predicted")
 
 
 @query(
@@ -123,4 +121,20 @@ def prediction_diagonal(spark, folder):
 @query("cluster_points")
 def cluster_points(spark, folder):
     trained = _clusters(spark, folder, ("l_quantity", "l_discount"), 3)
-    return plotdata.cluster_points(trained, ["l_orderkey", "l_linenumber"])
+    return plotdata.cluster_points(trained)
+
+
+@query(
+    "cluster_point_totals",
+    "SELECT 'point' AS kind, count(*) AS n, round(sum(l_quantity), 2) AS x, round(sum(l_discount), 2) AS y "
+    "FROM lineitem UNION ALL SELECT 'center', 3, NULL, NULL",
+)
+def cluster_point_totals(spark, folder):
+    """All rows are points; k centres stand beside them."""
+    trained = _clusters(spark, folder, ("l_quantity", "l_discount"), 3)
+    points = F.col("kind") == "point"
+    return plotdata.cluster_points(trained).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(F.when(points, F.col("x"))), 2).alias("x"),
+        F.round(F.sum(F.when(points, F.col("y"))), 2).alias("y"),
+    )

@@ -7,7 +7,7 @@ merge over many tasks; only the bucket results meet at the end.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tablume.functions.tables import chunks, union_all
 
 #: Up to this many values a sketch holds every one of them, so its answers are exact.
 SKETCH_SIZE = 4096
-_BUCKETS = 64
+_LEAST_BUCKETS = 64
 _COLUMNS_PER_AGGREGATE = 12
 
 
@@ -33,17 +33,35 @@ def sketch_row(
     counts: Mapping[str, Column] | None = None,
     ranges: Mapping[str, Column] | None = None,
     size: int = SKETCH_SIZE,
+    whole: Collection[str] = (),
 ) -> DataFrame:
-    """One row with a merged sketch per entry, sums of 0/1 conditions, and ``<name>_min/max``."""
+    """One row with a merged sketch per entry, sums of 0/1 conditions, and ``<name>_min/max``.
+
+    The entries in ``whole`` are bigint and are sketched as such. Tasks are merged in as many
+    groups as the root of their number, so that no step merges more than that many sketches.
+    """
     counts, ranges = counts or {}, ranges or {}
-    first = df.groupBy((F.spark_partition_id() % _BUCKETS).alias("bucket")).agg(
-        *[F.kll_sketch_agg_double(c, size).alias(n) for n, c in sketches.items()],
+    part = F.spark_partition_id()
+    # 64 groups up to 4,096 tasks, 256 up to 65,536, then 1,024
+    bucket = (
+        F.when(part < 4096, part % _LEAST_BUCKETS)
+        .when(part < 65536, _LEAST_BUCKETS + part % 256)
+        .otherwise(_LEAST_BUCKETS + 256 + part % 1024)
+    )
+    first = df.groupBy(bucket.alias("bucket")).agg(
+        *[
+            (F.kll_sketch_agg_bigint if n in whole else F.kll_sketch_agg_double)(c, size).alias(n)
+            for n, c in sketches.items()
+        ],
         *[F.count_if(c).alias(n) for n, c in counts.items()],
         *[F.min(c).alias(f"{n}_min") for n, c in ranges.items()],
         *[F.max(c).alias(f"{n}_max") for n, c in ranges.items()],
     )
     return first.agg(
-        *[F.kll_merge_agg_double(n, size).alias(n) for n in sketches],
+        *[
+            (F.kll_merge_agg_bigint if n in whole else F.kll_merge_agg_double)(n, size).alias(n)
+            for n in sketches
+        ],
         *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts],
         *[F.min(f"{n}_min").alias(f"{n}_min") for n in ranges],
         *[F.max(f"{n}_max").alias(f"{n}_max") for n in ranges],
@@ -51,17 +69,18 @@ def sketch_row(
 
 
 def read_sketches(
-    spark: SparkSession, wanted: Sequence[tuple[bytes, Sequence[float]]]
-) -> list[list[float]]:
-    """Values at the given ranks of sketches already on the driver, read in one go."""
+    spark: SparkSession, wanted: Sequence[tuple[bytes, Sequence[float], bool]]
+) -> list[list[float | int]]:
+    """Values at the given ranks of sketches (with whether they hold whole numbers) already on the
+    driver, read in one go."""
     if not wanted:
         return []
     row: Row = spark.range(1).select(
         *[
-            F.kll_sketch_get_quantile_double(F.lit(bytearray(sketch)), F.lit(list(ranks))).alias(
-                f"q{i}"
-            )
-            for i, (sketch, ranks) in enumerate(wanted)
+            (F.kll_sketch_get_quantile_bigint if whole else F.kll_sketch_get_quantile_double)(
+                F.lit(bytearray(sketch)), F.lit(list(ranks))
+            ).alias(f"q{i}")
+            for i, (sketch, ranks, whole) in enumerate(wanted)
         ]
     ).first()
     return [list(q) for q in row]

@@ -12,15 +12,3 @@ def percent(part: Column, whole: Column) -> Column:
 
 def zscore(value: Column, mean: float | None, std: float | None) -> Column:
     return F.try_divide(value - F.lit(mean).cast("double"), F.lit(std).cast("double"))
-
-
-def pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete correlation as an aggregate; NULL when either side does not vary.
-
-    Each side's spread is taken over the rows where *both* are present. The built-in ``corr``
-    divides without a guard and would raise on a constant column under ANSI mode.
-    """
-    x_seen = F.when(y.isNotNull(), x)
-    y_seen = F.when(x.isNotNull(), y)
-    spread = F.stddev_pop(x_seen) * F.stddev_pop(y_seen)
-    return F.try_divide(F.covar_pop(x, y), spread)

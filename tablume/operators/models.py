@@ -21,18 +21,21 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablume.functions.columns import col, require_columns
+from tablume.functions.columns import col, is_null, is_numeric, require_columns
 from tablume.functions.tables import small_table
-from tablume.operators.features import FEATURES, LABEL, PREDICTION, Prepared, fit_features
+from tablume.operators.features import FEATURES, LABEL, PREDICTION, RAW, Prepared, fit_features
 from tablume.sources.scratch import shared_folder
-from tablume.sources.typed import cast_to_schema, input_fields, valid_rows
+from tablume.sources.typed import ERRORS, cast_to_schema, input_fields
 
 SEED = 42
+#: The row as it came in, carried through a pipeline.
+ROW = "_scored_row"
 
 # The algorithms and their default parameters.
 REGRESSORS = {
@@ -71,7 +74,7 @@ class Trained:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Raw rows with ``prediction``; rows with an absent numeric feature are left out."""
-        return without_internals(self.model.transform(df))
+        return without_internals(self.model.transform(df), self.model)
 
     def predictions(self) -> DataFrame:
         """The training rows with their label and prediction."""
@@ -100,15 +103,30 @@ class Trained:
         return save_model(self.model, self.schema, folder)
 
 
-def without_internals(df: DataFrame) -> DataFrame:
-    """Drop the working columns a pipeline leaves behind."""
-    return df.drop(*[c for c in df.columns if c.startswith("_") and c != LABEL])
+def working_columns(model: PipelineModel) -> list[str]:
+    """The columns a pipeline's stages add on the way to ``prediction``, by name."""
+    names = [RAW, FEATURES]
+    for stage in model.stages:
+        for param in ("outputCols", "outputCol", "rawPredictionCol", "probabilityCol"):
+            if stage.hasParam(param) and stage.isDefined(param):
+                value = stage.getOrDefault(param)
+                names += value if isinstance(value, list) else [value]
+        if isinstance(stage, StringIndexerModel):
+            names += [c for c in stage.getInputCols() if c.startswith("_") and c.endswith("_text")]
+    return [n for n in dict.fromkeys(names) if n != PREDICTION]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an iterative fit at least one partition per core; wide inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def without_internals(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Drop the working columns a pipeline leaves behind; every other column stays."""
+    return df.drop(*working_columns(model))
+
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows of an iterative fit evenly over ``partitions``; None leaves them as they are.
+
+    The number is the caller's, so a result that depends on it (k-means) can be repeated.
+    """
+    return df if partitions is None else df.repartition(partitions)
 
 
 def _estimator(catalogue: Mapping, algorithm: str, params: Mapping):
@@ -120,7 +138,7 @@ def _estimator(catalogue: Mapping, algorithm: str, params: Mapping):
     return cls(featuresCol=FEATURES, labelCol=LABEL, **{**defaults, **params})
 
 
-def _fit(prepared: Prepared, estimator, holdout: float, evaluate):
+def _fit(prepared: Prepared, estimator, holdout: float, evaluate, partitions: int | None):
     """Fit the features, then the estimator on cached vectors; evaluate on the same cache.
 
     With the shared folder set as checkpoint folder, boosting cuts its lineage as it goes.
@@ -130,7 +148,7 @@ def _fit(prepared: Prepared, estimator, holdout: float, evaluate):
     shared_folder(prepared.df.sparkSession)
     steps, transformed = fit_features(prepared)
     kept = [FEATURES, LABEL] if prepared.target else [FEATURES]
-    vectors = spread(transformed.select(*kept)).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = spread(transformed.select(*kept), partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         training = testing = vectors
         if holdout:
@@ -178,24 +196,26 @@ def cluster_sizes(predictions: DataFrame, prediction: str = PREDICTION) -> DataF
 
 
 def train_regressor(
-    prepared: Prepared, algorithm: str = "linear_regression", holdout: float = 0.0, **params
+    prepared: Prepared, algorithm: str = "linear_regression", holdout: float = 0.0,
+    partitions: int | None = None, **params,
 ) -> Trained:
     """Fit a regressor; metrics are ``rmse`` and the row counts, on the training rows by default."""
     estimator = _estimator(REGRESSORS, algorithm, params)
-    model, row = _fit(prepared, estimator, holdout, lambda _, p: rmse(p).first())
+    model, row = _fit(prepared, estimator, holdout, lambda _, p: rmse(p).first(), partitions)
     metrics = {"rmse": row["rmse"], "total": row["total"], **prepared.counts}
     message = TRAINED if row["total"] else NOTHING_TO_EVALUATE
     return Trained("regression", algorithm, model, prepared, metrics, message)
 
 
 def train_classifier(
-    prepared: Prepared, algorithm: str = "random_forest", holdout: float = 0.0, **params
+    prepared: Prepared, algorithm: str = "random_forest", holdout: float = 0.0,
+    partitions: int | None = None, **params,
 ) -> Trained:
     """Fit a classifier; metrics are accuracy with correct and total counts, and row counts."""
     estimator = _estimator(CLASSIFIERS, algorithm, params)
     if algorithm == "gbt_classifier":
         _require_binary(prepared)
-    model, row = _fit(prepared, estimator, holdout, lambda _, p: accuracy(p).first())
+    model, row = _fit(prepared, estimator, holdout, lambda _, p: accuracy(p).first(), partitions)
     metrics = {
         "accuracy": row["accuracy"],
         "correct": row["correct"],
@@ -216,7 +236,8 @@ def _require_binary(prepared: Prepared) -> None:
 
 
 def train_clusters(
-    prepared: Prepared, k: int = DEFAULT_CLUSTERS, seed: int = SEED, with_silhouette: bool = False
+    prepared: Prepared, k: int = DEFAULT_CLUSTERS, seed: int = SEED, with_silhouette: bool = False,
+    partitions: int | None = None,
 ) -> Trained:
     """Fit k-means; ``tables`` holds cluster sizes and centres.
 
@@ -231,7 +252,7 @@ def train_clusters(
             silhouette(predictions) if with_silhouette else None
         )
 
-    model, (sizes, score_) = _fit(prepared, estimator, 0.0, evaluate)
+    model, (sizes, score_) = _fit(prepared, estimator, 0.0, evaluate, partitions)
     spark = prepared.df.sparkSession
     metrics = {"k": k, "total": sum(sizes), "silhouette": score_, **prepared.counts}
     trained = Trained(
@@ -306,20 +327,43 @@ def score(
 ) -> DataFrame:
     """Score a whole table (or stream) of raw rows with a saved pipeline.
 
-    Features are typed by the model's input schema; rows with an absent or unreadable feature
-    are left out (see :func:`tablume.sources.typed.cast_to_schema` to inspect them). The result
-    has the kept columns, the features and ``prediction``; it is a map-only plan.
+    Features are typed by the model's input schema. Every row stays: one with an absent numeric
+    feature or an unreadable value has a NULL ``prediction`` and says why in ``_errors``; an
+    absent category counts as the model's own slot for nulls, as in training. The result has the
+    kept columns, the features, ``prediction`` and ``_errors``; it is a map-only plan.
+
+    A model saved without a schema scores the rows as they are, and leaves out those that its
+    assembler leaves out.
     """
     model, saved = load_model(df.sparkSession, path)
     wanted = list(schema or saved)
-    typed = valid_rows(cast_to_schema(df, wanted, keep)) if wanted else df
-    scored = model.transform(typed)
-    if PREDICTION not in scored.columns:
-        raise ValueError("the saved pipeline gives no prediction column")
     if not wanted:
-        return without_internals(scored)
+        scored = model.transform(df)
+        _require_prediction(scored)
+        return without_internals(scored, model)
     names = [e["name"] for e in input_fields(wanted)]
-    return scored.select(*[col(n) for n in dict.fromkeys([*keep, *names])], PREDICTION)
+    kept = [n for n in dict.fromkeys(keep) if n not in names]
+    typed = cast_to_schema(df, wanted, kept, absent_categories=True)
+    fields = [typed.schema[n] for n in names]
+    # the assembler gets a number in every row, and the caller the row as it was
+    whole = typed.withColumn(ROW, F.struct(*[col(c) for c in typed.columns])).withColumns(
+        {f.name: F.when(is_null(f), F.lit(0).cast(f.dataType)).otherwise(col(f.name))
+         for f in fields if is_numeric(f.dataType)}
+    )
+    scored = model.transform(whole.select(*[col(n) for n in names], ROW))
+    _require_prediction(scored)
+    row = F.col(ROW)
+    fit = F.size(row[ERRORS]) == 0
+    return scored.select(
+        *[row[n].alias(n) for n in [*kept, *names]],
+        F.when(fit, F.col(PREDICTION)).alias(PREDICTION),
+        row[ERRORS].alias(ERRORS),
+    )
+
+
+def _require_prediction(scored: DataFrame) -> None:
+    if PREDICTION not in scored.columns:
+        raise ValueError("the saved pipeline gives no prediction column")
 
 
 def feature_arrays(df: DataFrame, vector: str, output: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""The tables behind plots. Summaries cover the whole table; point clouds are bounded top-k rows."""
+"""The tables behind plots.
+
+Summaries and model plots cover the whole table; samples are bounded top-k rows.
+"""
 
 from __future__ import annotations
 
@@ -121,19 +124,32 @@ def pairplot_points(
     df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
     n: int = PLOT_POINTS,
 ) -> DataFrame:
-    """The first five numeric columns of the first ``n`` rows in the given order."""
-    names = numeric_columns(df, columns)[:PAIRPLOT_COLUMNS]
+    """The named numeric columns (default: the first five) of the first ``n`` rows in the order."""
+    names = numeric_columns(df, columns)
+    if columns is None:
+        names = names[:PAIRPLOT_COLUMNS]
     if not names:
         raise ValueError("no numeric columns for a pair plot")
     return limit_sample(df, order_by, n).select(*[col(c) for c in names])
 
 
+def _rows_to_plot(trained: Trained, order_by: Sequence[str] | None, n: int | None) -> DataFrame:
+    rows = trained.prepared.usable()
+    if n is None:
+        return rows
+    if not order_by:
+        raise ValueError("the first rows need an order")
+    return limit_sample(rows, order_by, n)
+
+
 def actual_vs_predicted(
-    trained: Trained, order_by: Sequence[str], n: int = PLOT_POINTS
+    trained: Trained, order_by: Sequence[str] | None = None, n: int | None = None
 ) -> DataFrame:
-    """``(actual, predicted)`` points of the first ``n`` usable training rows."""
-    first = limit_sample(trained.prepared.usable(), order_by, n)
-    return trained.model.transform(first).select(
+    """``(actual, predicted)`` points of all usable training rows, or of the first ``n``.
+
+    :func:`scatter_bins` over the result counts them on a grid.
+    """
+    return trained.model.transform(_rows_to_plot(trained, order_by, n)).select(
         F.col(LABEL).alias("actual"), F.col(PREDICTION).alias("predicted")
     )
 
@@ -147,9 +163,9 @@ def diagonal(points: DataFrame) -> DataFrame:
 
 
 def cluster_points(
-    trained: Trained, order_by: Sequence[str], n: int = PLOT_POINTS
+    trained: Trained, order_by: Sequence[str] | None = None, n: int | None = None
 ) -> DataFrame:
-    """``(kind, cluster, x, y[, z])``: points of the first ``n`` rows and all cluster centres.
+    """``(kind, cluster, x, y[, z])``: points of all rows (or the first ``n``) and all centres.
 
     Centres are given in the units of the features. Only two or three numeric features can be
     plotted.
@@ -161,8 +177,7 @@ def cluster_points(
         if not is_numeric(f.dataType):
             raise ValueError(f"cluster plots take numeric features, not {f.name!r}")
     axes = dict(zip(names, "xyz"))
-    first = limit_sample(trained.prepared.usable(), order_by, n)
-    points = trained.model.transform(first).select(
+    points = trained.model.transform(_rows_to_plot(trained, order_by, n)).select(
         F.lit("point").alias("kind"),
         F.col(PREDICTION).alias("cluster"),
         *[col(c).cast("double").alias(a) for c, a in axes.items()],

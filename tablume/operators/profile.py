@@ -10,6 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,26 +26,22 @@ from tablume.functions.columns import (
     col,
     fields_of,
     is_countable,
+    is_floating,
     is_missing,
     is_null,
     is_numeric,
     kind_of,
     numeric_columns,
-    quoted,
     require_columns,
     require_numeric,
 )
 from tablume.functions.sketches import SKETCH_SIZE, quantile_sketches
-from tablume.functions.stats import pearson, percent
-from tablume.functions.tables import chunks, long_values, per_column, small_table, union_all
+from tablume.functions.stats import percent
+from tablume.functions.tables import long_values, per_column, small_table, union_all
 from tablume.operators.quantiles import exact_quantiles
 
 Names = Sequence[str] | None
 
-#: Column pairs correlated in one aggregate, so that its generated code stays compilable.
-_WHOLE_PAIRS = 24
-_SHARED_PAIRS = 8
-
 
 def table_shape(df: DataFrame) -> DataFrame:
     """``(rows, columns)``: only row counts are read, no column data."""
@@ -121,7 +122,7 @@ def numeric_summary(
         )
         quartiles = small_table(
             df.sparkSession,
-            [(name, *values) for name, values in found.items()],
+            [(name, *[None if v is None else float(v) for v in values]) for name, values in found.items()],
             "column string, p25 double, p50 double, p75 double",
         )
     return moments.join(quartiles, "column").select(
@@ -268,11 +269,17 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Numeric ties compare as numbers. All-null columns give no row.
     """
     fields = fields_of(df, columns)
-    numeric = {f.name for f in fields if is_numeric(f.dataType)}
+    whole = [f.name for f in fields if isinstance(f.dataType, (T.IntegralType, T.DecimalType))]
+    floating = [f.name for f in fields if is_floating(f.dataType)]
+
+    def number(names, kind):
+        value = F.col("value").try_cast(kind)
+        return F.when(F.col("column").isin(names), value) if names else F.lit(None).cast(kind)
+
     rank = F.struct(
         (-F.col("count")).alias("n"),
-        F.when(F.col("column").isin(*numeric) if numeric else F.lit(False),
-               F.col("value").try_cast("double")).alias("number"),
+        number(whole, "decimal(38,18)" if any_scale(fields) else "decimal(38,0)").alias("whole"),
+        number(floating, "double").alias("number"),
         F.col("value").alias("text"),
     )
     return (
@@ -282,94 +289,103 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def any_scale(fields: Sequence[T.StructField]) -> bool:
+    """Whether a decimal among the columns has places after the point."""
+    return any(isinstance(f.dataType, T.DecimalType) and f.dataType.scale for f in fields)
+
+
 def sample_values(
     df: DataFrame, order_by: Sequence[str], columns: Names = None, k: int = 5
 ) -> DataFrame:
     """``(column, position, value)``: the first ``k`` non-null values in the given row order.
 
-    Each column is a bounded top-k over its own narrow scan, so nothing is sorted in full.
+    One scan: the columns are put on top of each other, and each task passes on ``k`` rows a
+    column at most.
     """
     require_columns(df, order_by)
     fields = [f for f in fields_of(df, columns) if is_countable(f.dataType)]
-    keys = [F.col(f"_k{i}") for i in range(len(order_by))]
-    firsts = [
-        df.select(
-            F.lit(f.name).alias("column"),
-            as_text(f).alias("value"),
-            *[F.col(quoted(o)).alias(f"_k{i}") for i, o in enumerate(order_by)],
-        )
-        .filter(F.col("value").isNotNull())
-        .orderBy(*keys, "value")
-        .limit(k)
-        for f in fields
-    ]
+    if not fields:
+        raise ValueError("no columns to sample")
+    keys = [f"_k{i}" for i in range(len(order_by))]
+    keyed = df.withColumns({k: col(o) for k, o in zip(keys, order_by)})
+    values = long_values(keyed, {f.name: as_text(f) for f in fields}, keep=keys)
     order = Window.partitionBy("column").orderBy(*keys, "value")
-    return union_all(firsts).select(
-        "column", F.row_number().over(order).alias("position"), "value"
+    return (
+        values.filter(F.col("value").isNotNull())
+        .withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") <= k)
+        .select("column", "position", "value")
     )
 
 
+#: Share of a column's squares below which its spread is rounding noise.
+_NOISE = 1e-13
+
+
 def correlation_matrix(df: DataFrame, columns: Names = None) -> DataFrame:
     """``(x, y, r)`` for every ordered pair of numeric columns, over rows where both are present.
 
-    A first pass finds each column's mean, range and whether values are absent. Pairs without
-    absent values then need one sum of products of deviations each; the others take their
-    spreads over the rows they share. A column that does not vary has NULL correlations. Fewer
-    than two numeric columns is an error.
+    Two scans whatever the number of columns: one finds each column's mean and range, the other
+    sums all products of the columns' deviations, their squares and their presence, one matrix of
+    fixed size per task. Counts, sums, squares and products over the rows that two columns share
+    are entries of that matrix. A column that does not vary, or holds an infinity, has NULL
+    correlations. Fewer than two numeric columns is an error.
     """
     fields = require_numeric(df, numeric_columns(df) if columns is None else columns)
     if len(fields) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
-    looks = {
-        r["column"]: r
-        for r in per_column(
-            df,
-            fields,
-            {
-                "absent": lambda f: F.count_if(is_null(f)),
-                "mean": lambda f: F.avg(as_double(f)),
-                "varies": lambda f: F.coalesce(F.min(as_double(f)) < F.max(as_double(f)), F.lit(False)),
-            },
-        ).collect()
-    }
-    deviations = df.select(
-        *[
-            (as_double(f) - F.lit(looks[f.name]["mean"]).cast("double")).alias(f"d{i}")
-            for i, f in enumerate(fields)
-        ]
-    )
-    settled = [(f.name, f.name, 1.0 if looks[f.name]["varies"] else None) for f in fields]
-    whole, shared = [], []
-    for i, a in enumerate(fields):
-        for j, b in enumerate(fields[:i]):
-            if not (looks[a.name]["varies"] and looks[b.name]["varies"]):
-                settled += [(a.name, b.name, None), (b.name, a.name, None)]
-            elif looks[a.name]["absent"] or looks[b.name]["absent"]:
-                shared.append((i, j))
-            else:
-                whole.append((i, j))
-    parts = [small_table(df.sparkSession, settled, "x string, y string, r double")]
-    for pairs, formula, size in ((whole, _whole_r, _WHOLE_PAIRS), (shared, pearson, _SHARED_PAIRS)):
-        for group in chunks(pairs, size):
-            wide = deviations.agg(
-                *[formula(F.col(f"d{i}"), F.col(f"d{j}")).alias(f"r{n}") for n, (i, j) in enumerate(group)]
-            )
-            rows = [
-                F.struct(
-                    F.lit(fields[x].name).alias("x"),
-                    F.lit(fields[y].name).alias("y"),
-                    F.col(f"r{n}").alias("r"),
-                )
-                for n, (i, j) in enumerate(group)
-                for x, y in ((i, j), (j, i))
-            ]
-            parts.append(wide.select(F.inline(F.array(*rows))))
-    return union_all(parts)
-
-
-def _whole_r(x: Column, y: Column) -> Column:
-    """Correlation of two columns of deviations without absent values."""
-    return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+    p = len(fields)
+    values = [as_double(f) for f in fields]
+    seen = [x.isNotNull() & (F.abs(x) < float("inf")) for x in values]
+    lowest, highest = float("-inf"), float("inf")
+
+    def vector(parts):
+        return array_to_vector(F.array(*parts))
+
+    looks = df.select(
+        vector([F.when(s, x).otherwise(0.0) for x, s in zip(values, seen)]
+               + [s.cast("double") for s in seen]).alias("sums"),
+        vector([F.coalesce(x, F.lit(highest)) for x in values]).alias("low"),
+        vector([F.coalesce(x, F.lit(lowest)) for x in values]).alias("high"),
+    ).agg(
+        Summarizer.mean(F.col("sums")).alias("mean"),
+        Summarizer.min(F.col("low")).alias("low"),
+        Summarizer.max(F.col("high")).alias("high"),
+    ).first()
+    r = np.full((p, p), np.nan)
+    if looks["mean"] is not None:
+        mean, low, high = (looks[k].toArray() for k in ("mean", "low", "high"))
+        share = mean[p:]
+        centre = np.divide(mean[:p], share, out=np.zeros(p), where=share > 0)
+        varies = np.isfinite(low) & np.isfinite(high) & (low < high)
+        away = [F.when(s, x - F.lit(float(c))).otherwise(0.0) for x, s, c in zip(values, seen, centre)]
+        r = _correlations(
+            df.select(vector([*away, *[d * d for d in away], *[s.cast("double") for s in seen]]).alias("v")),
+            varies,
+        )
+    rows = [
+        (a.name, b.name, None if np.isnan(r[i, j]) else float(r[i, j]))
+        for i, a in enumerate(fields)
+        for j, b in enumerate(fields)
+    ]
+    return small_table(df.sparkSession, rows, "x string, y string, r double")
+
+
+def _correlations(vectors: DataFrame, varies: np.ndarray) -> np.ndarray:
+    """Pairwise correlations from vectors of deviations, their squares and presence."""
+    p = len(varies)
+    rows = MLUtils.convertVectorColumnsFromML(vectors, "v")
+    gram = RowMatrix(rows, numCols=3 * p).computeGramianMatrix().toArray()
+    x, squares, there = (slice(k * p, (k + 1) * p) for k in range(3))
+    n = gram[there, there]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sums = gram[x, there]  # of the first column, where the second is present
+        spread = gram[squares, there] - sums * sums / n
+        flat = ~(spread > _NOISE * gram[squares, there])
+        both = (gram[x, x] - sums * sums.T / n) / np.sqrt(spread * spread.T)
+    both[flat | flat.T | ~varies[:, None] | ~varies[None, :]] = np.nan
+    np.fill_diagonal(both, np.where(varies, 1.0, np.nan))
+    return np.clip(both, -1.0, 1.0)
 
 
 def profile(df: DataFrame, columns: Names = None, approx_distinct: bool = False) -> DataFrame:
@@ -397,7 +413,6 @@ def profile(df: DataFrame, columns: Names = None, approx_distinct: bool = False)
             "row_count": lambda f: F.count(F.lit(1)),
             "null_count": lambda f: F.count_if(is_null(f)),
             "missing_count": lambda f: F.count_if(is_missing(f)),
-            "missing_pct": lambda f: percent(F.count_if(is_missing(f)), F.count(F.lit(1))),
             "min": numeric(F.min),
             "max": numeric(F.max),
             "mean": numeric(F.avg),
@@ -407,6 +422,7 @@ def profile(df: DataFrame, columns: Names = None, approx_distinct: bool = False)
         },
     )
     names = [f.name for f in fields]
+    facts = facts.withColumn("missing_pct", percent(F.col("missing_count"), F.col("row_count")))
     return (
         column_types(df, names)
         .join(facts, "column")

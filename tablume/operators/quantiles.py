@@ -8,8 +8,8 @@ between are sketched again: once those fit a sketch whole, the wanted row is rea
 otherwise the sketch gives the next, closer bracket. A bracket holds some two hundred times fewer
 rows each round: one round does for a million rows, three or four for a trillion.
 
-The counts are exact, so the answer is exact whatever the sketches say: a bracket that missed is
-noticed by the counts and replaced. Passes read only the needed columns, shuffle nothing but
+The counts are exact, so a bracket that missed is noticed and replaced, and a sketch is read as
+the answer only when the rows it covers were counted to fit it whole: it then holds each of them. Passes read only the needed columns, shuffle nothing but
 sketch buffers, and hold constant-size state.
 """
 
@@ -22,8 +22,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablume.functions.columns import as_double, require_numeric
+from tablume.functions.columns import as_double, col, require_numeric
 from tablume.functions.sketches import SKETCH_SIZE, rank_slack, read_sketches, sketch_row
 from tablume.functions.tables import chunks, small_table
 
@@ -37,11 +38,12 @@ class _Target:
 
     column: str
     rank: int
-    low: float
-    high: float
-    bottom: float
-    top: float
-    value: float | None = None
+    low: float | int
+    high: float | int
+    bottom: float | int
+    top: float | int
+    whole: bool = False
+    value: float | int | None = None
 
     @property
     def bracket(self) -> tuple[str, float, float]:
@@ -58,7 +60,8 @@ def exact_quantiles(
     """Per column, the value at each probability; ``None`` where the column has no values.
 
     Without ``interpolate`` it is an actual value: the first whose share of values up to and
-    including it reaches the probability.
+    including it reaches the probability. Whole-number columns are searched as whole numbers, so
+    long integers stay exact; decimals are searched as doubles.
     """
     return sized_quantiles(df, columns, probabilities, interpolate, size)[0]
 
@@ -71,14 +74,26 @@ def sized_quantiles(
     size: int = SKETCH_SIZE,
 ) -> tuple[dict[str, list[float | None]], dict[str, int]]:
     """:func:`exact_quantiles` together with each column's number of values."""
+    if not 8 <= size <= 65535:
+        raise ValueError(f"a sketch holds 8 to 65535 values, not {size}")
     fields = require_numeric(df, columns)
     places = _between_ranks if interpolate else _at_rank
-    values = df.select(*[as_double(f).alias(f"v{i}") for i, f in enumerate(fields)])
+    whole = [isinstance(f.dataType, T.IntegralType) for f in fields]
+    values = df.select(
+        *[
+            (col(f.name).cast("bigint") if w else as_double(f)).alias(f"v{i}")
+            for i, (f, w) in enumerate(zip(fields, whole))
+        ]
+    )
     names = {f.name: f"v{i}" for i, f in enumerate(fields)}
     sizes, targets = _first_look(
-        values, list(names.values()), lambda n: [places(n, p)[:2] for p in probabilities], size
+        values,
+        list(names.values()),
+        lambda n: [places(n, p)[:2] for p in probabilities],
+        size,
+        {v for v, w in zip(names.values(), whole) if w},
     )
-    pending = targets
+    pending = [t for t in targets if t.value is None]
     while pending:
         for brackets in chunks(list(dict.fromkeys(t.bracket for t in pending)), _PER_PASS):
             _look_around(values, brackets, [t for t in pending if t.bracket in brackets], size)
@@ -90,7 +105,9 @@ def sized_quantiles(
             return None
         below, above, part = places(sizes[v], p)
         low, high = found[v, below], found[v, above]
-        return low if low == high else low + (high - low) * part
+        if not interpolate:
+            return low
+        return float(low) if low == high else low + (high - low) * part
 
     answers = {name: [answer(v, p) for p in probabilities] for name, v in names.items()}
     return answers, {name: sizes[v] for name, v in names.items()}
@@ -123,11 +140,11 @@ def _at_rank(n: int, p: float) -> tuple[int, int, float]:
 
 def _around(low: int, high: int, n: int, size: int) -> list[float]:
     """Sketch ranks safely below the row of rank ``low`` and above the row of rank ``high``."""
-    slack = rank_slack(size)
+    slack = min(rank_slack(size), 0.25)  # so that every round leaves out rows
     return [max((low + 0.5) / n - slack, 0.0), min((high + 0.5) / n + slack, 1.0)]
 
 
-def _first_look(values, columns, places, size) -> tuple[dict[str, int], list[_Target]]:
+def _first_look(values, columns, places, size, whole) -> tuple[dict[str, int], list[_Target]]:
     """Size, range and first brackets of every column, in one pass."""
     spark, sizes, targets = values.sparkSession, {}, []
     for group in chunks(columns, _PER_PASS):
@@ -137,13 +154,14 @@ def _first_look(values, columns, places, size) -> tuple[dict[str, int], list[_Ta
             counts={f"{v}_n": F.col(v).isNotNull() for v in group},
             ranges={v: F.col(v) for v in group},
             size=size,
+            whole=whole,
         ).first()
         for v in group:
             sizes[v] = row[f"{v}_n"]
         filled = [v for v in group if sizes[v]]
         pairs = {v: dict.fromkeys(places(sizes[v])) for v in filled}
         reads = [
-            (row[v], [e for low, high in pairs[v] for e in _around(low, high, sizes[v], size)])
+            (row[v], [e for low, high in pairs[v] for e in _around(low, high, sizes[v], size)], v in whole)
             for v in filled
         ]
         for v, ends in zip(filled, read_sketches(spark, reads)):
@@ -152,12 +170,18 @@ def _first_look(values, columns, places, size) -> tuple[dict[str, int], list[_Ta
                 for rank in pair:
                     wanted.setdefault(rank, ends[2 * i : 2 * i + 2])
             targets += [
-                _Target(v, rank, *bracket, row[f"{v}_min"], row[f"{v}_max"])
+                _target(v, rank, sizes[v], bracket, row[f"{v}_min"], row[f"{v}_max"], v in whole)
                 for rank, bracket in wanted.items()
             ]
     return sizes, targets
 
 
+def _target(column, rank, n, bracket, bottom, top, whole) -> _Target:
+    """The first and the last row are the range's ends and need no search."""
+    known = bottom if rank == 0 else top if rank == n - 1 else None
+    return _Target(column, rank, *bracket, bottom, top, whole, known)
+
+
 def _inside(bracket) -> Column:
     v, low, high = bracket
     return (F.col(v) > F.lit(low)) & (F.col(v) < F.lit(high))
@@ -201,8 +225,9 @@ def _read_inside(values: DataFrame, unsettled, size: int) -> None:
     brackets = list(dict.fromkeys(bracket for _, bracket, _ in unsettled))
     inside = values.filter(reduce(lambda a, b: a | b, [_inside(b) for b in brackets]))
     sketches = {f"s{i}": F.when(_inside(b), F.col(b[0])) for i, b in enumerate(brackets)}
-    row = sketch_row(inside, sketches, size=size).first()
-    reads = [(row[f"s{brackets.index(bracket)}"], ranks) for _, bracket, ranks in unsettled]
+    whole = {f"s{brackets.index(bracket)}" for t, bracket, _ in unsettled if t.whole}
+    row = sketch_row(inside, sketches, size=size, whole=whole).first()
+    reads = [(row[f"s{brackets.index(bracket)}"], ranks, t.whole) for t, bracket, ranks in unsettled]
     for (t, _, ranks), ends in zip(unsettled, read_sketches(values.sparkSession, reads)):
         if len(ranks) == 1:
             t.value = ends[0]

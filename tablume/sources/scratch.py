@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where nothing names one (a local test session) a fresh temporary folder is set.
+    Where nothing names one a local session gets a fresh temporary folder; a cluster, whose
+    executors could not see it, is told to name one.
     """
     context = spark.sparkContext
     named = (
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
         or context.getConf().get("spark.checkpoint.dir")
     )
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tablume-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -35,3 +38,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared folder, so later reads never recompute in another order."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a working copy made under :func:`scratch_path` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablume.functions.columns import col, quoted
+from tablume.functions.columns import col, is_null, kind_of, quoted
 
 ERRORS = "_errors"
 
@@ -34,7 +34,12 @@ def spark_type(declared: str) -> str:
 
 
 def _typed(source: T.StructField, target: str) -> Column:
+    """The value as its declared type; NULL where it doesn't read as one, or is of a kind that
+    never does (nested and binary values; dates and times as numbers or booleans)."""
     raw = col(source.name)
+    kind = kind_of(source.dataType)
+    if kind in ("nested", "other") or kind == "temporal" and target != "string":
+        return F.lit(None).cast(target)
     if target != "boolean":
         return raw.try_cast(target)
     if isinstance(source.dataType, T.BooleanType):
@@ -56,12 +61,16 @@ def input_fields(schema: Sequence[Mapping]) -> list[Mapping]:
 
 
 def cast_to_schema(
-    df: DataFrame, schema: Sequence[Mapping], keep: Sequence[str] = ()
+    df: DataFrame,
+    schema: Sequence[Mapping],
+    keep: Sequence[str] = (),
+    absent_categories: bool = False,
 ) -> DataFrame:
     """Type each declared feature; ``_errors`` lists what is wrong with the row (empty = usable).
 
     A value that is absent or does not read as its declared type leaves NULL and a message, in
-    one narrow pass without a shuffle. A feature the table lacks altogether is reported on
+    one narrow pass without a shuffle; so does a not-a-number. With ``absent_categories`` an
+    absent string or boolean is no error. A feature the table lacks altogether is reported on
     every row. Split the result with :func:`valid_rows` and :func:`invalid_rows`.
     """
     values, errors = [], []
@@ -76,7 +85,12 @@ def cast_to_schema(
         value = _typed(df.schema[name], target)
         wrong = F.lit(f"invalid value for feature {name}: expected {declared}")
         values.append(value.alias(name))
-        errors.append(F.when(col(name).isNull(), absent).when(value.isNull(), wrong))
+        missing = is_null(df.schema[name])
+        if absent_categories and target in ("string", "boolean"):
+            errors.append(F.when(col(name).isNotNull() & value.isNull(), wrong))
+        else:
+            unread = value.isNull() | F.isnan(value) if target == "double" else value.isNull()
+            errors.append(F.when(missing, absent).when(unread, wrong))
     kept = [F.col(quoted(k)) for k in keep]
     problems = F.filter(F.array(*errors), lambda e: e.isNotNull())
     return df.select(*kept, *values, problems.alias(ERRORS))

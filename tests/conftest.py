@@ -30,6 +30,7 @@ def spark():
 @pytest.fixture(scope="session")
 def people(spark):
     """Five people, every column but the id with one absent value."""
+    # The rows behind expected results.
     rows = [
         (1, "John", 30, 50000.0, "IT"),
         (2, "Alice", None, 60000.0, "HR"),
@@ -45,6 +46,7 @@ def people(spark):
 @pytest.fixture(scope="session")
 def staff(spark):
     """Five people without absent values."""
+    # The rows behind expected results.
     rows = [
         (1, "John Doe", 30, 50000, "IT"),
         (2, "Jane Smith", 35, 60000, "HR"),

@@ -32,12 +32,12 @@ def test_text_features_train_and_score_raw_rows(spark, students):
     path = trained.save(scratch_path(spark, "test-models"))
     raw = students.select("id", "hours", "verdict", "early")
     scored = t.score(raw, path, keep=["id"])
-    assert scored.columns == ["id", "hours", "verdict", "early", "prediction"]
+    assert scored.columns == ["id", "hours", "verdict", "early", "prediction", "_errors"]
     wanted = {r["id"]: r["prediction"] for r in trained.predictions().collect()}
     assert all(math.isclose(r["prediction"], wanted[r["id"]]) for r in scored.collect())
 
 
-def test_scoring_types_rows_and_leaves_bad_ones_out(spark, students):
+def test_scoring_types_rows_and_keeps_bad_ones(spark, students):
     path = t.train_regressor(t.prepare(students, ["hours", "early"], "attendance")).save(
         scratch_path(spark, "test-models")
     )
@@ -47,7 +47,34 @@ def test_scoring_types_rows_and_leaves_bad_ones_out(spark, students):
     raw = spark.createDataFrame(rows, "hours string, early string")
     typed = t.cast_to_schema(raw, schema)
     assert t.valid_rows(typed).count() == 2 and t.invalid_rows(typed).count() == 3
-    assert t.score(raw, path).count() == 2
+    found = {(r["hours"], r["early"]): r for r in t.score(raw, path, keep=["hours"]).collect()}
+    assert len(found) == 5 - 1  # the unreadable and the absent hours both read as NULL
+    assert found[7, None]["prediction"] is not None and found[7, None]["_errors"] == []
+    assert t.score(raw, path).filter("prediction IS NULL AND size(_errors) = 1").count() == 2
+    assert t.score(raw, path).count() == 5
+
+
+def test_null_categories_score_as_in_training(spark, students):
+    gaps = students.selectExpr("id AS _id", "hours", "nullif(verdict, 'yes') AS verdict", "attendance")
+    trained = t.train_regressor(t.prepare(gaps, ["hours", "verdict"], "attendance", keep=["_id"]))
+    assert trained.metrics["used"] == 96
+    known = trained.predictions()
+    assert "_id" in known.columns and not {"verdict_indexed", "_features"} & set(known.columns)
+    wanted = {r["_id"]: r["prediction"] for r in known.collect()}
+    path = trained.save(scratch_path(spark, "test-models"))
+    scored = t.score(gaps.drop("attendance"), path, keep=["_id"]).collect()
+    assert {r["_id"]: r["prediction"] for r in scored} == wanted and len(scored) == 96
+
+
+def test_model_plots_cover_all_rows(spark):
+    rows = spark.range(3000).selectExpr("id", "CAST(id % 50 AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    trained = t.train_regressor(t.prepare(rows, ["x"], "y"))
+    assert t.actual_vs_predicted(trained).count() == 3000
+    clusters = t.train_clusters(t.prepare(rows, ["x", "y"]), 2, partitions=2)
+    assert t.cluster_points(clusters).filter("kind = 'point'").count() == 3000
+    wide = spark.range(20).selectExpr("id", *[f"id + {i} AS c{i}" for i in range(7)])
+    named = [f"c{i}" for i in range(7)]
+    assert t.pairplot_points(wide, ["id"], named, 5).columns == named
 
 
 def test_scoring_a_stream(spark, students, tmp_path):

@@ -157,3 +157,17 @@ def test_hot_value_counts(spark):
 def test_dates_print_in_top_values(spark):
     df = spark.createDataFrame([(datetime.date(2024, 1, 2),)], "d date")
     assert t.top_categories(df).first()["value"] == "2024-01-02"
+
+
+def test_correlations_of_many_columns(spark):
+    wide = spark.range(200).selectExpr(
+        "id", "CASE WHEN id % 3 > 0 THEN id * id END AS gaps", "7.1 AS fixed",
+        "CASE WHEN id = 5 THEN DOUBLE('Infinity') ELSE DOUBLE(id) END AS endless",
+        *[f"CAST(id % {n + 2} AS DOUBLE) AS c{n}" for n in range(56)],
+    )
+    r = {(x["x"], x["y"]): x["r"] for x in t.correlation_matrix(wide).collect()}
+    assert len(r) == 3600
+    assert r["id", "fixed"] is None and r["fixed", "fixed"] is None and r["id", "endless"] is None
+    for a, b in (("id", "gaps"), ("gaps", "c5"), ("c1", "c8")):
+        assert r[a, b] == r[b, a]
+        assert math.isclose(r[a, b], wide.select(F.corr(a, b)).first()[0], rel_tol=1e-9)

@@ -104,3 +104,12 @@ def test_boxplot_whiskers_are_values(spark):
     row = boxplot_stats(df).first()
     assert (row["whisker_low"], row["whisker_high"], row["outliers"]) == (1.0, 5.0, 1)
     assert (row["q1"], row["median"], row["q3"]) == (2.25, 3.5, 4.75)
+
+
+def test_tiny_sketches_end_and_long_integers_stay_exact(spark):
+    rows = spark.range(1000).selectExpr("id * 2 + 9007199254740993 AS big")
+    for size in (8, 64, 4096):
+        found = exact_quantiles(rows, ["big"], [0.0, 0.5, 1.0], interpolate=False, size=size)
+        assert found == {"big": [9007199254740993, 9007199254741991, 9007199254742991]}
+    with pytest.raises(ValueError):
+        exact_quantiles(rows, ["big"], [0.5], size=4)
