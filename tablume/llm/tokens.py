@@ -9,12 +9,58 @@ import pyarrow as pa
 
 from tablume.llm.common import WHITE_SPACE, Words, slices
 
-#: Words whose ids a task keeps; then it starts anew. About 40 bytes each.
-WORDS_KEPT = 1_000_000
+#: Words whose ids a worker keeps, about 40 bytes each; beyond, those that were met once go.
+WORDS_KEPT = 2_500_000
+#: New words wait in a small table, so that the large one is rarely rebuilt.
+_RECENT = 150_000
 _AT_ONCE = 1000
 _MARK = "\x01"
 
 
+class _Table:
+    """Ids of words by the words' hashes, as sorted arrays."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        return place, known
+
+    def add(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray, again: np.ndarray) -> None:
+        """Add words that it doesn't have, sorted by hash."""
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.starts = np.insert(self.starts, place, starts)
+        self.lengths = np.insert(self.lengths, place, lengths)
+        self.again = np.insert(self.again, place, again)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, place: np.ndarray) -> np.ndarray:
+        """The ids of the words at ``place``, one after the other."""
+        lengths = self.lengths[place].astype(np.int64)
+        total = np.cumsum(lengths)
+        shift = np.repeat(self.starts[place] - total + lengths, lengths)
+        return self.ids[shift + np.arange(total[-1] if len(total) else 0)]
+
+    def forget(self) -> None:
+        """Keep the words met again since the last time; all go if those are too many too."""
+        kept = np.flatnonzero(self.again)
+        if 4 * len(kept) > 3 * WORDS_KEPT:
+            kept = kept[:0]
+        hashes, lengths, ids = self.hashes[kept], self.lengths[kept], self.of(kept)
+        self.__init__()
+        self.add(hashes, lengths, ids, np.zeros(len(hashes), bool))
+
+
 class WordTokenizer:
     """Encodes texts with a tokenizer whose pieces never hold white space.
 
@@ -27,14 +73,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._encoded(_MARK)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.main, self.recent = _Table(), _Table()
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(
@@ -58,51 +97,47 @@ class WordTokenizer:
             lengths.append(np.array([len(x) for x in each], np.int64))
         return np.concatenate(parts), np.concatenate(lengths)
 
-    def _learn(self, words: Words, hashes: np.ndarray, example: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > WORDS_KEPT:
-            self._reset()
-        ids, lengths = self._new(
-            [words.word(i).decode("utf-8", "replace") for i in example.tolist()]
-        )
-        if self.used + len(ids) > len(self.flat):
-            grown = np.zeros(2 * (self.used + len(ids)), np.uint32)
-            grown[: self.used] = self.flat[: self.used]
-            self.flat = grown
-        self.flat[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, place, hashes)
-        self.starts = np.insert(self.starts, place, starts)
-        self.lengths = np.insert(self.lengths, place, lengths)
-
-    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(hashes), bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == hashes[inside]
-        return place, known
-
-    def _places(self, words: Words) -> np.ndarray:
-        """For each word, its place among the words kept."""
+    def _words(self, words: Words) -> tuple[_Table, np.ndarray]:
+        """A table that has all the words, and the place of each."""
         unique, example, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        place, known = self._found(unique)
-        if not known.all():
-            if len(self.hashes) + len(unique) > WORDS_KEPT:
-                self._reset()
-                known[:] = False
-            self._learn(words, unique[~known], example[~known])
-            place, _ = self._found(unique)
-        return place[which]
+        place, known = self.main.find(unique)
+        self.main.again[place[known]] = True
+        rest = np.flatnonzero(~known)
+        early, met = self.recent.find(unique[rest])
+        self.recent.again[early[met]] = True
+        new = rest[~met]
+        here = _Table()
+        ids, lengths = [self.main.of(place[known])], [self.main.lengths[place[known]]]
+        ids.append(self.recent.of(early[met]))
+        lengths.append(self.recent.lengths[early[met]])
+        if len(new):
+            texts = [words.word(i).decode("utf-8", "replace") for i in example[new].tolist()]
+            found, counts = self._new(texts)
+            ids.append(found)
+            lengths.append(counts)
+            self.recent.add(unique[new], counts, found, np.zeros(len(new), bool))
+        # the words of this slice, as they were found
+        order = np.concatenate([np.flatnonzero(known), rest[met], new])
+        here.ids, here.lengths = np.concatenate(ids), np.concatenate(lengths).astype(np.int32)
+        here.starts = np.cumsum(here.lengths, dtype=np.int64) - here.lengths
+        at = np.empty(len(unique), np.int64)
+        at[order] = np.arange(len(unique))
+        if len(self.recent.hashes) > _RECENT:
+            r = self.recent
+            self.main.add(r.hashes, r.lengths, r.of(np.arange(len(r.hashes))), r.again)
+            self.recent = _Table()
+            if len(self.main.hashes) > WORDS_KEPT:
+                self.main.forget()
+        return here, at[which]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         out = np.zeros(len(texts), np.int64)
         for at, to, data, offsets in slices(texts):
             words = Words(data, offsets, WHITE_SPACE, lower=False)
-            total = np.zeros(len(words.hash) + 1, np.int64)
-            place = self._places(words)
-            np.cumsum(self.lengths[place], out=total[1:])
+            table, place = self._words(words)
+            total = np.zeros(len(place) + 1, np.int64)
+            np.cumsum(table.lengths[place], out=total[1:])
             out[at:to] = np.diff(total[words.first])
         return out
 
@@ -110,12 +145,10 @@ class WordTokenizer:
         """``(from, to, ids, first)`` of runs of texts; ``first`` is where each text's ids start."""
         for at, to, data, offsets in slices(texts):
             words = Words(data, offsets, WHITE_SPACE, lower=False)
-            place = self._places(words)
-            lengths = self.lengths[place]
-            total = np.zeros(len(lengths) + 1, np.int64)
-            np.cumsum(lengths, out=total[1:])
-            source = np.repeat(self.starts[place] - total[:-1], lengths) + np.arange(total[-1])
-            yield at, to, self.flat[source], total[words.first]
+            table, place = self._words(words)
+            total = np.zeros(len(place) + 1, np.int64)
+            np.cumsum(table.lengths[place], out=total[1:])
+            yield at, to, table.of(place), total[words.first]
 
 
 _loaded: dict[str, WordTokenizer] = {}
