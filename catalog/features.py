@@ -73,6 +73,42 @@ def string_index_wide(spark, folder):
     return indexed.select("o_orderkey", "o_custkey_indexed")
 
 
+@query(
+    "one_hot_wide",
+    gaps_sql("orders")
+    + ", r AS (SELECT v, row_number() OVER (ORDER BY n DESC, CAST(v AS VARCHAR)) - 1 AS i FROM "
+    "(SELECT o_custkey AS v, count(*) AS n FROM t WHERE o_custkey IS NOT NULL GROUP BY 1)) "
+    "SELECT o_orderkey, CAST((SELECT count(*) FROM r) AS INT) AS slots, i AS slot "
+    "FROM t LEFT JOIN r ON v = o_custkey",
+)
+def one_hot_wide(spark, folder):
+    """One slot for each label also where the dictionary is too wide for a model."""
+    orders = with_gaps(spark, folder, "orders").withColumn(
+        "o_custkey", F.col("o_custkey").cast("string")
+    )
+    encoded = ops.one_hot(orders, ["o_custkey"], max_labels=100)
+    ones = vector_to_array("o_custkey_encoded")
+    place = F.array_position(ones, F.lit(1.0))
+    return encoded.select(
+        "o_orderkey", F.size(ones).alias("slots"), F.when(place > 0, place - 1).alias("slot")
+    )
+
+
+@query(
+    "prepare_ml_wide",
+    gaps_sql("customer")
+    + " SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_name) - 1 AS DOUBLE) AS c_name_indexed "
+    "FROM t JOIN (SELECT c_custkey, c_name FROM customer) USING (c_custkey) "
+    "WHERE c_acctbal IS NOT NULL",
+)
+def prepare_ml_wide(spark, folder):
+    """Preparation numbers a feature of any width; here a name for each row."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    rows = with_gaps(spark, folder, "customer").join(customers, "c_custkey")
+    prepared = ops.prepare(rows, ["c_name"], "c_acctbal", keep=["c_custkey"], max_labels=100)
+    return prepared.df.select("c_custkey", "c_name_indexed")
+
+
 _SLOTS = [f"slot_{i}" for i in range(6)]
 
 

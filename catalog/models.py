@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
 from tablume.operators import models as ops
-from tablume.operators.features import prepare
+from tablume.operators.features import MAX_LABELS, prepare
 from tablume.plans.report import build_report
 from tablume.sources.scratch import scratch_path
 
@@ -107,16 +107,15 @@ def score_bad_rows(spark, folder):
     )
 
 
-@query(
-    "score_null_categories",
-    "SELECT count(*) AS predicted, 0 AS wrong FROM lineitem",
-)
-def score_null_categories(spark, folder):
-    """Absent categories train and score alike: same rows, same predictions."""
+def _scored_like_training(spark, folder, max_labels):
+    """How many rows are predicted, and how many inputs score otherwise than in training."""
     lines = table(spark, folder, "lineitem").withColumn(
         "l_returnflag", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_returnflag"))
     )
-    trained = ops.train_regressor(prepare(lines, ["l_quantity", "l_returnflag"], "l_extendedprice"))
+    features = ["l_quantity", "l_returnflag"]
+    trained = ops.train_regressor(
+        prepare(lines, features, "l_extendedprice", max_labels=max_labels)
+    )
     path = trained.save(scratch_path(spark, "models"))
 
     def by_input(df):
@@ -129,6 +128,17 @@ def score_null_categories(spark, folder):
     return scored.agg(F.sum("n").alias("predicted"), F.lit(wrong).alias("wrong"))
 
 
+@query("score_null_categories", "SELECT count(*) AS predicted, 0 AS wrong FROM lineitem")
+def score_null_categories(spark, folder):
+    return _scored_like_training(spark, folder, MAX_LABELS)
+
+
+@query("score_wide_categories", "SELECT count(*) AS predicted, 0 AS wrong FROM lineitem")
+def score_wide_categories(spark, folder):
+    """The dictionary stands beside the model and is joined in training and scoring."""
+    return _scored_like_training(spark, folder, 2)
+
+
 @query(
     "metric_accuracy",
     "SELECT count(*) AS total, count(*) FILTER (WHERE label = prediction) AS correct, "

@@ -35,7 +35,8 @@ from tablume.operators.clean import drop_null_labels
 from tablume.operators.profile import value_counts
 from tablume.sources.scratch import cut_lineage
 
-#: Labels one string indexer may hold: its dictionary lives on the driver and in the model.
+#: Labels one string indexer may hold: its dictionary lives on the driver and in the model. Wider
+#: columns are numbered by a distributed sort, and their dictionary is a table of its own.
 MAX_LABELS = 1_000_000
 #: Labels resolved by a broadcast lookup in :func:`string_index` on wide dictionaries.
 HOT_LABELS = 1_000
@@ -146,28 +147,46 @@ def ranked_values(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     return numbered, total
 
 
-def _index_by_sort(df: DataFrame, column: str) -> DataFrame:
-    """Join the numbering back; the most frequent values never take part in the shuffle.
+@dataclass
+class WideIndex:
+    """The numbers of a column with too many labels for a model: ``value, index``, and how many.
 
-    The ``HOT_LABELS`` first numbers are the most frequent values, so looking those up by a
-    bounded broadcast leaves only values each holding under ``1 / HOT_LABELS`` of the rows.
+    Absent and unknown values have the number after the last, as in a fitted indexer.
     """
-    ranked, total = ranked_values(df, column)
-    output = f"{column}_indexed"
-    text = as_text(df.schema[column])
-    hot = F.broadcast(ranked.filter(F.col("index") < HOT_LABELS).limit(HOT_LABELS))
-    keyed = df.withColumn("_value", text).join(
-        hot.select(F.col("value").alias("_value"), F.col("index").alias("_hot")), "_value", "left"
-    )
-    settled = F.col("_value").isNull() | F.col("_hot").isNotNull()
-    done = keyed.filter(settled).withColumn(
-        output, F.coalesce(F.col("_hot").cast("double"), F.lit(float(total)))
-    )
-    rare = ranked.filter(F.col("index") >= HOT_LABELS).select(
-        F.col("value").alias("_value"), F.col("index").cast("double").alias(output)
-    )
-    rest = keyed.filter(~settled).join(rare, "_value", "left")
-    return done.unionByName(rest).drop("_value", "_hot")
+
+    ranked: DataFrame
+    size: int
+
+    def add(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with ``<column>_indexed``; the most frequent values are not shuffled.
+
+        The ``HOT_LABELS`` first numbers are the most frequent values, so looking those up by a
+        bounded broadcast leaves only values each holding under ``1 / HOT_LABELS`` of the rows.
+        """
+        output = f"{column}_indexed"
+        unknown = F.lit(float(self.size))
+        hot = F.broadcast(self.ranked.filter(F.col("index") < HOT_LABELS).limit(HOT_LABELS))
+        keyed = df.withColumn("_value", as_text(df.schema[column])).join(
+            hot.select(F.col("value").alias("_value"), F.col("index").alias("_hot")), "_value", "left"
+        )
+        settled = F.col("_value").isNull() | F.col("_hot").isNotNull()
+        done = keyed.filter(settled).withColumn(
+            output, F.coalesce(F.col("_hot").cast("double"), unknown)
+        )
+        rare = self.ranked.filter(F.col("index") >= HOT_LABELS).select(
+            F.col("value").alias("_value"), F.col("index").cast("double").alias(output)
+        )
+        rest = keyed.filter(~settled).join(rare, "_value", "left")
+        rest = rest.withColumn(output, F.coalesce(output, unknown))
+        # the same description as a fitted indexer gives, without the labels themselves
+        about = {"ml_attr": {"name": output, "type": "nominal", "num_vals": self.size + 1}}
+        every = done.unionByName(rest).drop("_value", "_hot")
+        return every.withMetadata(output, about)
+
+
+def _index_by_sort(df: DataFrame, column: str) -> DataFrame:
+    """Number the labels by a distributed sort and join them back."""
+    return WideIndex(*ranked_values(df, column)).add(df, column)
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS) -> DataFrame:
@@ -175,25 +194,13 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS)
 
     A null has no slot and encodes as all zeros.
     """
-    estimates = label_estimates(df, columns)
-    _check_labels(estimates, max_labels)
-    indexed = _index(df, estimates, max_labels)
+    indexed = _index(df, label_estimates(df, columns), max_labels)
     encoder = OneHotEncoder(
         inputCols=[f"{c}_indexed" for c in columns], outputCols=[f"{c}_encoded" for c in columns]
     )
     return encoder.fit(indexed).transform(indexed)
 
 
-def _check_labels(estimates: dict[str, int], max_labels: int) -> None:
-    wide = {c: n for c, n in estimates.items() if n > max_labels}
-    if wide:
-        raise ValueError(
-            "too many labels for a dictionary kept in a model (about "
-            + ", ".join(f"{n} in {c!r}" for c, n in wide.items())
-            + f"; limit {max_labels}): leave the column out or raise max_labels"
-        )
-
-
 def pca(
     df: DataFrame,
     columns: Sequence[str],
@@ -222,6 +229,13 @@ class Prepared:
     target: str | None = None
     labels: list[str] | None = None
     counts: dict[str, int] = field(default_factory=dict)
+    wide: dict[str, WideIndex] = field(default_factory=dict)
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """Raw rows with the numbers of the features that no model holds."""
+        for name, numbers in self.wide.items():
+            df = numbers.add(df, name)
+        return df
 
     @property
     def features(self) -> list[str]:
@@ -278,17 +292,28 @@ def prepare(
     wanted = list(dict.fromkeys([*features, *([target] if target else []), *keep]))
     narrow = df.select(*[col(n) for n in wanted])
 
-    counts = _count_rows(narrow, features, target, categorical, max_labels)
+    counts, many = _count_rows(narrow, features, target, categorical, max_labels)
+    if target in many:
+        raise ValueError(f"too many classes in {target!r} (over {max_labels})")
     labels = None
     if target:
         if counts["labelled"] == 0:
             raise ValueError(f"no rows are left after dropping null labels in {target!r}")
         narrow, labels = _with_label(narrow, target)
-    pipeline, inputs = _feature_steps(df, features)
-    return Prepared(narrow, inputs, schema, pipeline, target, labels, counts)
+    taken = {f"{n}_indexed" for n in categorical} & set(narrow.columns)
+    if taken:
+        raise ValueError("column name(s) needed for indexing: " + ", ".join(sorted(taken)))
+    pipeline, inputs = _feature_steps(df, features, many)
+    prepared = Prepared(narrow, inputs, schema, pipeline, target, labels, counts)
+    prepared.wide = {n: WideIndex(*ranked_values(narrow, n)) for n in many}
+    prepared.df = prepared.indexed(narrow)
+    return prepared
 
 
-def _count_rows(df, features, target, categorical, max_labels) -> dict[str, int]:
+def _count_rows(
+    df, features, target, categorical, max_labels
+) -> tuple[dict[str, int], list[str]]:
+    """Rows in, labelled and usable, and the columns with more labels than a model holds."""
     labelled = ~is_null(df.schema[target]) if target else F.lit(True)
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -299,8 +324,8 @@ def _count_rows(df, features, target, categorical, max_labels) -> dict[str, int]
             for i, n in enumerate(categorical)
         ],
     ).first()
-    _check_labels({n: row[f"d{i}"] for i, n in enumerate(categorical)}, max_labels)
-    return {"rows": row["rows"], "labelled": row["labelled"], "used": row["used"]}
+    many = [n for i, n in enumerate(categorical) if row[f"d{i}"] > max_labels]
+    return {"rows": row["rows"], "labelled": row["labelled"], "used": row["used"]}, many
 
 
 def _with_label(df: DataFrame, target: str) -> tuple[DataFrame, list[str] | None]:
@@ -312,12 +337,16 @@ def _with_label(df: DataFrame, target: str) -> tuple[DataFrame, list[str] | None
     return model.transform(texts).drop("_label_text"), list(model.labels)
 
 
-def _feature_steps(df: DataFrame, features: Sequence[str]) -> tuple[Pipeline, list[str]]:
+def _feature_steps(
+    df: DataFrame, features: Sequence[str], many: Sequence[str]
+) -> tuple[Pipeline, list[str]]:
     """Steps from raw columns to the scaled vector, and the assembler's inputs in order."""
     indexed, inputs, booleans = {}, [], []
     for n in features:
         dtype = df.schema[n].dataType
-        if is_categorical(dtype):
+        if n in many:
+            inputs.append(f"{n}_indexed")
+        elif is_categorical(dtype):
             source = n
             if isinstance(dtype, T.BooleanType):
                 source = f"_{n}_text"
@@ -326,9 +355,6 @@ def _feature_steps(df: DataFrame, features: Sequence[str]) -> tuple[Pipeline, li
             inputs.append(indexed[source])
         else:
             inputs.append(n)
-    taken = set(indexed.values()) & set(df.columns)
-    if taken:
-        raise ValueError("column name(s) needed for indexing: " + ", ".join(sorted(taken)))
     stages = []
     if booleans:
         stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(booleans) + " FROM __THIS__"))

@@ -29,7 +29,15 @@ from pyspark.sql import functions as F
 
 from tablume.functions.columns import col, is_null, is_numeric, require_columns
 from tablume.functions.tables import small_table
-from tablume.operators.features import FEATURES, LABEL, PREDICTION, RAW, Prepared, fit_features
+from tablume.operators.features import (
+    FEATURES,
+    LABEL,
+    PREDICTION,
+    RAW,
+    Prepared,
+    WideIndex,
+    fit_features,
+)
 from tablume.sources.scratch import shared_folder
 from tablume.sources.typed import ERRORS, cast_to_schema, input_fields
 
@@ -74,11 +82,13 @@ class Trained:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Raw rows with ``prediction``; rows with an absent numeric feature are left out."""
-        return without_internals(self.model.transform(df), self.model)
+        scored = self.model.transform(self.prepared.indexed(df))
+        return without_internals(scored, self.model).drop(*_index_columns(self.prepared.wide))
 
     def predictions(self) -> DataFrame:
         """The training rows with their label and prediction."""
-        return self.predict(self.prepared.df)
+        scored = self.model.transform(self.prepared.df)
+        return without_internals(scored, self.model).drop(*_index_columns(self.prepared.wide))
 
     def sample(self, order_by: Sequence[str] | None = None, n: int = 10) -> DataFrame:
         """The first ``n`` rows, in the given order, with features, label and prediction.
@@ -100,7 +110,11 @@ class Trained:
 
     def save(self, folder: str) -> str:
         """Save the pipeline and its input schema under a name not used before."""
-        return save_model(self.model, self.schema, folder)
+        return save_model(self.model, self.schema, folder, self.prepared.wide)
+
+
+def _index_columns(names) -> list[str]:
+    return [f"{n}_indexed" for n in names]
 
 
 def working_columns(model: PipelineModel) -> list[str]:
@@ -297,10 +311,21 @@ def feature_importance(trained: Trained) -> DataFrame:
     ).orderBy("importance", "feature")
 
 
-def save_model(model: PipelineModel, schema: Sequence[Mapping], folder: str) -> str:
-    """Save a pipeline model with its input schema beside it; returns the path."""
+def save_model(
+    model: PipelineModel,
+    schema: Sequence[Mapping],
+    folder: str,
+    wide: Mapping[str, WideIndex] | None = None,
+) -> str:
+    """Save a pipeline model with its input schema and wide dictionaries beside it; returns the
+    path."""
     path = f"{folder.rstrip('/')}/spark_model_{uuid.uuid4()}"
     model.write().overwrite().save(path)
+    schema = [dict(entry) for entry in schema]
+    for i, (name, numbers) in enumerate((wide or {}).items()):
+        numbers.ranked.write.parquet(f"{path}/dictionaries/{i}")
+        entry = next(e for e in schema if e["name"] == name)
+        entry["dictionary"] = {"folder": f"dictionaries/{i}", "size": numbers.size}
     spark = SparkSession.getActiveSession()
     lines = spark.createDataFrame([(json.dumps(list(schema)),)], "value string")
     lines.coalesce(1).write.mode("overwrite").text(f"{path}/input_schema")
@@ -346,11 +371,17 @@ def score(
     typed = cast_to_schema(df, wanted, kept, absent_categories=True)
     fields = [typed.schema[n] for n in names]
     # the assembler gets a number in every row, and the caller the row as it was
-    whole = typed.withColumn(ROW, F.struct(*[col(c) for c in typed.columns])).withColumns(
+    typed = typed.withColumn(ROW, F.struct(*[col(c) for c in typed.columns]))
+    for entry in wanted:
+        if about := entry.get("dictionary"):
+            ranked = df.sparkSession.read.parquet(f"{path.rstrip('/')}/{about['folder']}")
+            typed = WideIndex(ranked, about["size"]).add(typed, entry["name"])
+    extra = [c for c in typed.columns if c not in (*kept, *names, ROW, ERRORS)]
+    whole = typed.withColumns(
         {f.name: F.when(is_null(f), F.lit(0).cast(f.dataType)).otherwise(col(f.name))
          for f in fields if is_numeric(f.dataType)}
     )
-    scored = model.transform(whole.select(*[col(n) for n in names], ROW))
+    scored = model.transform(whole.select(*[col(n) for n in [*names, *extra]], ROW))
     _require_prediction(scored)
     row = F.col(ROW)
     fit = F.size(row[ERRORS]) == 0

@@ -112,13 +112,22 @@ def test_sorted_numbering_equals_the_indexer(spark):
     )
 
 
-def test_one_hot_refuses_unbounded_dictionaries(spark):
-    df = spark.range(100).selectExpr("CAST(id AS STRING) AS v")
-    with pytest.raises(ValueError, match="labels"):
-        t.one_hot(df, ["v"], max_labels=10)
-    for features, target in ((["v"], "n"), (["n"], "v")):
-        with pytest.raises(ValueError, match="labels"):
-            t.prepare(df.withColumn("n", F.lit(1)), features, target, max_labels=10)
+def test_wide_dictionaries_encode_and_prepare_alike(spark):
+    df = spark.range(100).selectExpr("id", "CAST(id % 30 AS STRING) AS v", "CAST(id AS INT) AS n")
+    near, far = t.one_hot(df, ["v"]), t.one_hot(df, ["v"], max_labels=10)
+    assert {(r["id"], r["v_encoded"]) for r in near.collect()} == {
+        (r["id"], r["v_encoded"]) for r in far.collect()
+    }
+    small, large = (t.prepare(df, ["v"], "n", keep=["id"], max_labels=m) for m in (100, 10))
+    assert not small.wide and set(large.wide) == {"v"}
+    found = [
+        {r["id"]: r["prediction"] for r in t.train_regressor(p).predictions().collect()}
+        for p in (small, large)
+    ]
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(found[0][k] - found[1][k]) < 1e-9 for k in found[0])
+    with pytest.raises(ValueError, match="classes"):
+        t.prepare(df, ["n"], "v", max_labels=10)
 
 
 def test_pca(people):
