@@ -38,6 +38,22 @@ def scan_csv(spark, folder):
     )
 
 
+@query(
+    "scan_csv_bad_values",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS o_custkey, "
+    "CASE WHEN o_orderkey % 7 = 0 THEN concat(o_orderkey, ',many') END AS bad FROM orders",
+)
+def scan_csv_bad_values(spark, folder):
+    """A value that does not read as declared is NULL and its record is kept beside it."""
+    path = scratch_path(spark, "csv")
+    table(spark, folder, "orders").selectExpr(
+        "o_orderkey", "if(o_orderkey % 7 = 0, 'many', string(o_custkey)) AS o_custkey"
+    ).write.csv(path, header=True)
+    return readers.read(
+        spark, path, "csv", "o_orderkey bigint, o_custkey bigint", corrupt="bad"
+    )
+
+
 @query(
     "scan_json",
     "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "

@@ -260,13 +260,15 @@ def prepare(
     target: str | None = None,
     keep: Sequence[str] = (),
     max_labels: int = MAX_LABELS,
+    classes: bool = False,
 ) -> Prepared:
     """Check, label and narrow a table for training.
 
     String and boolean features are indexed, numeric ones used as they are, and all of them
     assembled and standardised by one pipeline that starts from the raw columns, so a saved
     model scores raw rows. A string or boolean target is indexed, a numeric one cast to double;
-    rows without a target are dropped first. ``counts`` tells rows in, labelled and usable.
+    rows without a target are dropped first. With ``classes`` a numeric target that is not
+    numbered 0, 1, 2, ... is indexed too. ``counts`` tells rows in, labelled and usable.
     """
     features = [f for f in dict.fromkeys(features) if f != target]
     if not features:
@@ -299,7 +301,7 @@ def prepare(
     if target:
         if counts["labelled"] == 0:
             raise ValueError(f"no rows are left after dropping null labels in {target!r}")
-        narrow, labels = _with_label(narrow, target)
+        narrow, labels = _with_label(narrow, target, classes)
     taken = {f"{n}_indexed" for n in categorical} & set(narrow.columns)
     if taken:
         raise ValueError("column name(s) needed for indexing: " + ", ".join(sorted(taken)))
@@ -328,9 +330,21 @@ def _count_rows(
     return {"rows": row["rows"], "labelled": row["labelled"], "used": row["used"]}, many
 
 
-def _with_label(df: DataFrame, target: str) -> tuple[DataFrame, list[str] | None]:
+def _numbered(df: DataFrame, target: str) -> bool:
+    """Whether the values of a numeric column are the whole numbers from 0 on."""
+    x = col(target).cast("double")
+    row = df.agg(
+        F.min(x).alias("low"), F.max(x).alias("high"), F.count_if(x != F.floor(x)).alias("parts"),
+        F.count_distinct(x).alias("n"),
+    ).first()
+    return row["low"] == 0 and row["parts"] == 0 and row["high"] == row["n"] - 1
+
+
+def _with_label(
+    df: DataFrame, target: str, classes: bool
+) -> tuple[DataFrame, list[str] | None]:
     kept = drop_null_labels(df, target)
-    if is_numeric(df.schema[target].dataType):
+    if is_numeric(df.schema[target].dataType) and not (classes and not _numbered(kept, target)):
         return kept.withColumn(LABEL, col(target).cast("double")), None
     texts = kept.withColumn("_label_text", as_text(df.schema[target]))
     model = StringIndexer(inputCol="_label_text", outputCol=LABEL, handleInvalid="error").fit(texts)

@@ -20,12 +20,13 @@ def analyze(
     features: Sequence[str] | None = None,
     target: str | None = None,
     exclude: Sequence[str] = (),
+    keep: Sequence[str] = (),
     **options,
 ) -> dict[str, DataFrame] | Trained:
     """Run one kind of analysis on the chosen columns (default: all but the excluded ones).
 
     Exploration gives result tables; the others give a trained model with its metrics and
-    tables. ``options`` go to the trainer (``algorithm``, ``k``, ``holdout``, parameters).
+    tables, and its samples can be ordered by the columns in ``keep``. ``options`` go to the trainer (``algorithm``, ``k``, ``holdout``, parameters).
     """
     if kind not in KINDS:
         raise ValueError(f"unsupported analysis: {kind!r}; use one of {', '.join(KINDS)}")
@@ -33,10 +34,10 @@ def analyze(
     if kind == "exploratory":
         return explore(df, names)
     if kind == "clustering":
-        return train_clusters(prepare(df, [n for n in names if n != target]), **options)
+        return train_clusters(prepare(df, [n for n in names if n != target], keep=keep), **options)
     if not target:
         raise ValueError(f"{kind} needs a target column")
     require_columns(df, [target])
-    prepared = prepare(df, names, target)
+    prepared = prepare(df, names, target, keep, classes=kind == "classification")
     train = train_regressor if kind == "regression" else train_classifier
     return train(prepared, **options)

@@ -173,7 +173,7 @@ def build_report(
     else:
         record(
             "Classification", CLASSIFICATION_TITLE, label, inputs,
-            lambda: train_classifier(_usable(prepare(df, inputs, label, keep)), **(classification_options or {})),
+            lambda: train_classifier(_usable(prepare(df, inputs, label, keep, classes=True)), **(classification_options or {})),
             lambda t: ("accuracy", t.metrics["accuracy"], _share("Accuracy: ", t.metrics["accuracy"]),
                        _share("Classification Accuracy: ", t.metrics["accuracy"])),
         )

@@ -20,19 +20,32 @@ def read(
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
     sampling_ratio: float | None = None,
+    corrupt: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Scan files of one format: CSV with a header, JSON Lines, or Parquet.
 
     Without ``schema`` the types are inferred, which for CSV and JSON costs one extra pass over
     the text; give a schema (or a sampling ratio) for large text inputs. Parquet carries its
     own schema.
+
+    With a schema, text that does not read as declared becomes NULL; ``corrupt`` names a column
+    that then holds the whole record, and ``strict`` fails the read instead.
     """
     if fmt not in FILE_FORMATS:
         raise ValueError(f"unsupported file format: {fmt!r}; use one of {', '.join(FILE_FORMATS)}")
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
+    if (corrupt or strict) and (schema is None or fmt == "parquet"):
+        raise ValueError("corrupt and strict need a schema and a text format")
+    if strict:
+        reader = reader.option("mode", "FAILFAST")
     if schema is not None:
+        if corrupt:
+            parsed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            schema = T.StructType([*parsed.fields, T.StructField(corrupt, T.StringType())])
+            reader = reader.option("columnNameOfCorruptRecord", corrupt)
         reader = reader.schema(schema)
     elif fmt != "parquet":
         if fmt == "csv":

@@ -217,3 +217,14 @@ def test_user_columns_called_label_and_features(spark):
     df = spark.range(20).selectExpr("CAST(id AS DOUBLE) AS label", "id * 2 AS features", "id AS y")
     trained = t.train_regressor(t.prepare(df, ["label", "features"], "y"))
     assert trained.metrics["total"] == 20
+
+
+def test_numeric_classes_need_no_numbering(spark):
+    rows = spark.range(200).selectExpr(
+        "id", "CAST(id % 10 AS DOUBLE) AS x", "CAST(CASE WHEN id % 10 > 4 THEN 1 ELSE -1 END AS INT) AS y",
+        "CASE WHEN id % 10 > 4 THEN 0.5 ELSE 2.5 END AS z",
+    )
+    for target in ("y", "z"):
+        trained = t.analyze(rows, "classification", ["x"], target, keep=["id"], algorithm="gbt_classifier", maxIter=2)
+        assert trained.metrics["accuracy"] == 1.0 and len(trained.prepared.labels) == 2
+        assert trained.sample(["id"], 3).count() == 3

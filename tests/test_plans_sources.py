@@ -214,3 +214,22 @@ def test_plot_columns_are_checked(staff):
     with pytest.raises(ValueError, match="box plot"):
         t.boxplot_stats(staff, ["name"])
     assert t.pairplot_points(staff, ["id"], n=3).count() == 3
+
+
+def test_declared_schema_and_bad_values(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("a,b\n1,x\ntwo,y\n")
+    read = t.read(spark, str(path), "csv", "a int, b string", corrupt="bad").collect()
+    assert [(r["a"], r["b"], r["bad"]) for r in read] == [(1, "x", None), (None, "y", "two,y")]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        t.read(spark, str(path), "csv", "a int, b string", strict=True).collect()
+    with pytest.raises(ValueError):
+        t.read(spark, str(path), "csv", strict=True)
+
+
+def test_values_that_no_cast_reads(spark):
+    rows = spark.sql("SELECT array(1) AS a, timestamp'2020-01-01' AS b, 5 AS c, 'x' AS d")
+    schema = [{"name": n, "original_type": k} for n, k in (("a", "int"), ("b", "int"), ("c", "int"), ("d", "string"))]
+    row = t.cast_to_schema(rows, schema).first()
+    assert (row["a"], row["b"], row["c"], row["d"]) == (None, None, 5, "x")
+    assert len(row["_errors"]) == 2
