@@ -360,3 +360,17 @@ def report_summary(spark, folder):
     customers = table(spark, folder, "customer")
     report = build_report(customers, ["c_custkey"], exclude=["c_custkey", "c_name"])
     return report.tables["summary"]
+
+
+@query(
+    "report_tasks",
+    "SELECT CASE WHEN count(DISTINCT c_nationkey) > 10 THEN 'c_nationkey' ELSE 'c_acctbal' END AS target, "
+    "'Regression (Linear Regression)' AS task, CASE WHEN count(DISTINCT c_nationkey) > 10 "
+    "THEN 'c_acctbal, c_mktsegment' ELSE 'c_nationkey, c_mktsegment' END AS features, 'ok' AS status FROM customer "
+    "UNION ALL SELECT CASE WHEN count(DISTINCT c_mktsegment) BETWEEN 2 AND 10 THEN 'c_mktsegment' END, "
+    "'Classification (Random Forest)', 'c_nationkey, c_acctbal', 'ok' FROM customer "
+    "UNION ALL SELECT NULL, 'Clustering (KMeans, k=3)', 'c_nationkey, c_acctbal', 'ok'",
+)
+def report_tasks(spark, folder):
+    """The targets and features that the report chooses, and that every task succeeds."""
+    return report_summary(spark, folder).select("task", "target", "features", "status")
