@@ -89,7 +89,26 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op10_chat")
+CHAT_SQL = r"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    f AS (
+      SELECT *, CASE WHEN r = 'assistant' THEN t ELSE '' END AS l,
+             replace(replace(replace(r, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') AS er,
+             replace(replace(t, '\', '\\'), '<|', '<\|') AS et
+      FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+           CAST(sum(length(l)) AS BIGINT) AS loss_chars,
+           sha256(string_agg(l, '' ORDER BY turn, r, t)) AS loss_sha256,
+           CAST(sum(length('<|im_start|>') + length(er) + 1 + length(et) + length('<|im_end|>') + 1)
+                AS BIGINT) AS formatted_chars
+    FROM f GROUP BY conv_id"""
+
+
+@query("op10_chat", CHAT_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
