@@ -21,7 +21,7 @@ from tablume.llm import (
     sharding,
     training_order,
 )
-from tablume.llm.common import table
+from tablume.llm.common import durable, table
 from tablume.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,7 +140,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "training-order")
     docs = table(spark, folder, "documents")
     made = training_order.materialise(docs, path, tokenizer_path(), key=20)
-    back = training_order.stored(spark, path).select(
+    # written, so that the join knows its size
+    back = durable(training_order.stored(spark, path), "stored").select(
         "slot",
         F.col("length").alias("stored_length"),
         F.col("ids_crc32").alias("stored_crc32"),
