@@ -37,18 +37,22 @@ def exact_groups(
     of other columns don't matter.
 
     Only narrow rows are shuffled: lengths, prefix hashes and full hashes. Counts are combined
-    before each exchange, so one group may hold any share of the rows. The keys that survive the
-    two cheap levels are given to every task only where they are counted to be ``keys_held`` at
-    most; beyond, all rows are hashed in full, with the same result.
+    before each exchange, so one group may hold any share of the rows. The lengths, and the keys
+    that survive both cheap levels, are given to every task only where they are counted to be
+    ``keys_held`` at most; beyond, lengths are joined and all rows hashed in full, with the same
+    result.
     """
     text = normalised(F.col(text_column))
     named = df.select(F.col(id_column).alias("id"), text.alias("text"))
     length = F.length("text").alias("length")
     prefix = F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("prefix")
-    by_length = (
-        named.groupBy(length).agg(F.count("*").alias("n")).where("n > 1").select("length")
+    by_length = durable(
+        named.groupBy(length).agg(F.count("*").alias("n")).where("n > 1").select("length"),
+        "lengths",
     )
-    level_one = named.select(length, prefix).join(by_length, "length", "left_semi")
+    # a frequent length would meet in one task of a shuffled join
+    lengths = F.broadcast(by_length) if by_length.count() <= keys_held else by_length
+    level_one = named.select(length, prefix).join(lengths, "length", "left_semi")
     keys = durable(
         level_one.groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1"),
         "prefix-groups",
