@@ -161,11 +161,15 @@ def windows(words: Words, size: int, whole_if_shorter: bool) -> tuple[np.ndarray
 
 
 def hashes_at(h: np.ndarray, place: np.ndarray, width: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the ``width`` (``size`` at most) words from each ``place``."""
+    """Hashes of the ``width`` words from each ``place``; ``size`` is the largest width.
+
+    The hash depends on the words alone, not on ``size``.
+    """
     out = width.astype(np.uint64) * _PRIME
     if not len(place):
         return out
+    least = width.min()
     for k in range(size):
-        here = np.where(k < width, h[np.minimum(place + k, len(h) - 1)], np.uint64(0))
-        out = mixed(out + here)
+        longer = mixed(out + h[np.minimum(place + k, len(h) - 1)])
+        out = longer if k < least else np.where(k < width, longer, out)
     return out
