@@ -38,10 +38,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared folder, so later reads never recompute in another order."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def remove_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a working copy made under :func:`scratch_path` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
