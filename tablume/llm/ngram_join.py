@@ -371,8 +371,11 @@ def pivots(common: DataFrame, entry: DataFrame) -> DataFrame:
     ``common`` has ``entry, signature``. An entry whose other signatures absorb all differences is
     found by those; pairs of the remaining entries share a common signature, whose pivot is the
     entry with most of them. All entries of a signature are compared with one pivot.
+
+    A set of n shingles may be the smaller one of a pair, also in its own band: it then differs in
+    n/4 at most from a larger one it links with, which is more than 2n/9.
     """
-    need = F.when(F.col("entry") % 2 == 0, F.floor(2 * F.col("n") / 9)).otherwise(F.floor(F.col("n") / 4))
+    need = F.floor(F.col("n") / 4)
     needy = entry.where((F.col("times") > 0) & (F.col("capacity") - F.col("times") * F.col("weight") <= need))
     rows = durable(common.join(needy.select("entry", "times"), "entry"), "common-signatures")
     centre = rows.groupBy("signature").agg(

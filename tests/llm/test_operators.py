@@ -243,6 +243,46 @@ def test_short_sets_use_other_allocations(spark, monkeypatch):
         assert Counter((r.id, r.n, r.component) for r in found) == wanted
 
 
+def cut_copies():
+    """Hot groups: a text, copies edited in its front part, and one that lacks the tail (J = 0.8 to 0.82)."""
+    rows, draw = [], random.Random(31)
+    for group in range(48):
+        n, cut = [(80, 64), (40, 32), (21, 17)][group % 3]
+        words = [f"g{group}w{i}" for i in range(n + 4)]
+        rows += [(100 * group, " ".join(words)), (100 * group + 1, " ".join(words[: cut + 4]))]
+        for i in range(2, 26):
+            copy = list(words)
+            copy[draw.randrange(cut // 2)] = f"c{group}e{i}"
+            rows.append((100 * group + i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("kind", [ngram_join.TOKEN, ngram_join.DELETION, ngram_join.EXACT])
+def test_tail_cut_copies_in_hot_groups(spark, kind, monkeypatch):
+    rows = cut_copies()
+    real = ngram_join.allocation
+
+    def only(profiled):
+        spare = {ngram_join.EXACT: F.col("exact"), ngram_join.DELETION: F.col("deletion")}.get(kind)
+        if spare is None:
+            return {b: kind for b in real(profiled)[0]}, real(profiled)[1]
+        fits = profiled.groupBy("band").agg(F.min(spare - F.floor(2 * F.col("n") / 9)).alias("spare"))
+        return {r.band: kind if r.spare > 0 else ngram_join.TOKEN for r in fits.collect()}, 100_000
+
+    monkeypatch.setattr(ngram_join, "allocation", only)
+    found = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.id, r.n, r.component) for r in found) == brute_components(rows)
+
+
+def test_pivots_take_smaller_sets_of_a_pair(spark):
+    entry = spark.createDataFrame(
+        [(2 * d, d, n, capacity, 1, times) for d, n, capacity, times in [(1, 80, 30, 30), (2, 64, 30, 14)]],
+        "entry long, digest long, n long, capacity long, weight int, times long",
+    )
+    common = spark.createDataFrame([(2, 7), (4, 7)], "entry long, signature long")
+    assert [(r.a, r.b) for r in ngram_join.pivots(common, entry).collect()] == [(1, 2)]
+
+
 def test_near_dedup_keeps_one_of_each(docs, no_docs, rows):
     kept = ngram_join.near_dedup(docs)
     assert kept.columns == docs.columns
