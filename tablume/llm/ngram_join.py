@@ -31,6 +31,8 @@ EXACT_FILL, DELETION_FILL = 3.6, 6.0
 RARE = 8
 #: Ids that tasks may hold to pick rows out of the texts (8 bytes each); beyond, rows are joined.
 IDS_HELD = 1_000_000
+#: Sets around one pivot are counted against each other in blocks of about so many.
+BLOCK = 256
 SIGNATURES_PER_PART = 1_500_000
 
 EXACT, DELETION, TOKEN = 0, 1, 2
@@ -539,18 +541,146 @@ def beside_pivots(star: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+# --- counting links -----------------------------------------------------------------------------
+
+
+class _Postings:
+    """Which of some lists hold a number."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.lists = len(lists)
+        numbers = np.concatenate([*lists, np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(numbers, kind="stable")
+        self.numbers, self.owner = numbers[order], owner[order]
+
+    def shared(self, numbers: np.ndarray) -> np.ndarray:
+        """How many of ``numbers`` each list has."""
+        begin = np.searchsorted(self.numbers, numbers)
+        length = np.searchsorted(self.numbers, numbers, "right") - begin
+        before = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(begin - before, length)
+        return np.bincount(self.owner[at], minlength=self.lists)
+
+
+def linking(u: tuple, v: tuple) -> np.ndarray:
+    """For each set of ``u`` and each of ``v`` whether they link and have no earlier pivot in common.
+
+    Both are ``(sizes, differences from one pivot, earlier pivots)``. Sets with the differences D
+    and E differ from each other in |D| + |E| - 2 |D & E| shingles.
+    """
+    (u_size, u_lists, u_earlier), (v_size, v_lists, v_earlier) = u, v
+    different, earlier = _Postings(v_lists), _Postings(v_earlier)
+    length = np.array([len(x) for x in v_lists], np.int64)
+    out = np.zeros((len(u_lists), len(v_lists)), bool)
+    for i, numbers in enumerate(u_lists):
+        apart = len(numbers) + length - 2 * different.shared(numbers)
+        both = (u_size[i] + v_size - apart) // 2
+        out[i] = (both > 0) & (100 * both >= 80 * (u_size[i] + v_size - both))
+        if len(u_earlier[i]):
+            out[i] &= earlier.shared(u_earlier[i]) == 0
+    return out
+
+
+def links_around_pivots(star: DataFrame, of_node: DataFrame) -> DataFrame:
+    """``node, links``: rows to add up, how many sets of its pivots each set links with.
+
+    All sets of a pivot, which is one of them, are counted against each other, in pairs of blocks,
+    so that no task holds a large group and no row is made for a pair. Two sets of several pivots
+    in common are counted with the smallest of them; ``of_node`` has the ``pivots`` of each node.
+    """
+    centres = star.groupBy("a").agg(F.min("a_size").alias("size"))
+    members = star.select(
+        F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("b_size").alias("size"), "different"
+    ).unionByName(
+        centres.select(
+            F.col("a").alias("pivot"), F.col("a").alias("node"), "size", F.lit(b"").alias("different")
+        )
+    )
+    # one row at most for each BLOCK sets
+    large = star.groupBy("a").count().where(F.col("count") >= BLOCK)
+    blocks = large.select(F.col("a").alias("pivot"), F.expr(f"count div {BLOCK} + 1").alias("blocks"))
+    several = of_node.where("size(pivots) > 1")
+    dealt = (
+        members.join(several, "node", "left")
+        .join(F.broadcast(blocks), "pivot", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "pivot",
+            F.least("block", "other").alias("one"),
+            F.greatest("block", "other").alias("two"),
+            "block",
+            "node",
+            "size",
+            "different",
+            F.coalesce(F.filter("pivots", lambda p: p < F.col("pivot")), F.expr("array()")).alias("earlier"),
+        )
+    )
+
+    def count(rows: pa.Table) -> pa.Table:
+        node, size = rows["node"].to_numpy(), rows["size"].to_numpy()
+        lists = [np.frombuffer(x.as_buffer(), "<i8") for x in rows["different"]]
+        earlier = [np.array(x, np.int64) for x in rows["earlier"].to_pylist()]
+        first = rows["block"].to_numpy() == rows["one"][0].as_py()
+        side = lambda chosen: (
+            size[chosen], [lists[i] for i in np.flatnonzero(chosen)], [earlier[i] for i in np.flatnonzero(chosen)],
+        )
+        if first.all() and rows["one"][0] == rows["two"][0]:
+            found = linking(side(first), side(first))
+            np.fill_diagonal(found, False)
+            links = found.sum(axis=1)
+        else:
+            found = linking(side(first), side(~first))
+            links = np.zeros(len(node), np.int64)
+            links[first], links[~first] = found.sum(axis=1), found.sum(axis=0)
+        return pa.table({"node": node, "links": links.astype(np.int64)})
+
+    return dealt.groupBy("pivot", "one", "two").applyInArrow(count, "node long, links long")
+
+
+def links_of_sets(rare: DataFrame, star: DataFrame) -> DataFrame:
+    """``digest, links``: with how many other sets each set links, of all that link with any.
+
+    Sets that link share a pivot or are a pair in ``rare`` (``a < b``, once each), or both; each
+    link is counted once.
+    """
+    of_node = durable(
+        star.select(F.col("b").alias("node"), F.col("a").alias("pivot"))
+        .unionByName(star.select(F.col("a").alias("node"), F.col("a").alias("pivot")))
+        .groupBy("node")
+        .agg(F.collect_set("pivot").alias("pivots")),
+        "pivots-of-sets",
+    )
+    pivots_of = lambda c: of_node.select(F.col("node").alias(c), F.col("pivots").alias(f"{c}_pivots"))
+    apart = (
+        rare.join(pivots_of("a"), "a", "left")
+        .join(pivots_of("b"), "b", "left")
+        .where(~F.coalesce(F.arrays_overlap("a_pivots", "b_pivots"), F.lit(False)))
+    )
+    each = F.explode(F.array("a", "b")).alias("node")
+    return (
+        links_around_pivots(star, of_node)
+        .unionByName(apart.select(each, F.lit(1).cast("long").alias("links")))
+        .groupBy(F.col("node").alias("digest"))
+        .agg(F.sum("links").alias("links"))
+    )
+
+
 # --- the operator -------------------------------------------------------------------------------
 
 
 def similar(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ids_held: int = IDS_HELD
-) -> DataFrame:
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ids_held: int = IDS_HELD,
+    count_links: bool = True,
+) -> DataFrame:
     """``id, n, component, links, node, key`` for every row of ``df``.
 
     ``n`` is the size of the row's set of 5-word shingles (A-Z in lower case; words between ASCII
     white space; a text of fewer words is one shingle). ``component`` is the smallest id that
     links of similarity 0.8 or more reach, the row's own included; ``links`` counts the other sets
-    that its set links with directly and that were compared. A null or empty text, or one of white
+    that its set links with directly (null without ``count_links``). A null or empty text, or one of white
     space only, has no shingles and is alone even beside equal ones. Equal sets are in one
     component, so repeated rows are. A null id counts only where a component has no other id.
     Other columns are not read; an empty table gives an empty result.
@@ -588,27 +718,24 @@ def similar(
     wanted = classes.join(nodes, "digest", "left_semi").select("id").distinct()
     sets = durable(sets_of(texts, wanted, ids_held), "sets")
     star = durable(stars(around, sets), "stars")
-    links = durable(
-        compared(pairs, sets).unionByName(star.where("linked").select("a", "b")), "links"
-    )
+    rare = durable(compared(pairs, sets), "rare-links")
+    links = rare.unionByName(star.where("linked").select("a", "b"))
     first = durable(components(links), "first-components")
     beside = durable(compared(beside_pivots(star, first), sets), "links-beside-pivots")
     labels = _joined(first, beside)
-    links = links.unionByName(beside)
     members = classes.join(labels.withColumnRenamed("node", "digest"), "digest")
     least = members.groupBy("component").agg(F.min("id").alias("least"))
     linked = members.join(least, "component").select("digest", "component", "least")
-    ends = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest")))
-    degree = ends.groupBy("digest").agg(F.count("*").alias("links"))
-    of_set = (
-        classes.join(linked, "digest", "left")
-        .join(degree, "digest", "left")
-        .select(
-            "digest",
-            F.coalesce("component", "digest").alias("node"),
-            F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"),
-            F.coalesce("links", F.lit(0)).alias("links"),
-        )
+    of_set = classes.join(linked, "digest", "left")
+    if count_links:
+        of_set = of_set.join(links_of_sets(rare, star), "digest", "left").fillna(0, ["links"])
+    else:
+        of_set = of_set.withColumn("links", F.lit(None).cast("long"))
+    of_set = of_set.select(
+        "digest",
+        F.coalesce("component", "digest").alias("node"),
+        F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"),
+        "links",
     )
     own = F.col("n") > 0
     return (
@@ -618,7 +745,7 @@ def similar(
             "id",
             "n",
             F.when(own, F.col("least")).otherwise(F.col("id")).alias("component"),
-            F.coalesce("links", F.lit(0)).alias("links"),
+            (F.when(own, F.col("links")).otherwise(0) if count_links else F.col("links")).alias("links"),
             "node",
             "key",
         )
@@ -655,7 +782,7 @@ def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Rows without shingles all stay. Of rows with the same id and text one stays.
     """
     row, key, gone = fresh(df, "row"), fresh(df, "key"), fresh(df, "gone")
-    found = durable(similar(df, id_column, text_column).select("id", "key", "node"), "similar")
+    found = durable(similar(df, id_column, text_column, count_links=False).select("id", "key", "node"), "similar")
     first = (
         found.where("node IS NOT NULL")
         .groupBy("node")

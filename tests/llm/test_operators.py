@@ -274,6 +274,23 @@ def test_tail_cut_copies_in_hot_groups(spark, kind, monkeypatch):
     assert Counter((r.id, r.n, r.component) for r in found) == brute_components(rows)
 
 
+def brute_links(rows):
+    """How many other sets each row's set links with."""
+    sets = {shingles(t) for _, t in rows} - {frozenset()}
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets}
+    return Counter((d, links.get(shingles(t), 0)) for d, t in rows)
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_links_are_counted(spark, rows, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = prose(150, 11)
+    texts = [*rows, *((2000 + i, edited(base, i % 17, i)) for i in range(100))]
+    texts += [(10_000 + i, t) for i, t in cut_copies()[:78]]
+    found = ngram_join.similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((r.id, r.links) for r in found) == brute_links(texts)
+
+
 def test_pivots_take_smaller_sets_of_a_pair(spark):
     entry = spark.createDataFrame(
         [(2 * d, d, n, capacity, 1, times) for d, n, capacity, times in [(1, 80, 30, 30), (2, 64, 30, 14)]],
