@@ -73,15 +73,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_sharding")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select(
-        "doc_id",
-        sharding.size_of(F.col("text")).alias("bytes"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(
+        sharding.placed(table(spark, folder, "documents"), shards=16, seed=20, stable=True), path
     )
-    return sharding.placed(rows, shards=16, seed=20, size=F.col("bytes")).select(
+    # everything that is told comes from the written files
+    return sharding.stored(spark, path, "doc_id long, text string, slot long").select(
         "doc_id",
-        "size",
-        "text_crc32",
+        sharding.size_of(F.col("text")).alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
         "slot",

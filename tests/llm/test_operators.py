@@ -592,6 +592,17 @@ def test_written_shards(spark, docs, tmp_path):
         assert slots == list(range(len(slots)))
 
 
+def test_shards_are_written_in_the_order_of_buckets(spark, docs, rows, tmp_path):
+    placed = sharding.placed(docs, shards=4, seed=1, bucket_bytes=1 << 16, bucket_rows=20)
+    sharding.write_shards(placed, str(tmp_path / "shards"))
+    back = sharding.stored(spark, str(tmp_path / "shards"), "doc_id long, text string, slot long")
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+    for shard in range(4):
+        files = sorted((tmp_path / "shards" / f"shard={shard}").glob("part-*"))
+        slots = [x for f in files for x in pd.read_parquet(f)["slot"]]
+        assert len(files) > 1 and slots == list(range(len(slots)))
+
+
 def test_fewer_rows_than_shards(spark):
     few = spark.createDataFrame([(i, "t") for i in range(3)], "doc_id long, text string")
     found = sharding.placed(few, shards=16).collect()

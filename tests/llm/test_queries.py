@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline
 from conftest import DATA
+from pyspark.sql import functions as F
 from tablume.llm import queries
 from tablume.llm.common import table
 from test_operators import brute_components, brute_copies, brute_hits, normal
@@ -58,6 +61,22 @@ def test_ngram_query_is_exact(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == set(wanted)
 
 
+def test_sharding_query_tells_what_the_files_hold(spark, monkeypatch):
+    def lossy(placed, path, real=queries.sharding.write_shards):
+        real(placed.withColumn("text", F.expr("substr(text, 2)")).where("slot > 0"), path)
+
+    documents = table(spark, DATA, "documents")
+    known = {r.doc_id: r.text or "" for r in documents.collect()}
+    found = queries.QUERIES["op8_sharding"](spark, DATA).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in found} == {
+        (d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in known.items()
+    }
+    monkeypatch.setattr(queries.sharding, "write_shards", lossy)
+    lost = queries.QUERIES["op8_sharding"](spark, DATA).collect()
+    assert len(lost) == len(found) - 16
+    assert all(r.text_crc32 == zlib.crc32(known[r.doc_id][1:].encode()) for r in lost)
+
+
 def test_added_conversation(spark):
     found = {r.conv_id: r for r in queries.QUERIES["op10_chat"](spark, DATA).collect()}
     assert found[-7].n_turns == 2 and found[-7].loss_chars == len("</s>[INST] ok [/INST]")
