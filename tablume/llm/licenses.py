@@ -3,7 +3,7 @@
 Of each licence text the words that are rarest in the corpus are indexed with their places. A
 file's occurrences of such words propose alignments (licence, place in the file); alignments that
 two different rare words agree on are compared word by word, and stand if the licence's mandatory
-phrases are there too.
+phrases are there too. So many words are indexed that no alignment with LEAST_MATCH is missed.
 """
 
 from __future__ import annotations
@@ -77,10 +77,26 @@ TEMPLATES = [
     ),
 ]
 
+#: Words of each licence text that are indexed at least.
 RARE_WORDS = 4
 LEAST_MATCH = 0.8
 
 
+def words_to_index(size: int) -> int:
+    """How many different words of a licence text of ``size`` words are indexed.
+
+    A match may lack so many words that LEAST_MATCH still holds; each can take one indexed word
+    away, and two must be left.
+    """
+    lacking = max(m for m in range(size + 1) if (size - m) / size >= LEAST_MATCH)
+    return max(RARE_WORDS, lacking + 2)
+
+
+def words_to_agree(words: list[str]) -> int:
+    """How many different indexed words agree in every match: two, or one in a text of few words."""
+    return 2 if len(set(words)) >= words_to_index(len(words)) else 1
+
+
 def words_of(text: Column) -> Column:
     """The words of a text (null: empty), A-Z in lower case."""
     parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS)
@@ -89,9 +105,14 @@ def words_of(text: Column) -> Column:
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """One row for each licence text; their number does not depend on the data."""
-    rows = [(i, label, text.split(" "), keys) for i, (label, text, keys) in enumerate(templates)]
+    rows = [
+        (i, label, text.split(" "), keys, words_to_agree(text.split(" ")))
+        for i, (label, text, keys) in enumerate(templates)
+    ]
     return spark.createDataFrame(
-        rows, "template int, template_label string, template_words array<string>, keys array<string>"
+        rows,
+        "template int, template_label string, template_words array<string>, keys array<string>, "
+        "to_agree int",
     )
 
 
@@ -119,7 +140,8 @@ def rare_word_index(words: DataFrame, templates=TEMPLATES) -> dict[str, list[tup
     documents = {r["word"]: r["count"] for r in counted}
     index: dict[str, list[tuple[int, int, int]]] = {}
     for i, text in enumerate(texts):
-        rarest = sorted(set(text), key=lambda w: (documents.get(w, 0), w))[:RARE_WORDS]
+        rarest = sorted(set(text), key=lambda w: (documents.get(w, 0), w))
+        rarest = rarest[: words_to_index(len(text))]
         for place, word in enumerate(text):
             if word in rarest:
                 index.setdefault(word, []).append((i, place, len(text)))
@@ -230,8 +252,8 @@ def scan_licenses(
         .select(row, "a.*")
         .groupBy(row, "template", "offset")
         .agg(F.count_distinct("word").alias("rare"), F.first("covered").alias("covered"))
-        .where("rare >= 2")
         .join(F.broadcast(kinds), "template")
+        .where("rare >= to_agree")
     )
     # a match at the very start of a file may lack the licence text's first words
     lead = F.greatest(-F.col("offset"), F.lit(0))

@@ -401,6 +401,42 @@ def test_license_scan(docs, no_docs, rows):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def brute_licenses(text):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(LOWER))
+    labels, best = set(), 0.0
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split(" ")
+        for offset in range(-len(t) + 1, len(words)):
+            covered = words[max(0, offset) : max(0, offset + len(t))]
+            share = sum(a == b for a, b in zip(covered, t[max(0, -offset) :])) / len(t)
+            best = max(best, share)
+            if share >= licenses.LEAST_MATCH and all(f" {k} " in f" {' '.join(covered)} " for k in keys):
+                labels.add(label)
+    return labels, best
+
+
+def test_every_alignment_that_matches_is_proposed(spark):
+    draw, texts = random.Random(8), []
+    mit = licenses.TEMPLATES[1][1]
+    for word in ("obtaining", "associated", "documentation"):
+        mit = mit.replace(word, f"x{word}")
+    texts.append(mit)
+    for _, template, _ in licenses.TEMPLATES:
+        for _ in range(12):
+            words = template.split(" ")
+            for i in draw.sample(range(len(words)), min(len(words), draw.randint(0, len(words) // 5 + 1))):
+                words[i] = f"other{i}"
+            cut = draw.choice([0, 0, 1])
+            texts.append(" ".join([*(prose(3, len(texts)).split(" ") if not cut else []), *words[cut:]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df).collect():
+        labels, best = brute_licenses(texts[r.id])
+        assert set(filter(None, r.labels.split(","))) == labels | set(filter(None, r.base_labels.split(",")))
+        if best >= licenses.LEAST_MATCH and not r.n_base:
+            assert r.score == best
+    assert brute_licenses(mit) == ({"mit"}, 26 / 29)
+
+
 def test_key_phrase_is_mandatory(spark):
     texts = [
         (1, "this source code form is subject to the terms of the mozilla public license v 2 0"),
