@@ -18,6 +18,7 @@ from tablume.llm import (
     ngram_join,
     packing,
     quality,
+    repeats,
     sharding,
     training_order,
 )
@@ -229,3 +230,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages")).withColumn(
         "n_chars", F.length("text").cast("bigint")
     )
+
+
+@query(
+    "op11_repeats",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    t AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
+          FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+    again AS (SELECT s FROM t GROUP BY s HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, p FROM t JOIN again USING (s), unnest(range(i, i + 35)) AS v(p)),
+    words AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+    kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+             FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+           sha256(coalesce(text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.substring_dedup(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_removed",
+        F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"),
+    )
