@@ -20,6 +20,7 @@ from tablume.llm import (
     quality,
     repeats,
     sharding,
+    spelling,
     training_order,
 )
 from tablume.llm.common import durable, table
@@ -257,3 +258,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         "n_removed",
         F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"),
     )
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    words = durable(spelling.vocabulary(table(spark, folder, "documents")), "vocabulary")
+    return spelling.spelling_variants(words)
