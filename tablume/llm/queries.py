@@ -11,6 +11,7 @@ import public_tokenizers
 
 from tablume.llm import (
     chat,
+    collocations,
     decontamination,
     exact_dedup,
     html_text,
@@ -264,3 +265,40 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     words = durable(spelling.vocabulary(table(spark, folder, "documents")), "vocabulary")
     return spelling.spelling_variants(words)
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+             string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                          'abcdefghijklmnopqrstuvwxyz'),
+                                '[.,;:!?\x0A-\x0D]') AS pieces
+      FROM documents),
+    p AS (SELECT r, lang, regexp_extract_all(pieces[j], '[^\x20\x09]+') AS w
+          FROM d, unnest(range(1, len(pieces) + 1)) AS u(j)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+    grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+              FROM p, unnest(range(1, 6)) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i)),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    parts AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+              FROM c, unnest(range(2, k)) AS u(m), unnest(range(1, k - m + 2)) AS v(i)),
+    longer AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL),
+    cuts AS (
+      SELECT c.lang, c.phrase, c.a, x, l.a AS l, r.a AS r, n,
+             (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+      FROM c LEFT JOIN longer USING (lang, phrase), unnest(range(1, k)) AS u(x), f AS l, f AS r, totals
+      WHERE l.lang = c.lang AND l.phrase = array_to_string(w[1:x], ' ')
+        AND r.lang = c.lang AND r.phrase = array_to_string(w[x + 1:], ' ')
+        AND totals.lang = c.lang AND (most IS NULL OR 100 * most < 100 * c.a)),
+    lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) AS o FROM cuts),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang
+                                            ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+               FROM lowest WHERE o = 1)
+    SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM ranked WHERE rank <= 2000""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
