@@ -110,4 +110,4 @@ def test_trie_finds_its_phrases_and_no_others():
         phrase = tuple(text[i : i + 3].tolist()) if follows[i : i + 2].all() else ()
         assert (known.get(phrase, -1)) == (trie.id[state[i]] if trie.accepts[state[i]] else -1)
         hits += phrase in known
-    assert hits > 100 and (trie.check >= 0).mean() > 0.2
+    assert hits > 30 and (trie.check >= 0).mean() > 0.2
