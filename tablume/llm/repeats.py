@@ -42,7 +42,7 @@ WINDOW = 35
 ROUNDS = 7
 #: Bits of the two maps by which tasks leave anchors out early. Their size is fixed: beyond many
 #: times as many shared anchors they only stop helping.
-MAP_BITS = 27
+MAP_BITS = 25
 
 SEEN = "symbol long, context long"
 PLACES = "id long, mark long, symbol long, first long, number long, windows array<long>"
@@ -217,10 +217,10 @@ def _map(symbols: DataFrame, bits: int) -> np.ndarray:
         )
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << max(bits - 6, 0), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
