@@ -25,8 +25,11 @@ LEAST_COUNT = 100
 TOP = 2000
 #: Phrases in one trie (about 100 bytes each, with the words that they use).
 TRIE_PHRASES = 1_000_000
-#: Edges that a task gathers before it sums them.
-_GATHERED = 1 << 21
+#: Edges that a task gathers before it sums them, and rows that it hands over at once.
+_GATHERED = 1 << 20
+_HANDED = 1 << 16
+#: Places looked at when children of one state are placed, each child counted.
+_TRIED = 1 << 18
 
 _BREAKS = bytes([*b".,;:!?", *range(0x0A, 0x0E)])
 _SEPARATORS = b" \t" + _BREAKS
@@ -115,8 +118,9 @@ class Trie:
                 break
             self._grow(end + span)
             free = np.flatnonzero(self.check[at:end] == -1) + at
+            free = free[: max(1, _TRIED // len(codes))]
             fits = (self.check[(free - first)[:, None] + codes] == -1).all(axis=1)
-            if fits.any():
+            if len(free) and fits.any():
                 return int(free[np.argmax(fits)]) - first
             at = end
         return max(self._top, first + 1) - first  # behind everything
@@ -208,27 +212,33 @@ def _edges(texts: DataFrame, held: Broadcast, whole: bool) -> DataFrame:
             gathered.append((state[start], pieces.key[last[start]]))
             size += len(start)
             if size > _GATHERED:
-                yield _summed(trie, gathered)
+                yield from _summed(trie, gathered)
                 gathered, size = [], 0
         if size:
-            yield _summed(trie, gathered)
+            yield from _summed(trie, gathered)
 
     return texts.mapInArrow(walk, "id long, key long, n long").groupBy("id", "key").agg(
         F.sum("n").alias("n")
     )
 
 
-def _summed(trie: Trie, gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _summed(trie: Trie, gathered: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     state = np.concatenate([s for s, _ in gathered])
     key = np.concatenate([k for _, k in gathered])
     _, example, which = np.unique(
         mixed(key + state.astype(np.uint64) * _PRIME), return_index=True, return_inverse=True
     )
     n = np.bincount(which)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(trie.id[state[example]]), pa.array(key[example].view(np.int64)), pa.array(n)],
-        names=["id", "key", "n"],
-    )
+    for at in range(0, len(example), _HANDED):
+        some = example[at : at + _HANDED]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(trie.id[state[some]]),
+                pa.array(key[some].view(np.int64)),
+                pa.array(n[at : at + _HANDED]),
+            ],
+            names=["id", "key", "n"],
+        )
 
 
 def _named(df: DataFrame) -> DataFrame:
