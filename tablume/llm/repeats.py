@@ -291,8 +291,10 @@ def repeated_windows(
     each = places.where("mixed").select(
         "id", "mark", "symbol", "first", F.posexplode("windows").alias("k", "window")
     )
-    again = (
-        each.groupBy("symbol", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that the join deals rows out itself and can split a hot window
+    again = durable(
+        each.groupBy("symbol", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        "repeated-windows",
     )
     single = each.join(again, ["symbol", "window"]).select(
         "id", "mark", (F.col("first") + F.col("k")).alias("first"), F.lit(1).cast("long").alias("number")
