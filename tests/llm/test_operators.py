@@ -657,6 +657,16 @@ PAGES = [
     ('<article><div class="ad">buy</div><p>x</p><div id="sidebar">s</div><header>h</header></article>', "x"),
     ("", ""), (None, ""), ("no markup & nothing", "no markup & nothing"), ("<p>a < b</p>", "a < b"),
     ("<article></article>", ""), ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+    ('<body class="has-sidebar"><article><p>a</p></article>', "a"),
+    ('<body class="search-open"><article><p>b</p></article>', "b"),
+    ('<div class="content-sidebar-wrap"><article><p>c</p></article></div>', "c"),
+    ('<main class="site-main has-sidebar"><p>d</p></main>', "d"),
+    ('<article class="post share-enabled"><p>e</p></article>', "e"),
+    ('<article><div class="social-history"><p>f</p></div><p class="notice-of-meeting">g</p></article>', "f g"),
+    ("<article><p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is</p></article>", "as x=1 is"),
+    ('<article><p>own</p></article><article class="teaser"><p>other</p></article>', "own"),
+    ('<form id="aspnet"><div class="site-footer">f</div><article><p>in a form</p></article></form>', "in a form"),
+    ('<article><p>x</p><div class="share-buttons">s</div><ul class="related-posts"><li>r</ul></article>', "x"),
     ("<article><p hidden>h</p><p role='note'>n</p><textarea>t</textarea></article>", "n"),
 ]
 
@@ -687,6 +697,23 @@ def test_boilerplate_of_a_host(spark, per_array):
     assert got[50] == common and got[51] == common
 
 
+def test_copied_texts_stay(spark):
+    body, other = prose(40, 1), prose(40, 2)
+    common = "subscribe to our daily letter for more stories like this one today"
+    rows = [(i, "http://two.example/", f"<body><p>{body}</p><div>menu of page {i}</div>") for i in range(2)]
+    # one text on every third page of a host, whose pages share a line
+    rows += [(10 + i, "http://ten.example/", f"<body><p>{common}</p><p>{other}</p>") for i in range(3)]
+    rows += [(20 + i, "http://ten.example/", f"<body><p>{common}</p><p>{prose(40, 30 + i)}</p>") for i in range(7)]
+    # a passage inside a longer block is no boilerplate
+    rows += [(30 + i, "http://part.example/", f"<body><p>{prose(9, i)} {common} {prose(9, 50 + i)}</p>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[i] == f"{body} menu of page {i}" for i in range(2))
+    assert all(got[10 + i] == other for i in range(3))
+    assert all(got[20 + i] == prose(40, 30 + i) for i in range(7))
+    assert all(got[30 + i] == f"{prose(9, i)} {common} {prose(9, 50 + i)}" for i in range(5))
+
+
 def test_repeated_runs_against_brute_force():
     draw = random.Random(4)
     streams = [[draw.choice("abc") for _ in range(draw.randint(0, 60))] for _ in range(30)]
@@ -768,3 +795,33 @@ def test_chat_round_trip(spark):
             under = text[turn.mask_start : turn.mask_start + turn.mask_length]
             assert bool(turn.mask_length == 0) or role == "assistant" and "<|" not in under
     assert chat.digests(chat.read_back(chat.render(chat.fold_events(events.where("false"))))).count() == 0
+
+
+# --- licences in very long texts ----------------------------------------------------------------
+
+
+def test_licences_in_very_long_texts(spark):
+    mit = licenses.TEMPLATES[1][1]
+    texts = {
+        1: "gnu " * 300_000, 2: "license " * 500_000, 3: "zzz " * 300_000, 4: "licensed under the " * 50_000,
+        5: f"{'gnu ' * 100_000}{mit} {'software ' * 100_000}",
+        6: f"{prose(5000, 1)} {licenses._MIT} {prose(5000, 2)} {licenses._BSD_START} {licenses._BSD_THIRD} {licenses._BSD_END}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r.id: r for r in licenses.scan_licenses(df).collect()}
+    assert {i: r.labels for i, r in found.items()} == {1: "", 2: "", 3: "", 4: "", 5: "mit", 6: "bsd,bsd-3,mit"}
+    assert found[5].score == found[6].score == 1.0 and found[2].n_words == 500_000
+
+
+def test_whole_notices(spark):
+    wanted = {
+        "MIT": "mit", "ISC": "isc", "BSD_END": "", "APACHE": "apache-2", "MPL": "mpl-2", "BSD_START": "bsd",
+    }
+    texts = [(name, getattr(licenses, f"_{name}").upper()) for name in wanted]
+    texts += [("bsd-2", f"{licenses._BSD_START}; {licenses._BSD_END}"), ("agpl-3", f"x {licenses.TEMPLATES[-2][1]}")]
+    texts += [("gpl-3", f"This program {licenses.TEMPLATES[-5][1]}"), ("gpl-2", licenses.TEMPLATES[-6][1])]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    found = {r.id: set(r.labels.split(",")) for r in licenses.scan_licenses(df).collect()}
+    for name, labels in found.items():
+        assert wanted.get(name, name) in labels or not wanted.get(name, name), (name, labels)
+    assert found["gpl-3"] == {"gpl-3"} and found["agpl-3"] == {"agpl-3"} and "bsd-3" not in found["bsd-2"]
