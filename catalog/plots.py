@@ -138,3 +138,15 @@ def cluster_point_totals(spark, folder):
         F.round(F.sum(F.when(points, F.col("x"))), 2).alias("x"),
         F.round(F.sum(F.when(points, F.col("y"))), 2).alias("y"),
     )
+
+
+@query(
+    "hash_sample",
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem "
+    "ORDER BY md5('7' || chr(31) || l_orderkey || chr(31) || l_linenumber), l_orderkey, l_linenumber, "
+    "l_quantity, l_extendedprice LIMIT 1000",
+)
+def hash_sample(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return plotdata.hash_sample(lines, ["l_orderkey", "l_linenumber"], seed=7)

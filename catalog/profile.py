@@ -285,3 +285,65 @@ def _profile_sql(position: int, column: str) -> str:
 @query("profile", union_sql([_profile_sql(i, c) for i, c in enumerate(_PROFILE_TYPES)]))
 def profile_table(spark, folder):
     return rounded(profile.profile(table(spark, folder, "lineitem")), 4, "mean", "std")
+
+
+_SUMMARY_TYPES = {
+    "o_orderkey": ("bigint", "numeric"),
+    "o_custkey": ("bigint", "numeric"),
+    "o_orderpriority": ("string", "categorical"),
+    "o_orderstatus": ("string", "categorical"),
+    "o_orderdate": ("date", "temporal"),
+}
+
+
+def _data_summary_sql(position: int, column: str) -> str:
+    dtype, kind = _SUMMARY_TYPES[column]
+    absent = f"{column} IS NULL" + (f" OR {column} = ''" if kind == "categorical" else "")
+    numbers = {n: "CAST(NULL AS DOUBLE)" for n in ("min", "max", "mean", "std")}
+    if kind == "numeric":
+        numbers = {
+            "min": f"CAST(min({column}) AS DOUBLE)", "max": f"CAST(max({column}) AS DOUBLE)",
+            "mean": f"round(avg({column}), 4)", "std": f"round(stddev_samp({column}), 4)",
+        }
+    ends = [f"CAST({f}({column}) AS VARCHAR)" if kind == "temporal" else "CAST(NULL AS VARCHAR)" for f in ("min", "max")]
+    values = f"SELECT CAST({column} AS VARCHAR) AS v, o_orderkey AS k FROM t WHERE {column} IS NOT NULL"
+    samples = f"(SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT * FROM ({values}) ORDER BY k LIMIT 5))"
+    top = (
+        f"(SELECT string_agg(v || ':' || n, '|' ORDER BY n DESC, v) FROM (SELECT v, count(*) AS n "
+        f"FROM ({values}) GROUP BY v ORDER BY n DESC, v LIMIT 10))"
+    )
+    return (
+        f" SELECT CAST({position} AS INTEGER) AS position, '{column}' AS \"column\", '{dtype}' AS type, "
+        f"'{kind}' AS kind, count(*) AS row_count, count(*) - count({column}) AS null_count, "
+        f"count(*) FILTER (WHERE {absent}) AS missing_count, "
+        f"round(count(*) FILTER (WHERE {absent}) * 100.0 / count(*), 6) AS missing_pct, "
+        f"count(DISTINCT {column}) AS distinct_count, "
+        + ", ".join(f'{sql} AS "{n}"' for n, sql in numbers.items())
+        + f", {ends[0]} AS first, {ends[1]} AS last, coalesce({samples}, '') AS samples, "
+        f"coalesce({top}, '') AS top_values FROM t"
+    )
+
+
+_SUMMARY_ROWS = (
+    "o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_custkey END AS o_custkey, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END "
+    "AS o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate"
+)
+
+
+@query(
+    "data_summary",
+    f"WITH t AS (SELECT {_SUMMARY_ROWS} FROM orders)"
+    + union_sql([_data_summary_sql(i, c) for i, c in enumerate(_SUMMARY_TYPES)]),
+)
+def data_summary(spark, folder):
+    orders = spark.sql(f"SELECT {_SUMMARY_ROWS} FROM {{orders}}", orders=table(spark, folder, "orders"))
+    found = profile.data_summary(orders, order_by=["o_orderkey"])
+    tops = F.transform("top_values", lambda v: F.concat(v["value"], F.lit(":"), v["count"].cast("string")))
+    return rounded(found, 4, "mean", "std").withColumns(
+        {
+            "missing_pct": F.round("missing_pct", 6),
+            "samples": F.array_join("samples", "|"),
+            "top_values": F.array_join(tops, "|"),
+        }
+    )

@@ -32,6 +32,7 @@ from tablume.operators.models import (
     train_regressor,
 )
 from tablume.operators.plotdata import (
+    hash_sample,
     actual_vs_predicted,
     boxplot_stats,
     cluster_points,
@@ -47,6 +48,7 @@ from tablume.operators.profile import (
     column_types,
     correlation_matrix,
     distinct_counts,
+    data_summary,
     few_distinct,
     missing_counts,
     null_counts,

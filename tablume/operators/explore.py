@@ -33,13 +33,22 @@ def project(df: DataFrame, columns: Names = None, exclude: Sequence[str] = ()) -
     return df.select(*[col(f.name) for f in fields])
 
 
+_QUARTILES = [0.25, 0.5, 0.75]
+
+
 def describe_numeric(df: DataFrame, columns: Names = None) -> DataFrame:
-    """``(column, min, p25, p50, p75, max, mean, std)`` with exact interpolated quartiles."""
+    """``(column, min, p25, p50, p75, max, mean, std)`` with exact interpolated quartiles.
+
+    Decimals are searched as doubles, so those beyond 2^53 are as exact as a double is.
+    """
     names = numeric_columns(df) if columns is None else list(columns)
-    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
+    return _described(df, names, exact_quantiles(df, names, _QUARTILES))
+
+
+def _described(df: DataFrame, names: Sequence[str], quartiles: dict[str, list[float | None]]) -> DataFrame:
     table = small_table(
         df.sparkSession,
-        [(name, *values) for name, values in quartiles.items()],
+        [(name, *quartiles[name]) for name in names],
         "column string, p25 double, p50 double, p75 double",
     )
     return numeric_profile(df, names).join(table, "column").select(
@@ -84,11 +93,23 @@ def histogram(
     fields = require_numeric(df, numeric_columns(df) if columns is None else columns)
     if not fields:
         raise ValueError("no numeric columns for a histogram")
-    names = [f.name for f in fields]
-    marks, sizes = sized_quantiles(df, names, [0.0, 0.25, 0.75, 1.0])
+    return _histogram(df, fields, bins, *sized_quantiles(df, [f.name for f in fields], _MARKS))
+
+
+#: The range and the quartiles.
+_MARKS = [0.0, *_QUARTILES, 1.0]
+
+
+def _histogram(
+    df: DataFrame,
+    fields: Sequence[T.StructField],
+    bins: int | None,
+    marks: dict[str, list[float | None]],
+    sizes: dict[str, int],
+) -> DataFrame:
     buckets, frames = {}, []
     for f in fields:
-        low, q1, q3, high = marks[f.name]
+        low, q1, _, q3, high = marks[f.name]
         n = sizes[f.name]
         if n and not (math.isfinite(low) and math.isfinite(high)):
             raise ValueError(f"the range of {f.name!r} is not finite: [{low}, {high}]")
@@ -146,9 +167,11 @@ def explore(df: DataFrame, columns: Names = None) -> dict[str, DataFrame]:
     """All exploration tables for the chosen columns that apply to them."""
     chosen = project(df, columns)
     tables = {}
-    if numeric_columns(chosen):
-        tables["numeric"] = describe_numeric(chosen)
-        tables["histogram"] = histogram(chosen)
+    if names := numeric_columns(chosen):
+        # one search serves both
+        marks, sizes = sized_quantiles(chosen, names, _MARKS)
+        tables["numeric"] = _described(chosen, names, {n: m[1:4] for n, m in marks.items()})
+        tables["histogram"] = _histogram(chosen, require_numeric(chosen, names), None, marks, sizes)
     if len(numeric_columns(chosen)) < len(chosen.columns):
         tables["categorical"] = top_categories(chosen)
     return tables

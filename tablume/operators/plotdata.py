@@ -15,6 +15,7 @@ from tablume.functions.columns import (
     col,
     fields_of,
     is_numeric,
+    kind_of,
     numeric_columns,
     require_columns,
     require_numeric,
@@ -34,6 +35,36 @@ def limit_sample(df: DataFrame, order_by: Sequence[str], n: int = PLOT_POINTS) -
     return df.orderBy(*[col(o) for o in order_by]).limit(n)
 
 
+def hash_sample(
+    df: DataFrame, key: Sequence[str], n: int = PLOT_POINTS, seed: int = 42
+) -> DataFrame:
+    """``n`` rows of the whole table, the same ones however it is stored or split.
+
+    Rows are ranked by a hash of the columns ``key`` and the seed, and the ``n`` smallest are kept:
+    every set of ``n`` different keys is as likely as any other, and only ``n`` rows a task are
+    held. Rows of equal keys follow each other by the other columns; nulls hash like any value.
+    """
+    require_columns(df, key)
+    if not key:
+        raise ValueError("a sample needs columns that tell rows apart")
+    name = "_rank"
+    while name in df.columns:
+        name = f"_{name}"
+    text = F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("\x00")) for k in key])
+    others = [
+        col(f.name) for f in df.schema.fields
+        if f.name not in key and kind_of(f.dataType) not in ("nested", "other")
+    ]
+    ranked = df.withColumn(name, F.md5(F.encode(text, "UTF-8")))
+    return ranked.orderBy(name, *[col(k) for k in key], *others).limit(n).drop(name)
+
+
+def _sample(
+    df: DataFrame, order_by: Sequence[str], n: int, seed: int | None
+) -> DataFrame:
+    return limit_sample(df, order_by, n) if seed is None else hash_sample(df, order_by, n, seed)
+
+
 def unpivot_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(feature, value)``: the numeric ones of the chosen columns on top of each other."""
     names = numeric_columns(df, columns)
@@ -82,11 +113,13 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, order_by: Sequence[str], n: int = PLOT_POINTS
-) -> DataFrame:
-    """``(x, y)`` of the first ``n`` rows in the given order."""
+    df: DataFrame, x: str, y: str, order_by: Sequence[str], n: int = PLOT_POINTS,
+    seed: int | None = None,
+) -> DataFrame:
+    """``(x, y)`` of the first ``n`` rows in the given order, or with a ``seed`` of a uniform sample
+    of the table by these columns."""
     require_numeric(df, [x, y])
-    return limit_sample(df, order_by, n).select(col(x).alias("x"), col(y).alias("y"))
+    return _sample(df, order_by, n, seed).select(col(x).alias("x"), col(y).alias("y"))
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
@@ -122,15 +155,16 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
 
 def pairplot_points(
     df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
-    n: int = PLOT_POINTS,
+    n: int = PLOT_POINTS, seed: int | None = None,
 ) -> DataFrame:
-    """The named numeric columns (default: the first five) of the first ``n`` rows in the order."""
+    """The named numeric columns (default: the first five) of the first ``n`` rows in the order, or
+    with a ``seed`` of a uniform sample of the table by these columns."""
     names = numeric_columns(df, columns)
     if columns is None:
         names = names[:PAIRPLOT_COLUMNS]
     if not names:
         raise ValueError("no numeric columns for a pair plot")
-    return limit_sample(df, order_by, n).select(*[col(c) for c in names])
+    return _sample(df, order_by, n, seed).select(*[col(c) for c in names])
 
 
 def _rows_to_plot(trained: Trained, order_by: Sequence[str] | None, n: int | None) -> DataFrame:

@@ -8,13 +8,14 @@ more than a rare one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ from tablume.functions.columns import (
     is_numeric,
     kind_of,
     numeric_columns,
+    quoted,
     require_columns,
     require_numeric,
 )
@@ -130,27 +132,37 @@ def numeric_summary(
     )
 
 
+_KEY_FORMS = ("bigint", "double", "string")
+
+
 def _distinct_keys(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """``(column, distinct_count, distinct_with_null)`` for columns that occur.
 
-    Columns are grouped by the form of their key, so each exchange carries one narrow typed
-    value per distinct value, and each branch reads only its own columns.
+    One scan: every value becomes a narrow typed key beside its column's number, and tasks pass on
+    one row for each distinct key.
     """
-    forms: dict[str, dict[str, Column]] = {}
-    for f in fields:
+    parts, used = [], set()
+    for i, f in enumerate(fields):
         form, key = as_key(f)
-        forms.setdefault(form, {})[f.name] = key
-    return union_all(
-        [
-            long_values(df, keys)
-            .distinct()
-            .groupBy("column")
-            .agg(
-                F.count("value").alias("distinct_count"),
-                F.count(F.lit(1)).alias("distinct_with_null"),
-            )
-            for keys in forms.values()
-        ]
+        used.add(form)
+        parts.append((i, form, key))
+    forms = [form for form in _KEY_FORMS if form in used]
+    structs = [
+        F.struct(
+            F.lit(i).alias("i"),
+            *[(key if form == own else F.lit(None)).cast(form).alias(form) for form in forms],
+        )
+        for i, own, key in parts
+    ]
+    names = F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("i") + 1)
+    present = reduce(lambda a, b: a | b, [F.col(form).isNotNull() for form in forms])
+    return (
+        df.select(F.explode(F.array(*structs)).alias("k"))
+        .select("k.*")
+        .distinct()
+        .groupBy("i")
+        .agg(F.count_if(present).alias("distinct_count"), F.count(F.lit(1)).alias("distinct_with_null"))
+        .select(names.alias("column"), "distinct_count", "distinct_with_null")
     )
 
 
@@ -320,49 +332,35 @@ def sample_values(
 
 #: Share of a column's squares below which its spread is rounding noise.
 _NOISE = 1e-13
+#: Squares about the trial centres may be so many times those about the means; else one more scan.
+_FAR = 1e4
+_FIRST_ROWS = 1000
 
 
 def correlation_matrix(df: DataFrame, columns: Names = None) -> DataFrame:
     """``(x, y, r)`` for every ordered pair of numeric columns, over rows where both are present.
 
-    Two scans whatever the number of columns: one finds each column's mean and range, the other
-    sums all products of the columns' deviations, their squares and their presence, one matrix of
-    fixed size per task. Counts, sums, squares and products over the rows that two columns share
-    are entries of that matrix. A column that does not vary, or holds an infinity, has NULL
-    correlations. Fewer than two numeric columns is an error.
+    One scan whatever the number of columns: tasks multiply batches of rows, taken about centres
+    found in the first rows, and sum the products in one matrix each. Where a column turns out to
+    lie far from its centre, a second scan uses the means. Columns have slots for presence and
+    squares only in batches in which they have gaps. A column that does not vary, or holds an
+    infinity, has NULL correlations. Fewer than two numeric columns is an error.
     """
     fields = require_numeric(df, numeric_columns(df) if columns is None else columns)
     if len(fields) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
     p = len(fields)
-    values = [as_double(f) for f in fields]
-    seen = [x.isNotNull() & (F.abs(x) < float("inf")) for x in values]
-    lowest, highest = float("-inf"), float("inf")
-
-    def vector(parts):
-        return array_to_vector(F.array(*parts))
-
-    looks = df.select(
-        vector([F.when(s, x).otherwise(0.0) for x, s in zip(values, seen)]
-               + [s.cast("double") for s in seen]).alias("sums"),
-        vector([F.coalesce(x, F.lit(highest)) for x in values]).alias("low"),
-        vector([F.coalesce(x, F.lit(lowest)) for x in values]).alias("high"),
-    ).agg(
-        Summarizer.mean(F.col("sums")).alias("mean"),
-        Summarizer.min(F.col("low")).alias("low"),
-        Summarizer.max(F.col("high")).alias("high"),
-    ).first()
-    r = np.full((p, p), np.nan)
-    if looks["mean"] is not None:
-        mean, low, high = (looks[k].toArray() for k in ("mean", "low", "high"))
-        share = mean[p:]
-        centre = np.divide(mean[:p], share, out=np.zeros(p), where=share > 0)
-        varies = np.isfinite(low) & np.isfinite(high) & (low < high)
-        away = [F.when(s, x - F.lit(float(c))).otherwise(0.0) for x, s, c in zip(values, seen, centre)]
-        r = _correlations(
-            df.select(vector([*away, *[d * d for d in away], *[s.cast("double") for s in seen]]).alias("v")),
-            varies,
-        )
+    values = df.select(*[as_double(f).alias(f"v{i}") for i, f in enumerate(fields)])
+    first = np.array([list(r) for r in values.take(_FIRST_ROWS)], float).reshape(-1, p)
+    first[~np.isfinite(first)] = np.nan
+    seen = np.isfinite(first).sum(axis=0)
+    centre = np.divide(np.nansum(first, axis=0), seen, out=np.zeros(p), where=seen > 0)
+    sums = _product_sums(values, centre)
+    n, total, squares = np.diag(sums.n), np.diag(sums.x), np.diag(sums.xx)
+    shift = np.divide(total, n, out=np.zeros(p), where=n > 0)
+    if np.any(squares > _FAR * np.maximum(squares - n * shift**2, 0)):
+        sums = _product_sums(values, centre + shift)
+    r = _correlations(sums)
     rows = [
         (a.name, b.name, None if np.isnan(r[i, j]) else float(r[i, j]))
         for i, a in enumerate(fields)
@@ -371,61 +369,257 @@ def correlation_matrix(df: DataFrame, columns: Names = None) -> DataFrame:
     return small_table(df.sparkSession, rows, "x string, y string, r double")
 
 
-def _correlations(vectors: DataFrame, varies: np.ndarray) -> np.ndarray:
-    """Pairwise correlations from vectors of deviations, their squares and presence."""
-    p = len(varies)
-    rows = MLUtils.convertVectorColumnsFromML(vectors, "v")
-    gram = RowMatrix(rows, numCols=3 * p).computeGramianMatrix().toArray()
-    x, squares, there = (slice(k * p, (k + 1) * p) for k in range(3))
-    n = gram[there, there]
+@dataclass
+class _Sums:
+    """Over the rows that have both columns: their number, the sum and the squares of the first
+    column's deviations and the products of both's. ``varies`` tells the columns with two values
+    or more and no infinity."""
+
+    n: np.ndarray
+    x: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+    varies: np.ndarray
+
+
+def _product_sums(values: DataFrame, centre: np.ndarray) -> _Sums:
+    p = len(centre)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, xx, xy = (np.zeros((p, p)) for _ in range(4))
+        low, high = np.full(p, np.inf), np.full(p, -np.inf)
+        for batch in batches:
+            rows = np.empty((batch.num_rows, p))
+            for i in range(p):
+                rows[:, i] = batch.column(i).to_numpy(zero_copy_only=False)
+            with np.errstate(invalid="ignore"):
+                low, high = np.fmin(low, np.fmin.reduce(rows, initial=np.inf)), np.fmax(
+                    high, np.fmax.reduce(rows, initial=-np.inf)
+                )
+                there = np.isfinite(rows)
+                rows -= centre
+            rows[~there] = 0.0
+            gaps = np.flatnonzero(~there.all(axis=0))
+            xy += rows.T @ rows
+            total, squares = rows.sum(axis=0), (rows * rows).sum(axis=0)
+            n += len(rows)
+            x += total[:, None]
+            xx += squares[:, None]
+            if len(gaps):
+                # what is counted where the other column has a gap
+                absent = (~there[:, gaps]).astype(float)
+                x[:, gaps] -= rows.T @ absent
+                xx[:, gaps] -= (rows * rows).T @ absent
+                share = absent.T @ absent
+                here = absent.sum(axis=0)
+                n[gaps, :] -= here[:, None]
+                n[:, gaps] -= here[None, :]
+                n[np.ix_(gaps, gaps)] += share
+        for i in range(p):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "i": pa.array([i], pa.int32()),
+                    "v": pa.array([np.concatenate([n[i], x[i], xx[i], xy[i]])], pa.list_(pa.float64())),
+                    "low": pa.array([low[i]]),
+                    "high": pa.array([high[i]]),
+                }
+            )
+
+    found = (
+        values.mapInArrow(multiply, "i int, v array<double>, low double, high double")
+        .groupBy("i")
+        .agg(Summarizer.sum(array_to_vector("v")).alias("v"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .collect()
+    )
+    n, x, xx, xy = (np.zeros((p, p)) for _ in range(4))
+    varies = np.zeros(p, bool)
+    for r in found:
+        i, parts = r["i"], r["v"].toArray().reshape(4, p)
+        n[i], x[i], xx[i], xy[i] = parts
+        varies[i] = np.isfinite(r["low"]) and np.isfinite(r["high"]) and r["low"] < r["high"]
+    return _Sums(n, x, xx, xy, varies)
+
+
+def _correlations(s: _Sums) -> np.ndarray:
+    """Pairwise correlations; NaN where a column does not vary over the rows that a pair shares."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        sums = gram[x, there]  # of the first column, where the second is present
-        spread = gram[squares, there] - sums * sums / n
-        flat = ~(spread > _NOISE * gram[squares, there])
-        both = (gram[x, x] - sums * sums.T / n) / np.sqrt(spread * spread.T)
-    both[flat | flat.T | ~varies[:, None] | ~varies[None, :]] = np.nan
-    np.fill_diagonal(both, np.where(varies, 1.0, np.nan))
+        spread = s.xx - s.x * s.x / s.n
+        flat = ~(spread > _NOISE * s.xx)
+        both = (s.xy - s.x * s.x.T / s.n) / np.sqrt(spread * spread.T)
+    both[flat | flat.T | ~s.varies[:, None] | ~s.varies[None, :]] = np.nan
+    np.fill_diagonal(both, np.where(s.varies, 1.0, np.nan))
     return np.clip(both, -1.0, 1.0)
 
 
 def profile(df: DataFrame, columns: Names = None, approx_distinct: bool = False) -> DataFrame:
-    """The whole column profile, one row per column in schema order.
+    """The whole column profile, one row per column in schema order, from two scans at any width
+    (three where whole numbers or dates are dense enough to be counted in bitmaps).
 
     ``first`` and ``last`` print the range of date and timestamp columns; ``min`` to ``std``
     belong to numeric ones.
     """
     fields = fields_of(df, columns)
+    facts = column_facts(df, fields)
+    counts = distinct_counts(df, [f.name for f in fields], approx=approx_distinct)
+    return facts.join(counts, "column").orderBy("position").select(
+        "column", "position", "type", "kind", "row_count", "null_count", "missing_count", "min", "max",
+        "mean", "std", "first", "last", "missing_pct", "distinct_count",
+    )
 
-    def numeric(stat):
-        return lambda f: stat(as_double(f)) if is_numeric(f.dataType) else F.lit(None).cast("double")
 
-    def temporal(stat):
-        return lambda f: (
-            stat(col(f.name)).cast("string")
-            if kind_of(f.dataType) == "temporal"
-            else F.lit(None).cast("string")
-        )
+def column_facts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """Types, counts of rows, nulls and missing values, and moments or ranges of all columns.
 
-    facts = per_column(
-        df,
-        fields,
-        {
-            "row_count": lambda f: F.count(F.lit(1)),
-            "null_count": lambda f: F.count_if(is_null(f)),
-            "missing_count": lambda f: F.count_if(is_missing(f)),
-            "min": numeric(F.min),
-            "max": numeric(F.max),
-            "mean": numeric(F.avg),
-            "std": numeric(F.stddev_samp),
-            "first": temporal(F.min),
-            "last": temporal(F.max),
-        },
+    Every value becomes one struct of the same type, whatever its column, and one grouped aggregate
+    over the column's number keeps them apart. So one scan does for any number of columns, and the
+    generated code doesn't grow with them; tasks send one row a column.
+    """
+    parts = []
+    for i, f in enumerate(fields):
+        null, number, whole = is_null(f), F.lit(None).cast("double"), F.lit(None).cast("bigint")
+        if is_numeric(f.dataType):
+            number = as_double(f)
+        elif kind_of(f.dataType) == "temporal":
+            whole = _ticks(f)
+        parts.append(
+            F.struct(
+                F.lit(i).alias("position"), null.alias("null"), is_missing(f).alias("missing"),
+                number.alias("x"), whole.alias("t"),
+            )
+        )
+    stats = (
+        df.select(F.explode(F.array(*parts)).alias("v"))
+        .select("v.*")
+        .groupBy("position")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.count_if("null").alias("null_count"),
+            F.count_if("missing").alias("missing_count"),
+            F.min("x").alias("min"),
+            F.max("x").alias("max"),
+            F.avg("x").alias("mean"),
+            F.stddev_samp("x").alias("std"),
+            F.min("t").alias("low"),
+            F.max("t").alias("high"),
+        )
     )
-    names = [f.name for f in fields]
-    facts = facts.withColumn("missing_pct", percent(F.col("missing_count"), F.col("row_count")))
+    shown = {
+        name: F.coalesce(
+            F.lit(None).cast("string"),
+            *[
+                F.when(F.col("position") == i, _tick_text(f, F.col(ticks)))
+                for i, f in enumerate(fields)
+                if kind_of(f.dataType) == "temporal"
+            ],
+        )
+        for name, ticks in (("first", "low"), ("last", "high"))
+    }
+    zero = F.lit(0).cast("bigint")
+    counts = {n: F.coalesce(F.col(n), zero) for n in ("row_count", "null_count", "missing_count")}
     return (
-        column_types(df, names)
-        .join(facts, "column")
-        .join(distinct_counts(df, names, approx=approx_distinct), "column")
-        .orderBy("position")
+        column_types(df, [f.name for f in fields])
+        .join(stats, "position", "left")
+        .withColumns(counts | shown)
+        .withColumn("missing_pct", percent(F.col("missing_count"), F.col("row_count")))
+        .drop("low", "high")
     )
+
+
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def _ticks(field: T.StructField) -> Column:
+    """A date's days, a timestamp's microseconds since 1970."""
+    if isinstance(field.dataType, T.DateType):
+        return F.unix_date(col(field.name)).cast("bigint")
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {quoted(field.name)})")
+    return F.unix_micros(col(field.name))
+
+
+def _tick_text(field: T.StructField, ticks: Column) -> Column:
+    if isinstance(field.dataType, T.DateType):
+        return F.date_from_unix_date(ticks.cast("int")).cast("string")
+    if isinstance(field.dataType, T.TimestampNTZType):
+        interval = F.make_dt_interval(secs=(ticks.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+        return (F.expr(_EPOCH) + interval).cast("string")
+    return F.timestamp_micros(ticks).cast("string")
+
+
+def data_summary(
+    df: DataFrame,
+    columns: Names = None,
+    order_by: Sequence[str] | None = None,
+    k: int = 5,
+    top: int = 10,
+    correlations: bool = False,
+) -> DataFrame:
+    """One row per column in schema order with everything a first look asks for.
+
+    ``column, position, type, kind, row_count, null_count, missing_count, missing_pct, min, max,
+    mean, std, first, last`` as in :func:`profile`, ``distinct_count`` (NULL left out; NULL for
+    nested columns), ``samples`` (the first ``k`` present values in the order of ``order_by``, else
+    of the input), ``top_values`` (the ``top`` most frequent present values with their counts, ties
+    by value) and, if asked for, ``correlations`` with every other numeric column by name.
+
+    Three scans at any width: facts, values (distinct counts and top values come out of one
+    exchange) and samples; correlations take one or two more.
+    """
+    fields = fields_of(df, columns)
+    countable = [f for f in fields if is_countable(f.dataType)]
+    out = column_facts(df, fields)
+    if countable:
+        names = [f.name for f in countable]
+        values = value_counts(df, names)
+        # both read the same counts, so that they share one exchange
+        distinct = (
+            values.groupBy("column")
+            .agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("count").alias("present"))
+            .where("present > 0")
+        )
+        order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
+        entry = F.struct("rank", "value", "count")
+        tops = (
+            values.withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= top)
+            .groupBy("column")
+            .agg(F.sort_array(F.collect_list(entry)).alias("top_values"))
+        )
+        ordered = df if order_by else df.withColumn("_row", F.monotonically_increasing_id())
+        samples = (
+            sample_values(ordered, order_by or ["_row"], names, k)
+            .groupBy("column")
+            .agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("samples"))
+        )
+        out = (
+            out.join(distinct.drop("present"), "column", "left")
+            .join(tops, "column", "left")
+            .join(samples, "column", "left")
+        )
+    else:
+        nothing = {"distinct_count": "bigint", "top_values": "array<struct<rank:int,value:string,count:bigint>>",
+                   "samples": "array<struct<position:int,value:string>>"}
+        out = out.withColumns({n: F.lit(None).cast(t) for n, t in nothing.items()})
+    known = F.col("column").isin([f.name for f in countable])
+    pair = "transform(top_values, t -> named_struct('value', t.value, 'count', t.count))"
+    out = out.withColumns(
+        {
+            "distinct_count": F.when(known, F.coalesce("distinct_count", F.lit(0).cast("bigint"))),
+            "samples": F.coalesce(F.col("samples")["value"], F.array().cast("array<string>")),
+            "top_values": F.coalesce(F.expr(pair), F.array().cast("array<struct<value:string,count:bigint>>")),
+        }
+    )
+    chosen = [
+        "column", "position", "type", "kind", "row_count", "null_count", "missing_count", "missing_pct",
+        "distinct_count", "min", "max", "mean", "std", "first", "last", "samples", "top_values",
+    ]
+    numeric = [f.name for f in fields if is_numeric(f.dataType)]
+    if correlations and len(numeric) > 1:
+        with_others = (
+            correlation_matrix(df, numeric)
+            .where("x != y")
+            .groupBy(F.col("x").alias("column"))
+            .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("y", "r")))).alias("correlations"))
+        )
+        out, chosen = out.join(with_others, "column", "left"), [*chosen, "correlations"]
+    return out.orderBy("position").select(*chosen)

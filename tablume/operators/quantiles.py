@@ -3,8 +3,8 @@
 The built-in ``percentile`` keeps every distinct value of a column in one task, so it cannot be
 used on a column of unknown width. Here each wanted order statistic is bracketed instead. A
 first pass sketches the column and gives two actual values around the wanted rank. The next pass
-counts exactly how many rows lie below, on and strictly between them, and only the rows in
-between are sketched again: once those fit a sketch whole, the wanted row is read out of it,
+counts exactly how many rows lie below, on and strictly between them and sketches the rows in
+between in the same scan: once those fit a sketch whole, the wanted row is read out of it,
 otherwise the sketch gives the next, closer bracket. A bracket holds some two hundred times fewer
 rows each round: one round does for a million rows, three or four for a trillion.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +60,8 @@ def exact_quantiles(
 
     Without ``interpolate`` it is an actual value: the first whose share of values up to and
     including it reaches the probability. Whole-number columns are searched as whole numbers, so
-    long integers stay exact; decimals are searched as doubles.
+    long integers stay exact; decimals are searched as doubles, so those beyond 2^53 are as exact as
+    a double is.
     """
     return sized_quantiles(df, columns, probabilities, interpolate, size)[0]
 
@@ -188,17 +188,21 @@ def _inside(bracket) -> Column:
 
 
 def _look_around(values: DataFrame, brackets, targets: list[_Target], size: int) -> None:
-    """Exact counts around each bracket settle a target, or place it inside a closer one."""
-    counts = []
+    """Exact counts around each bracket and a sketch of its inside, in one scan: they settle a
+    target or place it inside a closer bracket."""
+    counts, sketches, whole = {}, {}, set()
     for i, bracket in enumerate(brackets):
         v, low, high = bracket
-        counts += [
-            F.count_if(F.col(v) < F.lit(low)).alias(f"below_{i}"),
-            F.count_if(F.col(v) == F.lit(low)).alias(f"low_{i}"),
-            F.count_if(_inside(bracket)).alias(f"inside_{i}"),
-            F.count_if(F.col(v) == F.lit(high)).alias(f"high_{i}"),
-        ]
-    row = values.agg(*counts).first()
+        counts |= {
+            f"below_{i}": F.col(v) < F.lit(low),
+            f"low_{i}": F.col(v) == F.lit(low),
+            f"inside_{i}": _inside(bracket),
+            f"high_{i}": F.col(v) == F.lit(high),
+        }
+        sketches[f"s{i}"] = F.when(_inside(bracket), F.col(v))
+        if any(t.whole for t in targets if t.bracket == bracket):
+            whole.add(f"s{i}")
+    row = sketch_row(values, sketches, counts=counts, size=size, whole=whole).first()
     unsettled = []
     for t in targets:
         i = brackets.index(t.bracket)
@@ -215,19 +219,8 @@ def _look_around(values: DataFrame, brackets, targets: list[_Target], size: int)
             t.value = t.high
         else:
             ranks = [(place + 0.5) / inside] if inside <= size else _around(place, place, inside, size)
-            unsettled.append((t, t.bracket, ranks))
-    if unsettled:
-        _read_inside(values, unsettled, size)
-
-
-def _read_inside(values: DataFrame, unsettled, size: int) -> None:
-    """Sketch only the rows strictly inside the brackets; read the row, or a closer bracket."""
-    brackets = list(dict.fromkeys(bracket for _, bracket, _ in unsettled))
-    inside = values.filter(reduce(lambda a, b: a | b, [_inside(b) for b in brackets]))
-    sketches = {f"s{i}": F.when(_inside(b), F.col(b[0])) for i, b in enumerate(brackets)}
-    whole = {f"s{brackets.index(bracket)}" for t, bracket, _ in unsettled if t.whole}
-    row = sketch_row(inside, sketches, size=size, whole=whole).first()
-    reads = [(row[f"s{brackets.index(bracket)}"], ranks, t.whole) for t, bracket, ranks in unsettled]
+            unsettled.append((t, row[f"s{i}"], ranks))
+    reads = [(sketch, ranks, t.whole) for t, sketch, ranks in unsettled]
     for (t, _, ranks), ends in zip(unsettled, read_sketches(values.sparkSession, reads)):
         if len(ranks) == 1:
             t.value = ends[0]

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime
 import math
+import re
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -173,3 +175,61 @@ def test_correlations_of_many_columns(spark):
     for a, b in (("id", "gaps"), ("gaps", "c5"), ("c1", "c8")):
         assert r[a, b] == r[b, a]
         assert math.isclose(r[a, b], wide.select(F.corr(a, b)).first()[0], rel_tol=1e-9)
+
+
+def test_data_summary_of_odd_columns(spark):
+    rows = [
+        (1, "a", None, "2024-01-01 00:00:00.5", [1], b"x"), (2, "", 1.5, "1969-12-31 23:59:59", None, None),
+        (3, "a", float("nan"), None, [2], b"x"), (4, None, -2.0, "0001-01-01 00:00:00", [], b""),
+    ]
+    df = spark.createDataFrame(rows, "`a.b` long, s string, x double, t string, l array<int>, z binary")
+    df = df.withColumns({"n": F.expr("CAST(t AS TIMESTAMP_NTZ)"), "d": F.expr("CAST(t AS DATE)"), "t": F.expr("CAST(t AS TIMESTAMP)")})
+    got = by_column(t.data_summary(df, order_by=["a.b"], k=2, top=2, correlations=True))
+    assert list(got) == ["a.b", "s", "x", "t", "l", "z", "n", "d"]
+    assert got["s"]["null_count"] == 1 and got["s"]["missing_count"] == 2 and got["s"]["samples"] == ["a", ""]
+    assert [tuple(v) for v in got["s"]["top_values"]] == [("a", 2), ("", 1)]
+    assert got["x"]["null_count"] == 2 and got["x"]["distinct_count"] == 2 and got["x"]["max"] == 1.5
+    assert got["t"]["first"] == got["n"]["first"] == "0001-01-01 00:00:00"
+    assert got["t"]["last"] == got["n"]["last"] == "2024-01-01 00:00:00.5" and got["d"]["last"] == "2024-01-01"
+    assert got["l"]["distinct_count"] is None and got["l"]["samples"] == [] and got["l"]["row_count"] == 4
+    assert got["a.b"]["correlations"]["x"] == pytest.approx(-1.0) and got["s"]["correlations"] is None
+    empty = by_column(t.data_summary(df.where("false")))
+    assert {r["row_count"] for r in empty.values()} == {0} and empty["s"]["distinct_count"] == 0
+    assert empty["x"]["mean"] is None and empty["x"]["samples"] == [] and empty["t"]["first"] is None
+    assert t.data_summary(df.select("l")).first()["top_values"] == []
+
+
+def test_scans_do_not_grow_with_the_columns(spark, tmp_path):
+    wide = spark.range(50).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(60)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+
+    def scans(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # what a reused exchange would have read is not read again
+        return len(set(re.findall(r"FileScan[^\n]*\[(c0#\d+)", plan.split("== Initial Plan ==")[0])))
+
+    assert scans(t.profile(wide)) <= 3 and scans(t.data_summary(wide, order_by=["c0", "c1"])) <= 3
+
+
+def test_correlations_far_from_the_first_rows(spark):
+    rng = np.random.default_rng(3)
+    x = 1e9 + rng.normal(0, 1, 4000)
+    y = x * 0.5 + rng.normal(0, 0.2, 4000)
+    rows = [(None, float("nan"))] * 1500 + list(zip(x.tolist(), y.tolist()))
+    df = spark.createDataFrame(rows, "x double, y double").coalesce(1)
+    got = {(r.x, r.y): r.r for r in t.correlation_matrix(df).collect()}
+    assert got["x", "y"] == pytest.approx(np.corrcoef(x - 1e9, y - 5e8)[0, 1], abs=1e-6)
+
+
+def test_hash_sample(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("g"))
+    one = {r.id for r in t.hash_sample(df.repartition(5), ["id"], 500, seed=1).collect()}
+    assert one == {r.id for r in t.hash_sample(df.coalesce(1), ["id"], 500, seed=1).collect()}
+    assert len(one) == 500 and 2200 < sum(one) / 500 < 2800
+    assert one != {r.id for r in t.hash_sample(df, ["id"], 500, seed=2).collect()}
+    points = t.scatter_points(df, "id", "g", ["id"], 50, seed=1).collect()
+    assert {r.x for r in points} <= one and len(points) == 50
+    with pytest.raises(ValueError):
+        t.hash_sample(df, [])
