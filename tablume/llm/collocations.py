@@ -158,7 +158,8 @@ def _texts(documents: DataFrame, lang_column: str, text_column: str) -> DataFram
 
 
 def _words(texts: DataFrame) -> DataFrame:
-    """``lang, phrase, key, n`` of all words."""
+    """``lang, phrase, key, n`` of all words, and a row without a phrase for all of a language's
+    together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, pieces in _read(batches):
@@ -173,6 +174,19 @@ def _words(texts: DataFrame) -> DataFrame:
                 ],
                 names=["lang", "phrase", "key", "n"],
             )
+            there, row, which = np.unique(
+                batch.column("lang_key").to_numpy(zero_copy_only=False)[at + pieces.text],
+                return_index=True, return_inverse=True,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lang").take(pa.array(at + pieces.text[row])),
+                    pa.nulls(len(there), pa.string()),
+                    pa.array(np.zeros(len(there), np.int64)),
+                    pa.array(np.bincount(which, minlength=len(there))),
+                ],
+                names=["lang", "phrase", "key", "n"],
+            )
 
     found = texts.mapInArrow(count, "lang string, phrase string, key long, n long")
     lowered = found.withColumn("phrase", lower_ascii(F.col("phrase")))
@@ -192,8 +206,12 @@ def _tries(phrases: DataFrame, limit: int) -> Iterator[tuple[Trie, bool]]:
             yield Trie(keys.reshape(rows.num_rows, -1), rows["id"].to_numpy()), shards == 1
 
 
-def _edges(texts: DataFrame, held: Broadcast, whole: bool) -> DataFrame:
-    """``id, key, n``: how often phrases of the trie are followed by each word."""
+def _edges(texts: DataFrame, held: Broadcast, whole: bool, least: int) -> DataFrame:
+    """``id, key, n``: phrases of the trie and words that follow them ``least`` times or more.
+
+    Where one trie holds all phrases of the level, the words that may follow have codes in it, and
+    state and code are shuffled as one number.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: Trie = held.value
@@ -209,7 +227,8 @@ def _edges(texts: DataFrame, held: Broadcast, whole: bool) -> DataFrame:
             if whole:
                 # the phrase without its first word must be frequent too
                 start = start[state[start + 1] > 0]
-            gathered.append((state[start], pieces.key[last[start]]))
+            after = trie.codes(pieces.key[last[start]]).view(np.uint64) if whole else pieces.key[last[start]]
+            gathered.append((state[start], after))
             size += len(start)
             if size > _GATHERED:
                 yield from _summed(trie, gathered)
@@ -217,27 +236,51 @@ def _edges(texts: DataFrame, held: Broadcast, whole: bool) -> DataFrame:
         if size:
             yield from _summed(trie, gathered)
 
-    return texts.mapInArrow(walk, "id long, key long, n long").groupBy("id", "key").agg(
-        F.sum("n").alias("n")
-    )
+    names = ["state", "after"]
+    counted = texts.mapInArrow(walk, "state int, after long, n long")
+    if whole:
+        names = ["edge"]
+        counted = counted.select(
+            F.expr("shiftleft(CAST(state AS LONG), 32) + after").alias("edge"), "n"
+        )
+    counted = counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    if whole:
+        counted = counted.select(
+            F.shiftright("edge", 32).cast("int").alias("state"),
+            F.expr("edge & 4294967295").alias("after"),
+            "n",
+        )
+
+    def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie: Trie = held.value
+        keys = np.zeros(len(trie.keys) + 1, np.uint64)
+        keys[trie.code] = trie.keys
+        for batch in batches:
+            state, after, n = (batch.column(i) for i in range(3))
+            key = pa.array(keys[after.to_numpy()].view(np.int64)) if whole else after
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(trie.id[state.to_numpy()]), key, n], names=["id", "key", "n"]
+            )
+
+    return counted.mapInArrow(called, "id long, key long, n long")
 
 
 def _summed(trie: Trie, gathered: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     state = np.concatenate([s for s, _ in gathered])
-    key = np.concatenate([k for _, k in gathered])
+    after = np.concatenate([k for _, k in gathered])
     _, example, which = np.unique(
-        mixed(key + state.astype(np.uint64) * _PRIME), return_index=True, return_inverse=True
+        mixed(after + state.astype(np.uint64) * _PRIME), return_index=True, return_inverse=True
     )
     n = np.bincount(which)
     for at in range(0, len(example), _HANDED):
         some = example[at : at + _HANDED]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(trie.id[state[some]]),
-                pa.array(key[some].view(np.int64)),
+                pa.array(state[some].astype(np.int32)),
+                pa.array(after[some].view(np.int64)),
                 pa.array(n[at : at + _HANDED]),
             ],
-            names=["id", "key", "n"],
+            names=["state", "after", "n"],
         )
 
 
@@ -259,9 +302,10 @@ def phrase_counts(
     if longest < 1 or least < 1:
         raise ValueError("phrases have a word at least and occur at least once")
     texts = _texts(documents, lang_column, text_column)
-    words = durable(_words(texts), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    level = _named(words.where(F.col("n") >= least))
+    frequent = (F.col("n") >= least) | F.col("phrase").isNull()
+    words = durable(_words(texts).where(frequent), "words")
+    totals = words.where("phrase IS NULL").select("lang", F.col("n").alias("total"))
+    level = _named(words.where("phrase IS NOT NULL"))
     level = durable(level.withColumn("keys", F.array("key")).drop("key"), "phrases-1")
     vocabulary = level.select(
         F.col("phrase").alias("word"), "lang", F.col("keys")[0].alias("key")
@@ -274,7 +318,7 @@ def phrase_counts(
         counted = None
         for trie, whole in _tries(level, trie_phrases):
             held = documents.sparkSession.sparkContext.broadcast(trie)
-            some = _edges(texts, held, whole).where(F.col("n") >= least)
+            some = _edges(texts, held, whole, least)
             counted = some if counted is None else counted.unionByName(some)
         if counted is None:
             break
