@@ -109,6 +109,27 @@ def prepare_ml_wide(spark, folder):
     return prepared.df.select("c_custkey", "c_name_indexed")
 
 
+@query(
+    "prepare_ml_one_pass",
+    gaps_sql("customer")
+    + ", r AS (SELECT v, row_number() OVER (ORDER BY n DESC, v) - 1 AS i FROM (SELECT c_mktsegment AS v, "
+    "count(*) AS n FROM t WHERE c_mktsegment IS NOT NULL GROUP BY 1)), l AS (SELECT c_custkey, "
+    "row_number() OVER (ORDER BY c_name) - 1 AS label FROM customer) SELECT c_custkey, "
+    "CAST(coalesce(i, (SELECT count(*) FROM r)) AS DOUBLE) AS c_mktsegment_indexed, "
+    "CAST(label AS DOUBLE) AS label FROM t JOIN l USING (c_custkey) LEFT JOIN r ON v = c_mktsegment "
+    "WHERE c_acctbal IS NOT NULL",
+)
+def prepare_ml_one_pass(spark, folder):
+    """Dictionaries of all columns from one grouped count; here each row is a class of its own."""
+    names = table(spark, folder, "customer").select("c_custkey", "c_name")
+    rows = with_gaps(spark, folder, "customer").join(names, "c_custkey")
+    prepared = ops.prepare(
+        rows, ["c_mktsegment", "c_acctbal"], "c_name", keep=["c_custkey"], max_labels=100
+    )
+    _, vectors = ops.fit_features(prepared)
+    return vectors.select("c_custkey", "c_mktsegment_indexed", F.col(ops.LABEL).alias("label"))
+
+
 _SLOTS = [f"slot_{i}" for i in range(6)]
 
 

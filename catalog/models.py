@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, rounded, table
 from tablume.operators import models as ops
 from tablume.operators.features import MAX_LABELS, prepare
+from tablume.plans.analyze import analyze
 from tablume.plans.report import build_report
 from tablume.sources.scratch import scratch_path
 
@@ -107,6 +108,25 @@ def score_bad_rows(spark, folder):
     )
 
 
+@query(
+    "score_without_schema",
+    _LINE
+    + f" SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 > 0 THEN round({_PREDICTED}, 4) END "
+    "AS prediction, CASE WHEN l_orderkey % 7 = 0 THEN 'missing required feature: l_quantity' ELSE '' "
+    "END AS errors FROM lineitem, f",
+)
+def score_without_schema(spark, folder):
+    """A pipeline saved by itself keeps every row too."""
+    path = scratch_path(spark, "models")
+    _line(spark, folder).model.save(path)
+    raw = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "if(l_orderkey % 7 > 0, l_quantity, NULL) AS l_quantity"
+    )
+    return rounded(ops.score(raw, path), 4, "prediction").select(
+        "l_orderkey", "l_linenumber", "prediction", F.array_join("_errors", ",").alias("errors")
+    )
+
+
 def _scored_like_training(spark, folder, max_labels):
     """How many rows are predicted, and how many inputs score otherwise than in training."""
     lines = table(spark, folder, "lineitem").withColumn(
@@ -238,8 +258,7 @@ def train_gbt_classifier(spark, folder):
 def _clusters(spark, folder, features=("l_quantity", "l_extendedprice", "l_discount"), k=5):
     lines = table(spark, folder, "lineitem")
     keep = ("l_orderkey", "l_linenumber")
-    parts = spark.sparkContext.defaultParallelism
-    return ops.train_clusters(prepare(lines, list(features), keep=keep), k, partitions=parts)
+    return ops.train_clusters(prepare(lines, list(features), keep=keep), k)
 
 
 @query(
@@ -355,6 +374,27 @@ def cluster_far_groups(spark, folder):
     )
 
 
+@query(
+    "analyze_classes",
+    "SELECT 1.0::DOUBLE AS accuracy, count(*) AS correct, count(*) AS total FROM lineitem",
+)
+def analyze_classes(spark, folder):
+    rows = _threshold_rows(spark, folder)
+    forest = {"numTrees": 3, "maxDepth": 3, "featureSubsetStrategy": "all"}
+    found = analyze(rows, "classification", _FEATURES, "target", **forest).metrics
+    row = (found["accuracy"], found["correct"], found["total"])
+    return spark.createDataFrame([row], "accuracy double, correct bigint, total bigint")
+
+
+@query(
+    "analyze_clusters",
+    f"SELECT count(*) AS size FROM ({_FAR.format(lineitem='lineitem')}) GROUP BY x > 500",
+)
+def analyze_clusters(spark, folder):
+    rows = spark.sql(_FAR.format(lineitem="{lineitem}"), lineitem=table(spark, folder, "lineitem"))
+    return analyze(rows, "clustering", ["x", "y"], k=2).tables["sizes"].select("size")
+
+
 @query("report_summary")
 def report_summary(spark, folder):
     customers = table(spark, folder, "customer")

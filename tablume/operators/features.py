@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     PCA,
@@ -13,6 +14,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     StandardScaler,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.sql import DataFrame
@@ -126,7 +128,12 @@ def ranked_values(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     number is its place within its partition plus the sizes of the partitions before it. The
     sorted values are written out first, because those two facts must come from the same sort.
     """
-    ordered = value_counts(df, [column]).orderBy(F.desc("count"), "value")
+    return _numbered_values(value_counts(df, [column]))
+
+
+def _numbered_values(counts: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`ranked_values` from ``(value, count)``."""
+    ordered = counts.orderBy(F.desc("count"), "value")
     placed = cut_lineage(
         ordered.select(
             "value",
@@ -140,7 +147,7 @@ def ranked_values(df: DataFrame, column: str) -> tuple[DataFrame, int]:
         starts.append((row["part"], total))
         total += row["n"]
     # One row per partition of the sort, so the broadcast does not grow with the values.
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, start bigint"))
+    offsets = F.broadcast(counts.sparkSession.createDataFrame(starts, "part int, start bigint"))
     numbered = placed.join(offsets, "part").select(
         "value", (F.col("start") + F.col("place")).alias("index")
     )
@@ -157,13 +164,16 @@ class WideIndex:
     ranked: DataFrame
     size: int
 
-    def add(self, df: DataFrame, column: str) -> DataFrame:
+    def add(self, df: DataFrame, column: str, output: str | None = None) -> DataFrame:
         """``df`` with ``<column>_indexed``; the most frequent values are not shuffled.
 
         The ``HOT_LABELS`` first numbers are the most frequent values, so looking those up by a
         bounded broadcast leaves only values each holding under ``1 / HOT_LABELS`` of the rows.
+        With ``output`` the column is a label of that name: every value is known, and there is
+        no number for others.
         """
-        output = f"{column}_indexed"
+        slots = self.size if output else self.size + 1
+        output = output or f"{column}_indexed"
         unknown = F.lit(float(self.size))
         hot = F.broadcast(self.ranked.filter(F.col("index") < HOT_LABELS).limit(HOT_LABELS))
         keyed = df.withColumn("_value", as_text(df.schema[column])).join(
@@ -179,7 +189,7 @@ class WideIndex:
         rest = keyed.filter(~settled).join(rare, "_value", "left")
         rest = rest.withColumn(output, F.coalesce(output, unknown))
         # the same description as a fitted indexer gives, without the labels themselves
-        about = {"ml_attr": {"name": output, "type": "nominal", "num_vals": self.size + 1}}
+        about = {"ml_attr": {"name": output, "type": "nominal", "num_vals": slots}}
         every = done.unionByName(rest).drop("_value", "_hot")
         return every.withMetadata(output, about)
 
@@ -220,7 +230,11 @@ def pca(
 
 @dataclass
 class Prepared:
-    """A table ready for training and the unfitted steps from raw columns to features."""
+    """A table ready for training and the steps from raw columns to features.
+
+    ``labels`` are the texts of the classes by number; more of them than a model should hold are
+    the table ``classes`` instead.
+    """
 
     df: DataFrame
     inputs: list[str]
@@ -230,6 +244,7 @@ class Prepared:
     labels: list[str] | None = None
     counts: dict[str, int] = field(default_factory=dict)
     wide: dict[str, WideIndex] = field(default_factory=dict)
+    classes: WideIndex | None = None
 
     def indexed(self, df: DataFrame) -> DataFrame:
         """Raw rows with the numbers of the features that no model holds."""
@@ -269,6 +284,10 @@ def prepare(
     model scores raw rows. A string or boolean target is indexed, a numeric one cast to double;
     rows without a target are dropped first. With ``classes`` a numeric target that is not
     numbered 0, 1, 2, ... is indexed too. ``counts`` tells rows in, labelled and usable.
+
+    The counts and all dictionaries come from one read, the scaler's figures from a second. A
+    column with more than ``max_labels`` labels, the target included, is numbered by a distributed
+    sort and a join instead of by the model.
     """
     features = [f for f in dict.fromkeys(features) if f != target]
     if not features:
@@ -294,90 +313,141 @@ def prepare(
     wanted = list(dict.fromkeys([*features, *([target] if target else []), *keep]))
     narrow = df.select(*[col(n) for n in wanted])
 
-    counts, many = _count_rows(narrow, features, target, categorical, max_labels)
-    if target in many:
-        raise ValueError(f"too many classes in {target!r} (over {max_labels})")
-    labels = None
+    found = _count_labels(narrow, features, target, categorical, max_labels, classes)
+    labels, many = None, [n for n in features if n in found.wide]
     if target:
-        if counts["labelled"] == 0:
+        if found.counts["labelled"] == 0:
             raise ValueError(f"no rows are left after dropping null labels in {target!r}")
-        narrow, labels = _with_label(narrow, target, classes)
+        narrow = _with_label(narrow, target, found)
+        labels = found.labels.get(target)
     taken = {f"{n}_indexed" for n in categorical} & set(narrow.columns)
     if taken:
         raise ValueError("column name(s) needed for indexing: " + ", ".join(sorted(taken)))
-    pipeline, inputs = _feature_steps(df, features, many)
-    prepared = Prepared(narrow, inputs, schema, pipeline, target, labels, counts)
-    prepared.wide = {n: WideIndex(*ranked_values(narrow, n)) for n in many}
+    pipeline, inputs = _feature_steps(df, features, found.labels, many)
+    prepared = Prepared(narrow, inputs, schema, pipeline, target, labels, found.counts)
+    prepared.wide = {n: found.wide[n] for n in many}
+    prepared.classes = found.wide.get(target)
     prepared.df = prepared.indexed(narrow)
     return prepared
 
 
-def _count_rows(
-    df, features, target, categorical, max_labels
-) -> tuple[dict[str, int], list[str]]:
-    """Rows in, labelled and usable, and the columns with more labels than a model holds."""
-    labelled = ~is_null(df.schema[target]) if target else F.lit(True)
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(labelled).alias("labelled"),
-        F.count_if(labelled & _usable(df, features)).alias("used"),
-        *[
-            F.approx_count_distinct(as_text(df.schema[n])).alias(f"d{i}")
-            for i, n in enumerate(categorical)
-        ],
-    ).first()
-    many = [n for i, n in enumerate(categorical) if row[f"d{i}"] > max_labels]
-    return {"rows": row["rows"], "labelled": row["labelled"], "used": row["used"]}, many
+@dataclass
+class _Dictionaries:
+    """The row counts, and the labels of each column: a list, or a table where they are many."""
 
+    counts: dict[str, int]
+    labels: dict[str, list[str]]
+    wide: dict[str, WideIndex]
 
-def _numbered(df: DataFrame, target: str) -> bool:
-    """Whether the values of a numeric column are the whole numbers from 0 on."""
-    x = col(target).cast("double")
-    row = df.agg(
-        F.min(x).alias("low"), F.max(x).alias("high"), F.count_if(x != F.floor(x)).alias("parts"),
-        F.count_distinct(x).alias("n"),
-    ).first()
-    return row["low"] == 0 and row["parts"] == 0 and row["high"] == row["n"] - 1
+
+def _count_labels(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str | None,
+    categorical: Sequence[str],
+    max_labels: int,
+    classes: bool,
+) -> _Dictionaries:
+    """Rows in, labelled and usable, and the dictionaries of all columns, from one read.
+
+    Every row is unpivoted to its values and one mark of what the row is good for, and all of
+    them are counted by one grouped aggregate that combines in the tasks. Only rows with a label
+    count for dictionaries. At most ``max_labels`` values of a column reach the driver.
+    """
+    numeric_classes = classes and target and is_numeric(df.schema[target].dataType)
+    counted = [*categorical, *([target] if numeric_classes else [])]
+    labelled = ~is_null(df.schema[target]) if target else F.lit(True)
+    mark = F.when(~labelled, "rows").when(_usable(df, features), "used").otherwise("labelled")
+    entries = [F.struct(F.lit(-1).alias("column"), mark.alias("value"))]
+    for i, n in enumerate(counted):
+        value = F.when(labelled, as_text(df.schema[n])).alias("value")
+        entries.append(F.struct(F.lit(i).alias("column"), value))
+    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    table = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        number = F.when(F.col("column") == len(categorical), F.col("value").try_cast("double"))
+        sizes = {
+            r["column"]: r
+            for r in table.groupBy("column")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min(number).alias("low"),
+                F.max(number).alias("high"),
+                F.count_if(number != F.floor(number)).alias("parts"),
+            )
+            .collect()
+        }
+        wide = [i for i in range(len(counted)) if i in sizes and sizes[i]["n"] > max_labels]
+        if numeric_classes and (last := sizes.get(len(categorical))):
+            # whole numbers from 0 on are labels already
+            if (last["low"], last["parts"], last["high"]) == (0, 0, last["n"] - 1):
+                counted = categorical
+                wide = [i for i in wide if i < len(categorical)]
+        held = [-1, *[i for i in range(len(counted)) if i not in wide]]
+        rows = table.filter(F.col("column").isin(held)).collect()
+        marks = {r["value"]: r["count"] for r in rows if r["column"] == -1}
+        used = marks.get("used", 0)
+        with_label = used + marks.get("labelled", 0)
+        counts = {"rows": with_label + marks.get("rows", 0), "labelled": with_label, "used": used}
+        labels = {counted[i]: [] for i in held if i >= 0}
+        for r in sorted(rows, key=lambda r: (-r["count"], r["value"])):
+            if r["column"] >= 0:
+                labels[counted[r["column"]]].append(r["value"])
+        tables = {
+            counted[i]: WideIndex(
+                *_numbered_values(table.filter(F.col("column") == i).drop("column"))
+            )
+            for i in wide
+        }
+    finally:
+        table.unpersist()
+    return _Dictionaries(counts, labels, tables)
 
 
-def _with_label(
-    df: DataFrame, target: str, classes: bool
-) -> tuple[DataFrame, list[str] | None]:
+def _with_label(df: DataFrame, target: str, found: _Dictionaries) -> DataFrame:
+    """The rows that have a label, as a number in ``_label``."""
     kept = drop_null_labels(df, target)
-    if is_numeric(df.schema[target].dataType) and not (classes and not _numbered(kept, target)):
-        return kept.withColumn(LABEL, col(target).cast("double")), None
+    if target in found.wide:
+        return found.wide[target].add(kept, target, LABEL)
+    if target not in found.labels:
+        return kept.withColumn(LABEL, col(target).cast("double"))
     texts = kept.withColumn("_label_text", as_text(df.schema[target]))
-    model = StringIndexer(inputCol="_label_text", outputCol=LABEL, handleInvalid="error").fit(texts)
-    return model.transform(texts).drop("_label_text"), list(model.labels)
+    model = StringIndexerModel.from_labels(
+        found.labels[target], inputCol="_label_text", outputCol=LABEL, handleInvalid="error"
+    )
+    return model.transform(texts).drop("_label_text")
 
 
 def _feature_steps(
-    df: DataFrame, features: Sequence[str], many: Sequence[str]
+    df: DataFrame, features: Sequence[str], labels: Mapping[str, list[str]], many: Sequence[str]
 ) -> tuple[Pipeline, list[str]]:
-    """Steps from raw columns to the scaled vector, and the assembler's inputs in order."""
-    indexed, inputs, booleans = {}, [], []
+    """Steps from raw columns to the scaled vector, and the assembler's inputs in order.
+
+    The indexers have their labels already, so only the scaler remains to be fitted.
+    """
+    indexers, inputs, booleans = [], [], []
     for n in features:
         dtype = df.schema[n].dataType
-        if n in many:
-            inputs.append(f"{n}_indexed")
-        elif is_categorical(dtype):
-            source = n
-            if isinstance(dtype, T.BooleanType):
-                source = f"_{n}_text"
-                booleans.append(f"CAST({quoted(n)} AS STRING) AS {quoted(source)}")
-            indexed[source] = f"{n}_indexed"
-            inputs.append(indexed[source])
-        else:
+        if not is_categorical(dtype):
             inputs.append(n)
+            continue
+        inputs.append(f"{n}_indexed")
+        if n in many:
+            continue
+        source = n
+        if isinstance(dtype, T.BooleanType):
+            source = f"_{n}_text"
+            booleans.append(f"CAST({quoted(n)} AS STRING) AS {quoted(source)}")
+        indexers.append(
+            StringIndexerModel.from_labels(
+                labels[n], inputCol=source, outputCol=f"{n}_indexed", handleInvalid="keep"
+            )
+        )
     stages = []
     if booleans:
         stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(booleans) + " FROM __THIS__"))
-    if indexed:
-        stages.append(
-            StringIndexer(
-                inputCols=list(indexed), outputCols=list(indexed.values()), handleInvalid="keep"
-            )
-        )
+    stages += indexers
     stages.append(VectorAssembler(inputCols=inputs, outputCol=RAW, handleInvalid="skip"))
     stages.append(StandardScaler(inputCol=RAW, outputCol=FEATURES, withMean=True, withStd=True))
     return Pipeline(stages=stages), inputs

@@ -22,7 +22,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,10 @@ from tablume.sources.scratch import shared_folder
 from tablume.sources.typed import ERRORS, cast_to_schema, input_fields
 
 SEED = 42
+#: k-means deals its points over this many partitions at least, and one for so many rows.
+CLUSTER_PARTITIONS, ROWS_A_PARTITION = 8, 250_000
+#: How many rows a point stands for.
+WEIGHT = "_weight"
 #: The row as it came in, carried through a pipeline.
 ROW = "_scored_row"
 
@@ -81,9 +85,8 @@ class Trained:
         return self.prepared.schema
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Raw rows with ``prediction``; rows with an absent numeric feature are left out."""
-        scored = self.model.transform(self.prepared.indexed(df))
-        return without_internals(scored, self.model).drop(*_index_columns(self.prepared.wide))
+        """Every raw row with ``prediction`` and ``_errors``, as :func:`score` gives them."""
+        return _predict_rows(df, self.model, self.prepared.wide)
 
     def predictions(self) -> DataFrame:
         """The training rows with their label and prediction."""
@@ -110,7 +113,10 @@ class Trained:
 
     def save(self, folder: str) -> str:
         """Save the pipeline and its input schema under a name not used before."""
-        return save_model(self.model, self.schema, folder, self.prepared.wide)
+        wide = dict(self.prepared.wide)
+        if self.prepared.classes:
+            wide[self.prepared.target] = self.prepared.classes
+        return save_model(self.model, self.schema, folder, wide)
 
 
 def _index_columns(names) -> list[str]:
@@ -126,10 +132,20 @@ def working_columns(model: PipelineModel) -> list[str]:
                 value = stage.getOrDefault(param)
                 names += value if isinstance(value, list) else [value]
         if isinstance(stage, StringIndexerModel):
-            names += [c for c in stage.getInputCols() if c.startswith("_") and c.endswith("_text")]
+            names += [c for c in _taken(stage) if c.startswith("_") and c.endswith("_text")]
     return [n for n in dict.fromkeys(names) if n != PREDICTION]
 
 
+def _taken(stage) -> list[str]:
+    """The columns that a stage reads, by name."""
+    names = []
+    for param in ("inputCols", "inputCol", "featuresCol"):
+        if stage.hasParam(param) and stage.isDefined(param):
+            value = stage.getOrDefault(param)
+            names += value if isinstance(value, list) else [value]
+    return names
+
+
 def without_internals(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Drop the working columns a pipeline leaves behind; every other column stays."""
     return df.drop(*working_columns(model))
@@ -138,7 +154,7 @@ def without_internals(df: DataFrame, model: PipelineModel) -> DataFrame:
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     """Deal the rows of an iterative fit evenly over ``partitions``; None leaves them as they are.
 
-    The number is the caller's, so a result that depends on it (k-means) can be repeated.
+    The number is the caller's, so a result that depends on it can be repeated.
     """
     return df if partitions is None else df.repartition(partitions)
 
@@ -194,12 +210,14 @@ def rmse(predictions: DataFrame, label: str = LABEL, prediction: str = PREDICTIO
 
 
 def silhouette(
-    predictions: DataFrame, features: str = FEATURES, prediction: str = PREDICTION
+    predictions: DataFrame, features: str = FEATURES, prediction: str = PREDICTION,
+    weight: str | None = None,
 ) -> float:
     """Mean silhouette by squared distance; needs at least two clusters."""
-    return ClusteringEvaluator(
+    evaluator = ClusteringEvaluator(
         featuresCol=features, predictionCol=prediction, metricName="silhouette"
-    ).evaluate(predictions)
+    )
+    return (evaluator.setWeightCol(weight) if weight else evaluator).evaluate(predictions)
 
 
 def cluster_sizes(predictions: DataFrame, prediction: str = PREDICTION) -> DataFrame:
@@ -255,18 +273,30 @@ def train_clusters(
 ) -> Trained:
     """Fit k-means; ``tables`` holds cluster sizes and centres.
 
-    The partitioning of the rows influences the starting centres, so the same seed can give
-    other clusters on another cluster layout. ``with_silhouette`` adds that metric for two more
-    passes over the cached vectors.
+    Equal rows become one weighted point. The points are dealt by hash and sorted, over a number
+    of partitions that follows from the number of rows (or is given), so the starting centres and
+    the clusters don't depend on how the input is split. ``with_silhouette`` adds that metric for
+    two more passes over the cached points.
     """
-    estimator = KMeans(featuresCol=FEATURES, predictionCol=PREDICTION, k=k, seed=seed)
-
-    def evaluate(fitted, predictions):
-        return list(fitted.summary.clusterSizes), (
-            silhouette(predictions) if with_silhouette else None
-        )
-
-    model, (sizes, score_) = _fit(prepared, estimator, 0.0, evaluate, partitions)
+    if prepared.counts["used"] == 0:
+        raise ValueError("no row has every numeric feature")
+    steps = prepared.pipeline.fit(prepared.df)
+    if partitions is None:
+        partitions = max(CLUSTER_PARTITIONS, -(-prepared.counts["used"] // ROWS_A_PARTITION))
+    points = _weighted_points(prepared.df, steps, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    estimator = KMeans(
+        featuresCol=FEATURES, predictionCol=PREDICTION, weightCol=WEIGHT, k=k, seed=seed
+    )
+    try:
+        fitted = estimator.fit(points)
+        predictions = fitted.transform(points)
+        found = predictions.groupBy(PREDICTION).agg(F.sum(WEIGHT).cast("bigint").alias("size"))
+        size = {r[PREDICTION]: r["size"] for r in found.collect()}
+        sizes = [size.get(c, 0) for c in range(len(fitted.clusterCenters()))]
+        score_ = silhouette(predictions, weight=WEIGHT) if with_silhouette else None
+    finally:
+        points.unpersist()
+    model = PipelineModel(stages=[*steps.stages, fitted])
     spark = prepared.df.sparkSession
     metrics = {"k": k, "total": sum(sizes), "silhouette": score_, **prepared.counts}
     trained = Trained(
@@ -279,6 +309,20 @@ def train_clusters(
     return trained
 
 
+def _weighted_points(df: DataFrame, steps: PipelineModel, partitions: int) -> DataFrame:
+    """The different feature vectors and how many rows have each, in an order of their own.
+
+    They are dealt and sorted before they are scaled: the scaler's figures are sums whose last
+    digit depends on the input's partitions, the raw values are not.
+    """
+    *first, scaler = steps.stages
+    raw = PipelineModel(stages=first).transform(df).select(vector_to_array(RAW).alias("values"))
+    points = raw.groupBy("values").agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    dealt = points.repartition(partitions, "values").sortWithinPartitions("values")
+    vectors = dealt.select(array_to_vector("values").alias(RAW), WEIGHT)
+    return scaler.transform(vectors).select(FEATURES, WEIGHT)
+
+
 def cluster_centers(spark: SparkSession, model: PipelineModel, prepared: Prepared) -> DataFrame:
     """``(cluster, position, feature, value, original_value)`` in the caller's feature order.
 
@@ -357,22 +401,20 @@ def score(
     absent category counts as the model's own slot for nulls, as in training. The result has the
     kept columns, the features, ``prediction`` and ``_errors``; it is a map-only plan.
 
-    A model saved without a schema scores the rows as they are, and leaves out those that its
-    assembler leaves out.
+    A model saved without a schema scores the rows as they are typed; all their columns stay, and
+    ``prediction`` and ``_errors`` are added as above (columns of these names are replaced).
     """
     model, saved = load_model(df.sparkSession, path)
     wanted = list(schema or saved)
     if not wanted:
-        scored = model.transform(df)
-        _require_prediction(scored)
-        return without_internals(scored, model)
+        return _predict_rows(df, model, {})
     names = [e["name"] for e in input_fields(wanted)]
     kept = [n for n in dict.fromkeys(keep) if n not in names]
     typed = cast_to_schema(df, wanted, kept, absent_categories=True)
     fields = [typed.schema[n] for n in names]
     # the assembler gets a number in every row, and the caller the row as it was
     typed = typed.withColumn(ROW, F.struct(*[col(c) for c in typed.columns]))
-    for entry in wanted:
+    for entry in input_fields(wanted):
         if about := entry.get("dictionary"):
             ranked = df.sparkSession.read.parquet(f"{path.rstrip('/')}/{about['folder']}")
             typed = WideIndex(ranked, about["size"]).add(typed, entry["name"])
@@ -392,6 +434,37 @@ def score(
     )
 
 
+def _predict_rows(df: DataFrame, model: PipelineModel, wide: Mapping[str, WideIndex]) -> DataFrame:
+    """All columns and rows of ``df`` with ``prediction`` and ``_errors``.
+
+    The assembler would drop a row that lacks a number, so it gets a zero there, and the row a
+    NULL prediction and a message instead.
+    """
+    gone = (*working_columns(model), *_index_columns(wide), PREDICTION, ERRORS)
+    kept = [c for c in df.columns if c not in gone]
+    made = set(working_columns(model))
+    read = dict.fromkeys(n for stage in model.stages for n in _taken(stage) if n not in made)
+    numbers = [df.schema[n] for n in read if n in kept and is_numeric(df.schema[n].dataType)]
+    problems = F.array(
+        *[F.when(is_null(f), F.lit(f"missing required feature: {f.name}")) for f in numbers]
+    ).cast("array<string>")
+    rows = df.withColumn(ROW, F.struct(*[col(c) for c in df.columns])).withColumn(
+        ERRORS, F.filter(problems, lambda e: e.isNotNull())
+    )
+    for name, dictionary in wide.items():
+        rows = dictionary.add(rows, name)
+    whole = rows.withColumns(
+        {f.name: F.when(is_null(f), F.lit(0).cast(f.dataType)).otherwise(col(f.name)) for f in numbers}
+    )
+    scored = model.transform(whole.drop(PREDICTION))
+    _require_prediction(scored)
+    return scored.select(
+        *[F.col(ROW)[c].alias(c) for c in kept],
+        F.when(F.size(ERRORS) == 0, F.col(PREDICTION)).alias(PREDICTION),
+        ERRORS,
+    )
+
+
 def _require_prediction(scored: DataFrame) -> None:
     if PREDICTION not in scored.columns:
         raise ValueError("the saved pipeline gives no prediction column")

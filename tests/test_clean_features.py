@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import tablume as t
 from conftest import by_column
 from tablume.operators.features import FEATURES, LABEL, fit_features, ranked_values
+from tablume.sources.scratch import scratch_path
 
 
 def test_no_nulls_left(people):
@@ -126,8 +127,42 @@ def test_wide_dictionaries_encode_and_prepare_alike(spark):
     ]
     assert found[0].keys() == found[1].keys()
     assert all(abs(found[0][k] - found[1][k]) < 1e-9 for k in found[0])
-    with pytest.raises(ValueError, match="classes"):
-        t.prepare(df, ["n"], "v", max_labels=10)
+
+
+def test_targets_of_many_classes_train_alike(spark):
+    """More classes than a model's dictionary may hold: numbered by the stored table instead."""
+    df = spark.range(120).selectExpr("id", "concat('c', id % 12) AS v", "CAST(id % 12 AS INT) AS n")
+    few, many = (t.prepare(df, ["n"], "v", keep=["id"], max_labels=m) for m in (100, 5))
+    assert len(few.labels) == 12 and many.labels is None and many.classes.size == 12
+    numbered = [{r["id"]: r[LABEL] for r in p.df.collect()} for p in (few, many)]
+    assert numbered[0] == numbered[1]
+    trained = t.train_classifier(many, numTrees=3, maxDepth=6)
+    assert trained.metrics["total"] == 120 and trained.metrics["accuracy"] > 0.5
+    path = trained.save(scratch_path(spark, "test-models"))
+    assert t.score(df, path, keep=["id"]).count() == 120
+    floats = df.selectExpr("id", "n", "n / 2 AS z")
+    halves = t.prepare(floats, ["n"], "z", keep=["id"], max_labels=5, classes=True)
+    assert halves.classes.size == 12 and halves.df.select(LABEL).distinct().count() == 12
+    plain = t.prepare(floats, ["z"], "n", max_labels=5, classes=True)
+    assert plain.classes is None and plain.labels is None
+
+
+def test_preparation_reads_the_source_twice(spark):
+    """One read for the counts and all dictionaries, one for the scaler."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    rows = spark.range(0, 40, 1, 1).selectExpr(
+        "CAST(id % 7 AS STRING) AS a", "CAST(id % 3 AS STRING) AS b", "CAST(id AS INT) AS n", "id % 2 = 0 AS y"
+    )
+    df = rows.mapInPandas(counted, rows.schema)
+    prepared = t.prepare(df, ["a", "b", "n"], "y")
+    assert reads.value == 1
+    fit_features(prepared)
+    assert reads.value == 2
 
 
 def test_pca(people):

@@ -66,6 +66,23 @@ def test_null_categories_score_as_in_training(spark, students):
     assert {r["_id"]: r["prediction"] for r in scored} == wanted and len(scored) == 96
 
 
+def test_every_row_stays_without_a_schema(spark, students):
+    """Rows that lack a number get no prediction and a message, whichever way they are scored."""
+    trained = t.train_regressor(t.prepare(students, ["hours", "verdict", "early"], "attendance"))
+    path = scratch_path(spark, "test-models")
+    trained.model.save(path)
+    rows = students.selectExpr(
+        "id", "CASE WHEN id % 4 > 0 THEN hours END AS hours", "verdict", "early", "'x' AS prediction"
+    )
+    for scored in (t.score(rows, path), trained.predict(rows)):
+        assert scored.columns == ["id", "hours", "verdict", "early", "prediction", "_errors"]
+        found = scored.collect()
+        assert len(found) == 96
+        for r in found:
+            assert (r["prediction"] is None) == (r["id"] % 4 == 0) == (r["hours"] is None)
+            assert r["_errors"] == (["missing required feature: hours"] if r["id"] % 4 == 0 else [])
+
+
 def test_model_plots_cover_all_rows(spark):
     rows = spark.range(3000).selectExpr("id", "CAST(id % 50 AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
     trained = t.train_regressor(t.prepare(rows, ["x"], "y"))
@@ -168,6 +185,34 @@ def test_clusters(spark):
     assert trained.sample(["id"]).columns == ["x", "y", "Assigned_Cluster_ID"]
 
 
+def test_clusters_do_not_depend_on_partitions(spark):
+    """The same sizes and centres however the rows lie, a third of them copies of one row."""
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 5D ELSE pmod(xxhash64(id), 1000) / 10 END AS x",
+        "CASE WHEN id % 3 = 0 THEN 5D ELSE pmod(xxhash64(id, 1), 1000) / 7 END AS y",
+    )
+    found = []
+    for df in (rows, rows.repartition(3), rows.repartition(11).sortWithinPartitions("y"), rows.orderBy("x")):
+        trained = t.train_clusters(t.prepare(df, ["x", "y"]), 4)
+        centers = {
+            (r["cluster"], r["feature"]): round(r["original_value"], 9)
+            for r in trained.tables["centers"].collect()
+        }
+        found.append(([r["size"] for r in trained.tables["sizes"].collect()], centers))
+    assert all(f == found[0] for f in found)
+    sizes, centers = found[0]
+    # every row is in the group of its nearest centre, by a plain computation
+    std = trained.model.stages[-2].std
+    plain = [0] * 4
+    for r in rows.collect():
+        far = [
+            sum(((r[n] - centers[c, n]) / std[i]) ** 2 for i, n in enumerate(("x", "y")))
+            for c in range(4)
+        ]
+        plain[far.index(min(far))] += 1
+    assert plain == sizes and sum(sizes) == 3000
+
+
 def test_staff_cluster_sizes(staff):
     trained = t.train_clusters(t.prepare(staff, ["age", "id", "salary"]), 3)
     assert sum(r["size"] for r in trained.tables["sizes"].collect()) == 5
