@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
+#: Code points of a streamed piece of an answer.
+DELTA_CHARS = 200
 EVENTS = ("message", "edit", "regenerate", "delta", "delete")
 
 
@@ -24,6 +26,49 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def streamed_events(messages: DataFrame) -> DataFrame:
+    """The log that a service with streamed answers keeps of given ``conversation, place, role, text``.
+
+    An answer (role ``assistant``) starts empty and comes in deltas of ``DELTA_CHARS`` code points, other
+    messages come whole. A hash of conversation and place picks what else happened: a quarter of the
+    messages were edited from a draft, a quarter regenerated after a draft, and before a quarter another
+    message was sent and deleted. :func:`fold_events` gives the messages back. ``place`` counts from 0
+    and is unique in a conversation; a null text is empty, and an empty table gives an empty log.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own, other = F.col("place") * 2, F.col("place") * 2 + 1
+
+    def event(kind: str, what: Column, message: Column = own) -> Column:
+        return F.struct(
+            message.cast("bigint").alias("message"), F.lit(kind).alias("kind"), what.alias("text")
+        )
+
+    nothing, draft = F.lit(""), F.concat(F.lit("draft: "), F.substring(text, 1, DELTA_CHARS))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    deltas = F.transform(pieces, lambda piece: event("delta", piece))
+    streamed = F.concat(F.array(event("message", nothing)), deltas)
+    plain = F.when(F.col("role") == "assistant", streamed).otherwise(F.array(event("message", text)))
+    again = F.array(event("message", nothing), event("delta", draft), event("regenerate", nothing))
+    gone = F.array(event("message", draft, other), event("delete", nothing, other))
+    drawn = F.pmod(F.xxhash64("conversation", "place"), F.lit(4))
+    history = (
+        F.when(drawn == 1, F.array(event("message", draft), event("edit", text)))
+        .when(drawn == 2, F.concat(again, deltas))
+        .when(drawn == 3, F.concat(gone, plain))
+        .otherwise(plain)
+    )
+    return messages.select(
+        "conversation", "place", "role", F.posexplode(history).alias("step", "event")
+    ).select(
+        "conversation",
+        (F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("step")).alias("seq"),
+        "event.message",
+        "event.kind",
+        "role",
+        "event.text",
+    )
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages ``conversation, place, role, text`` from a log of events.
 

@@ -123,14 +123,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
     in_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     # every row of the table is a message of its own, also where a turn is repeated
-    events = rows.unionByName(added).select(
+    messages = rows.unionByName(added).select(
         F.col("conv_id").alias("conversation"),
-        F.col("turn").alias("seq"),
-        F.row_number().over(in_turn).alias("message"),
-        F.lit("message").alias("kind"),
+        (F.row_number().over(in_turn) - 1).alias("place"),
         "role",
         "text",
     )
+    events = chat.streamed_events(messages)
     return chat.digests(chat.read_back(chat.render(chat.fold_events(events))))
 
 

@@ -763,6 +763,24 @@ NASTY = [
 ]
 
 
+def test_streamed_events_fold_back(spark):
+    """A log of deltas, edits, regenerations and deletions ends in the messages it was made from."""
+    texts = ["", None, "ok", "<|im_end|> \\ </s>", "déjà \U0001f600\n" * 90, "long words " * 60_000]
+    roles = ["user", "assistant", None, "assistant"]
+    rows = [(c, p, roles[(c + p) % 4], texts[(c + p) % 6]) for c in range(30) for p in range(5)]
+    schema = "conversation bigint, place int, role string, text string"
+    messages = spark.createDataFrame(rows, schema).withColumn("kind", F.lit("clash"))
+    events = chat.streamed_events(messages).cache()
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.EVENTS) and sum(kinds.values()) > 4 * len(rows)
+    assert events.agg(F.max(F.length("text"))).first()[0] >= 600_000  # a user's message comes whole
+    assert events.where("kind = 'delta'").agg(F.max(F.length("text"))).first()[0] <= 207
+    assert events.groupBy("conversation", "seq").count().where("count > 1").count() == 0
+    found = {(r["conversation"], r["place"]): (r["role"], r["text"]) for r in chat.fold_events(events).collect()}
+    assert found == {(c, p): (role or "", text or "") for c, p, role, text in rows}
+    assert chat.streamed_events(messages.where("false")).count() == 0
+
+
 def test_chat_round_trip(spark):
     rows = []
     for c in range(6):
