@@ -183,6 +183,33 @@ def top_values_5(spark, folder):
     )
 
 
+# nearly every line has a text of its own, but some are written often
+_LINE_TEXTS = (
+    "CASE WHEN l_orderkey % 9 < 3 THEN concat('often ', CAST(l_suppkey % 4 + l_orderkey % 9 AS VARCHAR(9))) "
+    "ELSE concat('line ', CAST(l_orderkey AS VARCHAR(20)), ' of ', CAST(l_linenumber AS VARCHAR(9)), ' ', "
+    "CAST(l_partkey AS VARCHAR(20))) END AS text, CAST(l_suppkey AS VARCHAR(20)) AS supplier, "
+    "CASE WHEN l_linenumber < 3 THEN l_returnflag END AS flag"
+)
+
+
+def _wide_sql(column: str) -> str:
+    return (
+        f" SELECT '{column}' AS \"column\", CAST(i AS INTEGER) AS \"rank\", {column} AS \"value\", n AS \"count\" FROM "
+        f"(SELECT {column}, n, row_number() OVER (ORDER BY n DESC, {column}) AS i FROM (SELECT {column}, "
+        f"count(*) AS n FROM t WHERE {column} IS NOT NULL GROUP BY 1)) WHERE i <= 5"
+    )
+
+
+@query(
+    "top_values_wide",
+    f"WITH t AS (SELECT {_LINE_TEXTS} FROM lineitem)"
+    + union_sql([_wide_sql(c) for c in ("text", "supplier", "flag")]),
+)
+def top_values_wide(spark, folder):
+    lines = spark.sql(f"SELECT {_LINE_TEXTS} FROM {{lines}}", lines=table(spark, folder, "lineitem"))
+    return profile.top_values_wide(lines, k=5)
+
+
 def _mode_sql(column: str) -> str:
     return (
         f" SELECT '{column}' AS \"column\", CAST(v AS VARCHAR) AS \"mode\", n AS \"count\" FROM "

@@ -135,6 +135,22 @@ def dataset_overwrite(spark, folder):
     return readers.read_dataset(spark, root, "parts")
 
 
+@query(
+    "dataset_self_overwrite",
+    "SELECT c_custkey, round(2 * c_acctbal, 2) AS c_acctbal FROM customer WHERE c_acctbal >= 0",
+)
+def dataset_self_overwrite(spark, folder):
+    """A dataset is replaced by rows read from itself."""
+    root = scratch_path(spark, "datasets")
+    readers.write_version(table(spark, folder, "customer"), root, "customers")
+    kept = readers.read_version(spark, root, "customers").filter("c_acctbal >= 0")
+    readers.write_version(kept, root, "customers")
+    again = readers.read_version(spark, root, "customers")
+    doubled = again.select("c_custkey", F.round(2 * F.col("c_acctbal"), 2).alias("c_acctbal"))
+    readers.write_version(doubled, root, "customers")
+    return readers.read_version(spark, root, "customers")
+
+
 _CAST_SCHEMA = [
     {"name": "nation", "original_type": "int", "is_target": False},
     {"name": "balance", "original_type": "double", "is_target": False},

@@ -58,6 +58,7 @@ from tablume.operators.profile import (
     sample_values,
     table_shape,
     top_values,
+    top_values_wide,
     value_counts,
 )
 from tablume.operators.quantiles import exact_quantiles, quantile_table
@@ -75,9 +76,11 @@ from tablume.sources.readers import (
     read_dataset,
     read_json_array,
     read_nested_json,
+    read_version,
     to_json_rows,
     union_parts,
     write_dataset,
+    write_version,
 )
 from tablume.sources.typed import cast_to_schema, invalid_rows, valid_rows
 

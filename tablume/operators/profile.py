@@ -39,8 +39,13 @@ from tablume.functions.columns import (
 )
 from tablume.functions.sketches import SKETCH_SIZE, quantile_sketches
 from tablume.functions.stats import percent
-from tablume.functions.tables import long_values, per_column, small_table, union_all
+from tablume.functions.tables import chunks, long_values, per_column, small_table, union_all
 from tablume.operators.quantiles import exact_quantiles
+from tablume.sources.scratch import cut_lineage
+
+#: Hash buckets of a column in :func:`top_values_wide`, columns handled together (their buckets are
+#: broadcast), and how many of the fullest buckets are counted first.
+VALUE_BUCKETS, COLUMNS_BUCKETED, BUCKETS_FIRST = 65_536, 8, 64
 
 Names = Sequence[str] | None
 
@@ -275,6 +280,56 @@ def top_values(
     )
 
 
+def top_values_wide(
+    df: DataFrame, columns: Names = None, k: int = 10, buckets: int = VALUE_BUCKETS
+) -> DataFrame:
+    """:func:`top_values` without NULL, for columns that hold very many different values.
+
+    Counting every value shuffles a row for each. Here a first read counts hash buckets, at most
+    ``buckets`` narrow rows a column and task. A second counts the values of the fullest buckets, which
+    gives a count that the last of the ``k`` has at least; no value of a bucket with fewer rows can be
+    among them, so a third read counts the values of the other buckets only. The result is exact. Where
+    the ``k`` largest counts stand out that is few values; where no value is frequent all buckets
+    remain and :func:`top_values` does the same with fewer reads.
+    """
+    names = [f.name for f in fields_of(df, columns) if is_countable(f.dataType)]
+    if not names:
+        return top_values(df, names, k)
+    parts = [_top_of_buckets(df, group, k, buckets) for group in chunks(names, COLUMNS_BUCKETED)]
+    return union_all(parts)
+
+
+def _top_of_buckets(df: DataFrame, names: Sequence[str], k: int, buckets: int) -> DataFrame:
+    values = long_values(df, {f.name: as_text(f) for f in fields_of(df, names)})
+    bucket = F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int").alias("bucket")
+    values = values.filter(F.col("value").isNotNull()).select("column", "value", bucket)
+    sums = cut_lineage(values.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    fullest = Window.partitionBy("column").orderBy(F.desc("n"), "bucket")
+    first = sums.withColumn("place", F.row_number().over(fullest)).filter(
+        F.col("place") <= BUCKETS_FIRST + k
+    )
+    known = _largest_in(values, first, k)
+    least = known.groupBy("column").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("count")).otherwise(0).alias("least")
+    )
+    # a row a bucket at most, however large the table is
+    open_ = sums.join(F.broadcast(least), "column").filter(F.col("n") >= F.col("least"))
+    return _largest_in(values, open_, k)
+
+
+def _largest_in(values: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent values of each column within the chosen buckets."""
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    return (
+        values.join(F.broadcast(chosen.select("column", "bucket")), ["column", "bucket"], "left_semi")
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .select("column", "rank", "value", "count")
+    )
+
+
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, mode, count)``: most frequent non-null value, the smallest on a tie.
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablume.functions.columns import clean, col, is_floating
 from tablume.functions.tables import union_all
 
+#: What a pointer to a published version holds.
+POINTER = "number bigint, version string"
 FILE_FORMATS = ("csv", "json", "parquet")
 
 
@@ -104,6 +108,43 @@ def write_dataset(
     return path
 
 
+def write_version(df: DataFrame, root: str, name: str) -> str:
+    """Replace a named dataset by ``df`` in one step, also while it, or ``df`` itself, is being read.
+
+    The rows are written aside, and only when all of them are there a pointer to them is added, a file
+    that appears whole or not at all. A failing write leaves the old rows, and readers that began
+    before go on with theirs. Of two writers at once, one wins whole. Older versions stay until
+    their folders are removed.
+    """
+    path, version = dataset_path(root, name), uuid.uuid4().hex
+    df.write.parquet(f"{path}/versions/{version}")
+    last = _published(df.sparkSession, path)
+    pointer = [(last[0] + 1 if last else 1, version)]
+    added = df.sparkSession.createDataFrame(pointer, POINTER).coalesce(1)
+    added.write.mode("append").json(f"{path}/published")
+    return path
+
+
+def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows that :func:`write_version` published last."""
+    path = dataset_path(root, name)
+    last = _published(spark, path)
+    if not last:
+        raise ValueError(f"no published version of {name!r}")
+    return spark.read.parquet(f"{path}/versions/{last[1]}")
+
+
+def _published(spark: SparkSession, path: str) -> Row | None:
+    """The last pointer of a dataset: its number and version."""
+    try:
+        pointers = spark.read.schema(POINTER).json(f"{path}/published")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return pointers.orderBy(F.desc("number"), F.desc("version")).first()
+
+
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     """All rows of all parts (UNION ALL), matched by column name."""
     return union_all(parts)

@@ -166,6 +166,23 @@ def test_json_rows_have_no_nan(spark):
     assert json.loads(t.to_json_rows(df).first()["json"]) == {"a": None, "b": None, "c": 1.5}
 
 
+def test_versions_replace_a_dataset_in_one_step(spark):
+    root = scratch_path(spark, "datasets")
+    with pytest.raises(ValueError, match="no published version"):
+        t.read_version(spark, root, "d")
+    t.write_version(spark.range(10), root, "d")
+    before = t.read_version(spark, root, "d")
+    t.write_version(before.filter("id < 4"), root, "d")
+    assert t.read_version(spark, root, "d").count() == 4 and before.count() == 10
+    broken = spark.range(5).selectExpr("if(id = 3, raise_error('no'), id) AS id")
+    with pytest.raises(Exception, match="no"):
+        t.write_version(broken, root, "d")
+    assert t.read_version(spark, root, "d").count() == 4
+    t.write_version(t.read_version(spark, root, "d").limit(0), root, "d")
+    assert t.read_version(spark, root, "d").columns == ["id"]
+    assert t.read_version(spark, root, "d").count() == 0
+
+
 def test_datasets_in_other_formats(spark, staff):
     root = scratch_path(spark, "datasets")
     t.write_dataset(staff, root, "staff", fmt="csv", header=True)

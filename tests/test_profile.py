@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tablume as t
+import tablume.operators.profile as profile_module
 from conftest import by_column
 
 
@@ -233,3 +234,43 @@ def test_hash_sample(spark):
     assert {r.x for r in points} <= one and len(points) == 50
     with pytest.raises(ValueError):
         t.hash_sample(df, [])
+
+
+def test_top_values_of_wide_columns(spark):
+    """The same as counting every value, with frequent values, without any, and with ties."""
+    df = spark.range(6000).selectExpr(
+        "CASE WHEN id % 10 < 4 THEN concat('hot', id % 10) ELSE concat('v', id) END AS mixed",
+        "CAST(id AS STRING) AS alone", "id % 3000 AS pairs", "CAST(NULL AS STRING) AS none",
+        "CASE WHEN id < 3 THEN 'few' END AS few", "id % 7 / 2 AS halves",
+    )
+    for buckets in (1, 50, 4096):
+        wanted = t.top_values(df, k=6).collect()
+        assert sorted(t.top_values_wide(df, k=6, buckets=buckets).collect()) == sorted(wanted)
+    assert t.top_values_wide(df.limit(0), ["mixed"]).count() == 0
+
+
+def test_wide_columns_shuffle_few_values(spark):
+    """Beside the buckets only values that share one with a frequent value are counted."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(len(batch))
+            yield batch
+
+    df = spark.range(0, 40_000, 1, 4).selectExpr("if(id % 4 = 0, concat('hot', id % 80), concat('v', id)) AS v")
+    original = profile_module._largest_in
+
+    def watched(values, chosen, k):
+        buckets = F.broadcast(chosen.select("column", "bucket"))
+        values.join(buckets, ["column", "bucket"], "left_semi").select("value").distinct().mapInPandas(
+            seen, "value string"
+        ).count()
+        return original(values, chosen, k)
+
+    profile_module._largest_in = watched
+    try:
+        assert t.top_values_wide(df, k=10).select("count").distinct().first()[0] == 500
+    finally:
+        profile_module._largest_in = original
+    assert counted.value < 1000  # of 30,020 different values
