@@ -76,6 +76,7 @@ class Trie:
         self.base = np.zeros(1, np.int64)
         self.check = np.full(1, -1, np.int64)
         self._low, self._top = 1, 1  # places before the one are taken, from the other on free
+        self._loose = 1
         state = np.zeros(len(phrases), np.int64)
         for level in range(self.depth):
             state = self._add(state, codes[:, level])
@@ -111,19 +112,22 @@ class Trie:
         first, span = int(codes[0]), int(codes[-1]) - int(codes[0]) + 1
         while self._low < self._top and self.check[self._low] != -1:
             self._low += 1
-        at = max(self._low, first + 1)
-        for look in (64, 512, 4096):
-            end = min(at + look, self._top)
-            if at >= end:
-                break
-            self._grow(end + span)
-            free = np.flatnonzero(self.check[at:end] == -1) + at
-            free = free[: max(1, _TRIED // len(codes))]
-            fits = (self.check[(free - first)[:, None] + codes] == -1).all(axis=1)
-            if len(free) and fits.any():
-                return int(free[np.argmax(fits)]) - first
-            at = end
-        return max(self._top, first + 1) - first  # behind everything
+        # the first free places are crowded; the last stretch opened behind everything is not
+        for start in (self._low, self._loose):
+            at = max(start, first + 1)
+            for look in (64, 512, 4096):
+                end = min(at + look, self._top)
+                if at >= end:
+                    break
+                self._grow(end + span)
+                free = np.flatnonzero(self.check[at:end] == -1) + at
+                free = free[: max(1, _TRIED // len(codes))]
+                fits = (self.check[(free - first)[:, None] + codes] == -1).all(axis=1)
+                if len(free) and fits.any():
+                    return int(free[np.argmax(fits)]) - first
+                at = end
+        self._loose = max(self._top, first + 1)  # behind everything
+        return self._loose - first
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """The codes of words; 0 for those that no phrase has."""
