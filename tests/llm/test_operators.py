@@ -480,6 +480,93 @@ def test_quality_without_rows_or_labels(spark, docs, no_docs):
     assert all(r.score > 0.5 for r in quality.score(docs, quality.train(docs, one)).collect())
 
 
+def brute_vectors(texts, least):
+    """Word vectors and pooled texts with plain dictionaries, token by token."""
+    read = []
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        t = quality.Tokens(data, np.array([0, len(data)]))
+        read.append((t.word.tolist(), t.shape.tolist()))
+    index = lambda h: quality.random_vectors(np.array([h], np.uint64))[0].astype(float)
+    look = quality.shape_vectors().astype(float)
+    n, sums, shape_n, shape_sums = Counter(), {}, Counter(), {}
+    for words, shapes in read:
+        for i, (w, s) in enumerate(zip(words, shapes)):
+            near = [j for j in range(i - 2, i + 3) if j != i and 0 <= j < len(words)]
+            x = look[s] + sum((index(words[j]) + look[shapes[j]] for j in near), np.zeros(48))
+            n[w] += 1
+            shape_n[s] += 1
+            sums[w] = sums.get(w, 0) + x
+            shape_sums[s] = shape_sums.get(s, 0) + x
+    total = sum(n.values())
+
+    def unit(x, count):
+        return np.log1p(total / max(count, 1)) / 10 * x / max(np.linalg.norm(x), 1e-9)
+
+    of = {w: unit(index(w) + sums[w], n[w]) if n[w] >= least else unit(index(w), least) for w in n}
+    shape_of = {s: unit(look[s] + shape_sums[s], shape_n[s]) for s in shape_n}
+    out = []
+    for words, shapes in read:
+        size = max(1, len(words))
+        out.append(np.concatenate([
+            sum((of[w] for w in words), np.zeros(48)) / size, sum((shape_of[s] for s in shapes), np.zeros(48)) / size
+        ]))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("words_held", [100_000, 40, 1])
+def test_word_vectors_and_pooling(spark, monkeypatch, words_held):
+    monkeypatch.setattr(quality, "_TOKENS", 700)  # runs end inside texts, on the driver's side
+    texts = [t for _, t in odd_texts() if t is None or len(t) < 5000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    held, rest = quality.dictionary(docs, 5, words_held)
+    wanted = {t or "": x for t, x in zip(texts, brute_vectors(texts, 5))}
+    if rest is None:
+        found = dict(zip(wanted, quality.pooled(pa.array(list(wanted)), held)))
+    else:
+        assert len(held.words) == words_held
+        shared = spark.sparkContext.broadcast(held)
+        keys = spark.createDataFrame([(t,) for t in wanted], "text string")
+        k1, k2 = quality._text_key(F.col("text"))
+        rows = keys.select("text", k1.alias("k1"), k2.alias("k2")).join(
+            quality._with_others(docs, (shared, rest), 5), ["k1", "k2"]
+        )
+        found = {r.text: np.frombuffer(r.x, "<f4") for r in rows.collect()}
+    assert found.keys() == wanted.keys()
+    for text, x in wanted.items():
+        assert np.allclose(found[text], x, atol=1e-5), text[:50]
+
+
+def test_sums_of_runs_add_up(monkeypatch):
+    data = np.frombuffer(prose(3000, 8).encode(), np.uint8)
+    t = quality.Tokens(data, np.array([0, 5000, 5000, len(data)]))
+    looks = quality.shape_vectors()
+
+    def total(kind):
+        of = [(ids, sums) for is_shape, ids, sums in quality._around(t, looks) if is_shape == kind]
+        return quality._combined(of)
+
+    whole = total(False), total(True)
+    monkeypatch.setattr(quality, "_TOKENS", 7)
+    for (ids, sums), kind in zip(whole, (False, True)):
+        again = total(kind)
+        assert (again[0] == ids).all() and (again[1] == sums).all()
+
+
+def test_quality_with_words_that_are_joined(spark, docs):
+    known = docs.select("doc_id", F.col("doc_id").between(100, 399).cast("int").alias("quality"))
+    several = docs.withColumn("k1", F.lit("own"))
+    model = quality.train(docs, known, words_held=40)
+    assert model.rest is not None
+    held, _ = quality.dictionary(docs)
+    sure = quality.score(several, quality.Model(held, None, model.network)).collect()
+    joined = quality.score(several, model)
+    found = joined.collect()
+    assert joined.columns == [*several.drop("score").columns, "score"] and len(found) == len(sure)
+    wanted = {(r.doc_id, r.text): r.score for r in sure}
+    assert all(abs(wanted[r.doc_id, r.text] - r.score) < 1e-4 and r.k1 == "own" for r in found)
+
+
 def test_temperature_calibrates():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(4000, 6))
