@@ -514,8 +514,9 @@ def brute_vectors(texts, least):
     return np.array(out)
 
 
-@pytest.mark.parametrize("words_held", [100_000, 40, 1])
-def test_word_vectors_and_pooling(spark, monkeypatch, words_held):
+@pytest.mark.parametrize("words_held, told", [(100_000, 4_000_000), (40, 4_000_000), (1, 10)])
+def test_word_vectors_and_pooling(spark, monkeypatch, words_held, told):
+    monkeypatch.setattr(quality, "WORDS_TOLD", told)
     monkeypatch.setattr(quality, "_TOKENS", 700)  # runs end inside texts, on the driver's side
     texts = [t for _, t in odd_texts() if t is None or len(t) < 5000]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
@@ -542,23 +543,21 @@ def test_sums_of_runs_add_up(monkeypatch):
     t = quality.Tokens(data, np.array([0, 5000, 5000, len(data)]))
     looks = quality.shape_vectors()
 
-    def total(kind):
-        of = [(ids, sums) for is_shape, ids, sums in quality._around(t, looks) if is_shape == kind]
-        return quality._combined(of)
+    def total():
+        of = list(quality._around(t, looks))
+        return *quality._combined([(ids, sums) for ids, sums, _ in of]), sum(x for _, _, x in of)
 
-    whole = total(False), total(True)
+    whole = total()
     monkeypatch.setattr(quality, "_TOKENS", 7)
-    for (ids, sums), kind in zip(whole, (False, True)):
-        again = total(kind)
-        assert (again[0] == ids).all() and (again[1] == sums).all()
+    assert all((a == b).all() for a, b in zip(whole, total()))
 
 
 def test_quality_with_words_that_are_joined(spark, docs):
     known = docs.select("doc_id", F.col("doc_id").between(100, 399).cast("int").alias("quality"))
     several = docs.withColumn("k1", F.lit("own"))
-    model = quality.train(docs, known, words_held=40)
+    model = quality.train(docs, known, least=5, words_held=40)
     assert model.rest is not None
-    held, _ = quality.dictionary(docs)
+    held, _ = quality.dictionary(docs, 5)
     sure = quality.score(several, quality.Model(held, None, model.network)).collect()
     joined = quality.score(several, model)
     found = joined.collect()
