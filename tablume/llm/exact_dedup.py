@@ -14,6 +14,8 @@ from tablume.llm.common import durable, fresh
 PREFIX_CHARS = 256
 #: Keys of groups that a task may hold to spare other rows the full hash (8 bytes each).
 KEYS_HELD = 2_000_000
+#: Dropped rows that a task may hold to leave them out (some 150 bytes each); beyond, rows are joined.
+DROPPED_HELD = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -99,18 +101,36 @@ def exact_groups(
     )
 
 
-def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def exact_dedup(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", dropped_held: int = DROPPED_HELD
+) -> DataFrame:
     """The rows of ``df`` that stay, one of each set of equal texts, with all their columns.
 
     Rows that share an id and a text stay once; rows that share only an id are told apart by
-    their text. A null id is an id like any other.
+    their text. A null id is an id like any other. Whole rows are shuffled only where a row that
+    stays is repeated, or where more than ``dropped_held`` rows go.
     """
-    groups = exact_groups(df, id_column, text_column, hash_all=True)
+    copies = exact_groups(df, id_column, text_column).where("sha256 IS NOT NULL")
     key = fresh(df, "key")
+    rows = durable(
+        copies.groupBy(_key(F.col("id"), F.col("sha256")).alias(key)).agg(
+            F.max("kept").alias("kept"), F.count("*").alias("times")
+        ),
+        "copies",
+    )
     full = F.sha2(F.encode(normalised(F.col(text_column)), "UTF-8"), 256)
-    kept = groups.where("kept").select(_key(F.col("id"), F.col("sha256")).alias(key))
     keyed = df.withColumn(key, _key(F.col(id_column), full))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*df.columns)
+
+    def held(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= dropped_held else keys
+
+    stay = keyed.join(held(rows.where("NOT kept").select(key)), key, "left_anti")
+    repeated = rows.where("kept AND times > 1").select(key)
+    if repeated.limit(1).count():
+        repeated = held(repeated)
+        once = stay.join(repeated, key, "left_semi").dropDuplicates([key])
+        stay = stay.join(repeated, key, "left_anti").unionByName(once)
+    return stay.select(*df.columns)
 
 
 def _key(row_id: Column, sha256: Column) -> Column:

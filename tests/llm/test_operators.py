@@ -363,8 +363,9 @@ def test_full_hash_only_where_it_decides(docs, rows):
     assert sum(r.sha256 is not None for r in found) == sum(n for n in sizes.values() if n > 1)
 
 
-def test_exact_dedup_keeps_rows(docs, no_docs, rows):
-    kept = exact_dedup.exact_dedup(docs)
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_exact_dedup_keeps_rows(docs, no_docs, rows, held):
+    kept = exact_dedup.exact_dedup(docs, dropped_held=held)
     assert kept.columns == docs.columns
     wanted = Counter((k[0], k[4]) for k, n in brute_copies(rows).items() if k[3])
     found = Counter(
