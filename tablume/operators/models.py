@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tablume.functions.columns import col, is_null, is_numeric, require_columns
 from tablume.functions.tables import small_table
+from tablume.operators import trees
 from tablume.operators.features import (
     FEATURES,
     LABEL,
@@ -153,6 +154,7 @@ def without_internals(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     """Deal the rows of an iterative fit evenly over ``partitions``; None leaves them as they are.
+    Fits to cells don't need it.
 
     The number is the caller's, so a result that depends on it can be repeated.
     """
@@ -172,11 +174,14 @@ def _fit(prepared: Prepared, estimator, holdout: float, evaluate, partitions: in
     """Fit the features, then the estimator on cached vectors; evaluate on the same cache.
 
     With the shared folder set as checkpoint folder, boosting cuts its lineage as it goes.
+    Tree ensembles are fitted to the rows' cells (see :mod:`tablume.operators.trees`).
     """
     if prepared.counts["used"] == 0:
         raise ValueError("no row has a target and every numeric feature")
     shared_folder(prepared.df.sparkSession)
     steps, transformed = fit_features(prepared)
+    if trees.by_cells(estimator):
+        return _fit_trees(prepared, estimator, holdout, evaluate, steps, transformed)
     kept = [FEATURES, LABEL] if prepared.target else [FEATURES]
     vectors = spread(transformed.select(*kept), partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -190,8 +195,35 @@ def _fit(prepared: Prepared, estimator, holdout: float, evaluate, partitions: in
     return PipelineModel(stages=[*steps.stages, fitted]), result
 
 
-def accuracy(predictions: DataFrame, label: str = LABEL, prediction: str = PREDICTION) -> DataFrame:
-    """``(total, correct, accuracy)``; accuracy is NULL when there are no rows."""
+def _fit_trees(prepared: Prepared, estimator, holdout: float, evaluate, steps, transformed: DataFrame):
+    """Fit an ensemble to cells; without a holdout these are evaluated, each for all of its rows."""
+    rows = transformed.select(*[col(c) for c in prepared.inputs], LABEL)
+    training, n = rows, prepared.counts["used"]
+    if holdout:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        training, testing = rows.randomSplit([1.0 - holdout, holdout], seed=SEED)
+        n = training.count()
+    try:
+        stages, predictions, cells = trees.fit_cells(estimator, training, prepared.inputs, n)
+        try:
+            if holdout:
+                result = evaluate(stages[-1], PipelineModel(stages=stages).transform(testing))
+            else:
+                result = evaluate(stages[-1], predictions, trees.CELL_ROWS, trees.CELL_VARIANCE)
+        finally:
+            cells.unpersist()
+    finally:
+        rows.unpersist()
+    return PipelineModel(stages=[*steps.stages, *stages]), result
+
+
+def accuracy(
+    predictions: DataFrame, label: str = LABEL, prediction: str = PREDICTION, weight: str | None = None
+) -> DataFrame:
+    """``(total, correct, accuracy)``; accuracy is NULL when there are no rows. With ``weight`` a row
+    stands for so many."""
+    if weight:
+        return _weighted_accuracy(predictions, label, prediction, weight)
     right = F.count_if(col(label) == col(prediction))
     total = F.count(F.lit(1))
     return predictions.agg(
@@ -201,9 +233,29 @@ def accuracy(predictions: DataFrame, label: str = LABEL, prediction: str = PREDI
     )
 
 
-def rmse(predictions: DataFrame, label: str = LABEL, prediction: str = PREDICTION) -> DataFrame:
-    """``(total, rmse)`` over rows with both values."""
+def _weighted_accuracy(predictions: DataFrame, label: str, prediction: str, weight: str) -> DataFrame:
+    right = F.when(col(label) == col(prediction), col(weight)).otherwise(0.0)
+    total, correct = (F.coalesce(F.sum(c), F.lit(0.0)) for c in (col(weight), right))
+    return predictions.agg(
+        total.cast("bigint").alias("total"),
+        correct.cast("bigint").alias("correct"),
+        F.try_divide(correct, total).alias("accuracy"),
+    )
+
+
+def rmse(
+    predictions: DataFrame, label: str = LABEL, prediction: str = PREDICTION,
+    weight: str | None = None, variance: str | None = None,
+) -> DataFrame:
+    """``(total, rmse)`` over rows with both values. With ``weight`` a row stands for so many, whose
+    labels have that ``variance`` around the given one."""
     error = col(label).cast("double") - col(prediction).cast("double")
+    if weight:
+        squares = col(weight) * (error * error + (col(variance) if variance else 0.0))
+        return predictions.agg(
+            F.sum(col(weight)).cast("bigint").alias("total"),
+            F.sqrt(F.sum(squares) / F.sum(col(weight))).alias("rmse"),
+        )
     return predictions.agg(
         F.count(error).alias("total"), F.sqrt(F.avg(error * error)).alias("rmse")
     )
@@ -233,7 +285,7 @@ def train_regressor(
 ) -> Trained:
     """Fit a regressor; metrics are ``rmse`` and the row counts, on the training rows by default."""
     estimator = _estimator(REGRESSORS, algorithm, params)
-    model, row = _fit(prepared, estimator, holdout, lambda _, p: rmse(p).first(), partitions)
+    model, row = _fit(prepared, estimator, holdout, lambda _, p, *cells: rmse(p, LABEL, PREDICTION, *cells).first(), partitions)
     metrics = {"rmse": row["rmse"], "total": row["total"], **prepared.counts}
     message = TRAINED if row["total"] else NOTHING_TO_EVALUATE
     return Trained("regression", algorithm, model, prepared, metrics, message)
@@ -247,7 +299,7 @@ def train_classifier(
     estimator = _estimator(CLASSIFIERS, algorithm, params)
     if algorithm == "gbt_classifier":
         _require_binary(prepared)
-    model, row = _fit(prepared, estimator, holdout, lambda _, p: accuracy(p).first(), partitions)
+    model, row = _fit(prepared, estimator, holdout, lambda _, p, *cells: accuracy(p, LABEL, PREDICTION, *cells[:1]).first(), partitions)
     metrics = {
         "accuracy": row["accuracy"],
         "correct": row["correct"],
