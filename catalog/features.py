@@ -87,11 +87,11 @@ def one_hot_wide(spark, folder):
         "o_custkey", F.col("o_custkey").cast("string")
     )
     encoded = ops.one_hot(orders, ["o_custkey"], max_labels=100)
-    ones = vector_to_array("o_custkey_encoded")
-    place = F.array_position(ones, F.lit(1.0))
-    return encoded.select(
-        "o_orderkey", F.size(ones).alias("slots"), F.when(place > 0, place - 1).alias("slot")
-    )
+    # the vector's own parts: as an array each row would have as many zeros as there are labels
+    parts = F.unwrap_udt("o_custkey_encoded")
+    place = F.array_position(parts["values"], F.lit(1.0))
+    slot = F.when(place > 0, F.get(parts["indices"], (place - 1).cast("int"))).cast("bigint")
+    return encoded.select("o_orderkey", parts["size"].alias("slots"), slot.alias("slot"))
 
 
 @query(

@@ -17,6 +17,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,13 +203,31 @@ def _index_by_sort(df: DataFrame, column: str) -> DataFrame:
 def one_hot(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS) -> DataFrame:
     """Add ``<c>_indexed`` and the sparse vector ``<c>_encoded`` with one slot per label.
 
-    A null has no slot and encodes as all zeros.
+    A null has no slot and encodes as all zeros. Beyond ``max_labels`` slots the vector's column
+    knows their number only: an encoder would name each of them in the plan.
     """
-    indexed = _index(df, label_estimates(df, columns), max_labels)
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_indexed" for c in columns], outputCols=[f"{c}_encoded" for c in columns]
-    )
-    return encoder.fit(indexed).transform(indexed)
+    estimates = label_estimates(df, columns)
+    out = _index(df, estimates, max_labels)
+    local = [c for c in estimates if estimates[c] <= max_labels]
+    if local:
+        encoder = OneHotEncoder(
+            inputCols=[f"{c}_indexed" for c in local], outputCols=[f"{c}_encoded" for c in local]
+        )
+        out = encoder.fit(out).transform(out)
+    for c in estimates:
+        if c not in local:
+            slots = out.schema[f"{c}_indexed"].metadata["ml_attr"]["num_vals"] - 1
+            out = out.withColumn(f"{c}_encoded", _one_slot(slots)(col(f"{c}_indexed")))
+            about = {"ml_attr": {"num_attrs": slots}}
+            out = out.withMetadata(f"{c}_encoded", about)
+    return out
+
+
+def _one_slot(slots: int):
+    def encoded(index):
+        return Vectors.sparse(slots, [int(index)] if index < slots else [], [1.0] if index < slots else [])
+
+    return F.udf(encoded, VectorUDT())
 
 
 def pca(

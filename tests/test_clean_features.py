@@ -227,3 +227,13 @@ def test_prepare_errors(spark, features, target, message):
     df = spark.sql("SELECT 1 AS x, DATE'2024-01-01' AS day, CAST(NULL AS STRING) AS empty")
     with pytest.raises(ValueError, match=message):
         t.prepare(df, features, target)
+
+
+def test_one_hot_of_many_labels_names_no_slot(spark):
+    """Neither the plan nor a row holds as much as there are labels."""
+    df = spark.range(3000).selectExpr("id", "IF(id > 0, string(id), NULL) AS v")
+    encoded = t.one_hot(df, ["v"], max_labels=100)
+    assert encoded.schema["v_encoded"].metadata == {"ml_attr": {"num_attrs": 2999}}
+    rows = {r["id"]: r["v_encoded"] for r in encoded.collect()}
+    assert rows[0].size == 2999 and rows[0].numNonzeros() == 0
+    assert {int(v.indices[0]) for i, v in rows.items() if i} == set(range(2999))
