@@ -553,6 +553,14 @@ def test_sums_of_runs_add_up(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, total()))
 
 
+def test_sums_of_told_words_only():
+    data = np.frombuffer(prose(3000, 8).encode(), np.uint8)
+    t = quality.Tokens(data, np.array([0, 5000, 5000, len(data)]))
+    (ids, sums, looks), = quality._around(t, quality.shape_vectors())
+    (some, of_some, same_looks), = quality._around(t, quality.shape_vectors(), ids[::3])
+    assert (some == ids[::3]).all() and (of_some == sums[::3]).all() and (looks == same_looks).all()
+
+
 def test_quality_with_words_that_are_joined(spark, docs):
     known = docs.select("doc_id", F.col("doc_id").between(100, 399).cast("int").alias("quality"))
     several = docs.withColumn("k1", F.lit("own"))
