@@ -561,6 +561,17 @@ def test_sums_of_told_words_only():
     assert (some == ids[::3]).all() and (of_some == sums[::3]).all() and (looks == same_looks).all()
 
 
+def test_frequent_words_depend_on_their_share_alone(spark):
+    texts = [("aa " * 3 + f"b{i} cc",) for i in range(3)] + [("dd " * 4,)]
+    of = [
+        quality.dictionary(spark.createDataFrame(texts * times, "text string"), rarest=8)[0].words.tolist()
+        for times in (1, 2, 40)
+    ]
+    assert len(of[0]) == 3 and of[0] == of[1] == of[2]  # 19 tokens: aa, cc and dd
+    few = quality.dictionary(spark.createDataFrame(texts, "text string"))[0]
+    assert len(few.words) == 6
+
+
 def test_quality_with_words_that_are_joined(spark, docs):
     known = docs.select("doc_id", F.col("doc_id").between(100, 399).cast("int").alias("quality"))
     several = docs.withColumn("k1", F.lit("own"))
