@@ -335,7 +335,7 @@ def train_clusters(
     steps = prepared.pipeline.fit(prepared.df)
     if partitions is None:
         partitions = max(CLUSTER_PARTITIONS, -(-prepared.counts["used"] // ROWS_A_PARTITION))
-    points = _weighted_points(prepared.df, steps, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    points = _weighted_points(prepared.df, steps, prepared.inputs, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     estimator = KMeans(
         featuresCol=FEATURES, predictionCol=PREDICTION, weightCol=WEIGHT, k=k, seed=seed
     )
@@ -361,15 +361,23 @@ def train_clusters(
     return trained
 
 
-def _weighted_points(df: DataFrame, steps: PipelineModel, partitions: int) -> DataFrame:
+def _weighted_points(
+    df: DataFrame, steps: PipelineModel, inputs: Sequence[str], partitions: int
+) -> DataFrame:
     """The different feature vectors and how many rows have each, in an order of their own.
 
-    They are dealt and sorted before they are scaled: the scaler's figures are sums whose last
+    Rows are counted by the assembler's plain inputs, so vectors are made of the different rows
+    only. These are dealt and sorted before they are scaled: the scaler's figures are sums whose last
     digit depends on the input's partitions, the raw values are not.
     """
-    *first, scaler = steps.stages
-    raw = PipelineModel(stages=first).transform(df).select(vector_to_array(RAW).alias("values"))
-    points = raw.groupBy("values").agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    *first, _, scaler = steps.stages
+    names = [f"v{i}" for i in range(len(inputs))]
+    plain = [col(c).cast("double").alias(n) for c, n in zip(inputs, names)]
+    raw = PipelineModel(stages=first).transform(df).select(*plain)
+    for n in names:  # rows that the assembler leaves out
+        raw = raw.where(F.col(n).isNotNull() & ~F.isnan(n))
+    counted = raw.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    points = counted.select(F.array(*names).alias("values"), WEIGHT)
     dealt = points.repartition(partitions, "values").sortWithinPartitions("values")
     vectors = dealt.select(array_to_vector("values").alias(RAW), WEIGHT)
     return scaler.transform(vectors).select(FEATURES, WEIGHT)

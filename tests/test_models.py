@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import tablume as t
 from conftest import by_column
+from tablume.operators import models
 from tablume.operators.models import cluster_sizes
 from tablume.sources.scratch import scratch_path
 
@@ -185,6 +186,20 @@ def test_clusters(spark):
     assert trained.sample(["id"]).columns == ["x", "y", "Assigned_Cluster_ID"]
 
 
+def test_cluster_points_are_counted_by_plain_columns(spark):
+    """Vectors are made of the different rows, after the shuffle that counts them."""
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1, 0.0D, 'a'), (1, -0.0D, 'a'), (2, 3.0D, NULL), (NULL, 3.0D, 'a'), "
+        "(2, double('NaN'), 'b'), (2, 3.0D, NULL) AS t(x, y, z)"
+    )
+    prepared = t.prepare(rows, ["x", "y", "z"])
+    steps = prepared.pipeline.fit(prepared.df)
+    points = models._weighted_points(prepared.df, steps, prepared.inputs, 2)
+    assert sorted(r[models.WEIGHT] for r in points.collect()) == [2.0, 2.0]
+    plan = points._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [v0" in plan and "vector_to_array" not in plan.lower()
+
+
 def test_clusters_do_not_depend_on_partitions(spark):
     """The same sizes and centres however the rows lie, a third of them copies of one row."""
     rows = spark.range(3000).selectExpr(
