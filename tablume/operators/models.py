@@ -45,6 +45,8 @@ from tablume.sources.typed import ERRORS, cast_to_schema, input_fields
 SEED = 42
 #: k-means deals its points over this many partitions at least, and one for so many rows.
 CLUSTER_PARTITIONS, ROWS_A_PARTITION = 8, 250_000
+#: Rows of one part of an iterative fit at most; more rows take more parts, whatever the input has.
+ROWS_A_FIT = 1_000_000
 #: How many rows a point stands for.
 WEIGHT = "_weight"
 #: The row as it came in, carried through a pipeline.
@@ -161,6 +163,11 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df if partitions is None else df.repartition(partitions)
 
 
+def _parts_of(rows: int) -> int | None:
+    """Into how many parts the rows of an iterative fit are dealt; a few stay as they lie."""
+    return -(-rows // ROWS_A_FIT) if rows > ROWS_A_FIT else None
+
+
 def _estimator(catalogue: Mapping, algorithm: str, params: Mapping):
     if algorithm not in catalogue:
         raise ValueError(
@@ -182,6 +189,8 @@ def _fit(prepared: Prepared, estimator, holdout: float, evaluate, partitions: in
     steps, transformed = fit_features(prepared)
     if trees.by_cells(estimator):
         return _fit_trees(prepared, estimator, holdout, evaluate, steps, transformed)
+    if partitions is None and isinstance(estimator, LogisticRegression):
+        partitions = _parts_of(prepared.counts["used"])
     kept = [FEATURES, LABEL] if prepared.target else [FEATURES]
     vectors = spread(transformed.select(*kept), partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:

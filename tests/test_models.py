@@ -288,3 +288,15 @@ def test_numeric_classes_need_no_numbering(spark):
         trained = t.analyze(rows, "classification", ["x"], target, keep=["id"], algorithm="gbt_classifier", maxIter=2)
         assert trained.metrics["accuracy"] == 1.0 and len(trained.prepared.labels) == 2
         assert trained.sample(["id"], 3).count() == 3
+
+
+def test_many_rows_of_an_iterative_fit_are_dealt(spark, students, monkeypatch):
+    """No part of the cached rows holds more than its bound, whatever the input's parts hold."""
+    dealt = []
+    real = models.spread
+    monkeypatch.setattr(models, "ROWS_A_FIT", 20)
+    monkeypatch.setattr(models, "spread", lambda df, n: dealt.append(real(df, n)) or dealt[-1])
+    prepared = t.prepare(students.coalesce(1), ["hours"], "verdict")
+    trained = t.train_classifier(prepared, "logistic_regression", regParam=0.0)
+    assert trained.metrics["accuracy"] == 1.0 and trained.metrics["total"] == 96
+    assert max(len(part) for part in dealt[0].rdd.glom().collect()) <= 20
