@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -472,6 +473,30 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in checked]) > 0.98
 
 
+def test_quality_sums_hold_a_row_for_each_word(monkeypatch):
+    """What a task gathers for its words doesn't grow with the texts, and is the same either way."""
+    words = [f"{''.join(_draw.choice('abcdefgh') for _ in range(9))}{i}" for i in range(2000)]
+    texts = pa.array([" ".join(_draw.sample(words, 1500)) for _ in range(400)])
+    told = np.sort(np.concatenate([quality.Tokens(d, o).word for _, _, d, o in slices(pa.array([" ".join(words)]))]))
+
+    def found():
+        rows = Counter()
+        tracemalloc.start()
+        for part in quality._sums_of(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), told[::2]):
+            for shape, word, *sums in zip(*(c.to_pylist() for c in part.columns)):
+                for k, x in enumerate(sums):
+                    rows[shape, word, k] += x
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, peak
+
+    monkeypatch.setattr(quality, "_TOKENS", 2000)
+    rows, peak = found()
+    assert peak < 60e6
+    monkeypatch.setattr(quality, "_GATHERED", 900)
+    assert found()[0] == rows
+
+
 def test_quality_without_rows_or_labels(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(docs, none)
