@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import corpus_pipeline
+import pyarrow as pa
 from conftest import DATA
 from pyspark.sql import functions as F
 from tablume.llm import queries
@@ -81,3 +82,30 @@ def test_added_conversation(spark):
     found = {r.conv_id: r for r in queries.QUERIES["op10_chat"](spark, DATA).collect()}
     assert found[-7].n_turns == 2 and found[-7].loss_chars == len("</s>[INST] ok [/INST]")
     assert normal("a \t b") == "a b"
+
+
+def test_stages_bound_the_bytes_of_arrow_batches(spark, monkeypatch):
+    """Ten thousand long texts are not one batch, neither inside a stage nor when its rows are read."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, before)
+            with monkeypatch.context() as patched:
+                patched.setattr(corpus_pipeline.quality, "train", lambda *a: None)
+                patched.setattr(corpus_pipeline.quality, "score", lambda docs, *a, **k: docs.withColumn(k["name"], F.lit(1.0)))
+                patched.setattr(corpus_pipeline.exact_dedup, "exact_dedup", lambda docs: docs)
+                patched.setattr(corpus_pipeline.ngram_join, "near_dedup", lambda docs: docs)
+                patched.setattr(corpus_pipeline.decontamination, "decontaminate", lambda docs, _: docs)
+                patched.setattr(corpus_pipeline.packing, "token_pieces", lambda docs, _: docs)
+                patched.setattr(corpus_pipeline.packing, "pack", lambda docs: docs)
+                out = stage(spark, texts, DATA)
+            assert out.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] < 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
